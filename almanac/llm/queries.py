@@ -6,16 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash, token_counts
 from .common import documents
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file on the driver; workers get what they need from there."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash_trie": op3_simhash_trie}
+    return {
+        "op1_bpe_transducer": op1_bpe_transducer,
+        "op2_token_counts": op2_token_counts,
+        "op3_simhash_trie": op3_simhash_trie,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
