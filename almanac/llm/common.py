@@ -49,9 +49,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def local_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest node index reachable from each of n nodes over undirected edges a-b."""
-    root = np.arange(n)
+def local_forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Smallest node index reachable from each node over undirected edges a-b and those that made `root`."""
     while len(a):
         low = np.minimum(root[a], root[b])
         np.minimum.at(root, root[a], low)

@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- the trie self-join -------------------------------------------------------------------
 
 
-def trie_pairs(v: np.ndarray, starts: np.ndarray, fixed: np.ndarray, budget: int, leaf: int = 16, frontier: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(v: np.ndarray, starts: np.ndarray, fixed: np.ndarray, budget: int, leaf: int = 16, frontier: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs at most `budget` bits apart within each bucket of distinct sorted 64-bit values.
 
     A trie node is a range of the sorted array whose values share their top bits.  Pairs of
@@ -122,12 +122,17 @@ def _links(budget: int, chunk: int):
         prefix = v >> (64 - fixed).astype(np.uint64)
         new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])])
         starts = np.r_[new, len(v)]
-        got = list(trie_pairs(v, starts, fixed[new], budget))
-        if not got:
-            return None
-        i, j = (np.concatenate(x) for x in zip(*got, strict=True))
-        root = local_forest(i, j, len(v))
+        root, held, n = np.arange(len(v)), [], 0
+        for pair in trie_pairs(v, starts, fixed[new], budget):
+            held.append(pair)
+            n += len(pair[0])
+            if n > 1 << 19:  # only a forest is kept, however many pairs there are
+                root, held, n = local_forest(*(np.concatenate(x) for x in zip(*held, strict=True)), root), [], 0
+        if held:
+            root = local_forest(*(np.concatenate(x) for x in zip(*held, strict=True)), root)
         at = np.flatnonzero(root != np.arange(len(v)))
+        if not len(at):
+            return None
         return pa.record_batch([pa.array(fp[at]), pa.array(fp[root[at]])], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
