@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, token_counts
+from . import bpe, quality_rules, secrets, simhash, token_counts
 from .common import documents
 
 
@@ -29,13 +29,24 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.judge(quality_rules.ledger(documents(spark, sf_dir)), "v1")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_shouted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_transducer": op1_bpe_transducer,
         "op2_token_counts": op2_token_counts,
         "op3_simhash_trie": op3_simhash_trie,
+        "op7_secret_linking": op7_secret_linking,
+        "op8_rule_ledger": op8_rule_ledger,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_rule_ledger": quality_rules.SQL}
