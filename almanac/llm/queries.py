@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secrets, simhash, token_counts
+from . import bpe, quality_rules, secrets, simhash, token_counts, warc
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_shouted")
 
 
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_transducer": op1_bpe_transducer,
@@ -45,8 +49,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_trie": op3_simhash_trie,
         "op7_secret_linking": op7_secret_linking,
         "op8_rule_ledger": op8_rule_ledger,
+        "op10_arc_to_warc": op10_arc_to_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_rule_ledger": quality_rules.SQL}
+    return {
+        "op8_rule_ledger": quality_rules.SQL,
+        "op10_arc_to_warc": warc.SQL,
+    }
