@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import json
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -23,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stamp
+from .common import cut, shared_dir, stamp
 from .token_counts import slices
 
 #: The published pattern that splits texts before byte-level merges (fixed value).
@@ -51,7 +50,7 @@ def pretokens(text: str) -> list[str]:
     return _plain(text) if text.isascii() or not _has_newer(text) else _careful(text)
 
 
-LEXICON = 1 << 16
+LEXICON = 1 << 18
 
 
 def byte_chars() -> dict[str, int]:
@@ -67,6 +66,7 @@ class Codec:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        self.key = json.dumps(told, sort_keys=True).encode()
         model, pre = told["model"], told["pre_tokenizer"]
         if model["type"] != "BPE" or model.get("ignore_merges") or told["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in told["added_tokens"]):
             raise ValueError("only plain byte-level BPE files are supported")
@@ -76,47 +76,51 @@ class Codec:
         self.bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.bytes_of[i] = spell(token)
+        self.key = stamp(self.key)
         self.first = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.rank_of: dict[int, int] = {}  # by left id << 32 | right id
+        self.made: list[int] = []  # by rank
+        for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rank_of.setdefault(vocab[a] << 32 | vocab[b], len(self.made))
+            self.made.append(vocab[a + b])
         self.texts = [str(i) for i in range(len(self.bytes_of))]
 
-    def merge(self, word: bytes) -> tuple[int, ...]:
+    def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank first, the leftmost among equals."""
-        ids, ranks = [self.first[b] for b in word], self.ranks
-        if len(ids) > 64:
+        ids, rank, none = [self.first[b] for b in word], self.rank_of.get, len(self.made)
+        if len(ids) > 128:
             return self._merge_long(ids)
-        none = (len(ranks) + 1, -1)
-        while len(ids) > 1:
-            found = [ranks.get(p, none) for p in zip(ids, ids[1:], strict=False)]
-            best = min(found)
-            if best is none:
-                break
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-        return tuple(ids)
-
-    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
-        ranks, n = self.ranks, len(ids)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = self.made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        rank, n = self.rank_of.get, len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = right[i]
             if j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = self.made[best], -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             right[j] = -1
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (r := ranks.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
-        return tuple(i for i in ids if i >= 0)
+                if x >= 0 and y >= 0 and (r := rank(ids[x] << 32 | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
+        return [i for i in ids if i >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; special tokens are kept, ill-formed byte runs become U+FFFD."""
@@ -126,7 +130,7 @@ class Codec:
 # --- the transducer -----------------------------------------------------------------------
 
 
-def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
+def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """A memory-mappable minimal acyclic transducer of the words and their ids.
 
     Words are added in order; states left behind are merged with equal ones, so suffixes are
@@ -178,7 +182,7 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
     for state, i in number.items():
         ends[i] = finals[state]
     offsets = np.cumsum([0, *(len(words[w]) for w in order)], dtype=np.int64)
-    ids = np.fromiter(chain.from_iterable(words[w] for w in order), np.int64, int(offsets[-1]))
+    ids = np.fromiter(chain.from_iterable(words[w] for w in order), np.int32, int(offsets[-1]))
     head = np.array([len(table), len(ends), len(order), len(ids), number[0], max(map(len, order), default=0)], np.int64)
     return b"".join(x.tobytes() for x in (head, table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), ends, offsets, ids))
 
@@ -187,19 +191,20 @@ class Lexicon:
     """The mapped transducer; looks many words up at once, one byte of each at a time."""
 
     def __init__(self, data: np.ndarray) -> None:
-        n_arcs, n_states, n_words, n_ids, self.root, self.longest = (int(x) for x in data[:6])
-        sizes = [n_arcs, n_arcs, n_arcs, n_states, n_words + 1, n_ids]
-        at = np.cumsum([6, *sizes])
-        self.keys, self.targets, self.adds, self.finals, self.offsets, self.ids = (data[a : a + n] for a, n in zip(at, sizes, strict=False))
+        n_arcs, n_states, n_words, n_ids, self.root, self.longest = (int(x) for x in data[:48].view(np.int64))
+        sizes = [n_arcs, n_arcs, n_arcs, n_states, n_words + 1]
+        at = 48 + 8 * np.cumsum([0, *sizes])
+        self.keys, self.targets, self.adds, self.finals, self.offsets = (data[a : a + 8 * n].view(np.int64) for a, n in zip(at, sizes, strict=False))
+        self.ids = data[at[-1] : at[-1] + 4 * n_ids]
 
     @classmethod
     def map(cls, path: str) -> Lexicon:
-        return cls(np.memmap(path, np.int64, mode="r"))
+        return cls(np.memmap(path, np.uint8, mode="r"))
 
-    def find(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """Ids of each word, None for those outside."""
-        out: list[tuple[int, ...] | None] = [None] * len(words)
-        if not len(self.keys):
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of each word as 32-bit integers, None for words outside."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.keys) or not words:
             return out
         size = np.fromiter(map(len, words), np.int64, len(words))
         at = np.flatnonzero((size > 0) & (size <= self.longest))
@@ -215,9 +220,9 @@ class Lexicon:
             at, arc = at[ok], arc[ok]
             state, place = self.targets[arc], place[ok] + self.adds[arc]
             over = size[at] == depth + 1
-            for i in np.flatnonzero(over & (self.finals[state] == 1)):
-                p = int(place[i])
-                out[int(at[i])] = tuple(self.ids[self.offsets[p] : self.offsets[p + 1]].tolist())
+            hit = over & (self.finals[state] == 1)
+            for i, a, b in zip(at[hit].tolist(), self.offsets[place[hit]].tolist(), self.offsets[place[hit] + 1].tolist(), strict=True):
+                out[i] = self.ids[4 * a : 4 * b].tobytes()
             at, state, place = at[~over], state[~over], place[~over]
         return out
 
@@ -225,66 +230,73 @@ class Lexicon:
 class Encoder:
     """Whole texts to ids: special strings first, then pre-tokens through memo, lexicon and merges."""
 
-    def __init__(self, codec: Codec, lexicon: Lexicon, keep: int = 1 << 18) -> None:
+    def __init__(self, codec: Codec, lexicon: Lexicon, keep: int = 400_000) -> None:
         self.codec, self.lexicon, self.keep = codec, lexicon, keep
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(codec.special, key=len, reverse=True))) + ")") if codec.special else None
+        for text, i in codec.special.items():
+            if pretokens(text) == [text]:
+                raise ValueError(f"special string {text!r} looks like a pre-token")
+
+    def cut(self, text: str) -> Iterator[list[str]]:
+        """Pre-tokens in lists, special strings standing alone."""
+        for part in self.special.split(text) if self.special else [text]:
+            if part in self.codec.special:
+                yield [part]
+            elif part:
+                yield from map(pretokens, slices(part, " "))
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.memo]
         if len(self.memo) + len(new) > self.keep:
             self.memo.clear()
-            new = list(dict.fromkeys(words))
-        raw = [w.encode() for w in new]
+            new = list(words)
+        raw, merge = [w.encode() for w in new], self.codec.merge
         for w, b, ids in zip(new, raw, self.lexicon.find(raw), strict=True):
-            self.memo[w] = self.codec.merge(b) if ids is None else ids
+            self.memo[w] = np.array(self.codec.special.get(w) or merge(b), "<i4").tobytes() if ids is None else ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.special.split(text) if self.special else [text]:
-            if part in self.codec.special:
-                out.append(self.codec.special[part])
-                continue
-            for piece in slices(part, " ") if part else ():
-                words = pretokens(piece)
-                self.learn(dict.fromkeys(words))
-                out += chain.from_iterable(map(self.memo.__getitem__, words))
-        return out
+    def encode(self, texts: Iterable[str], at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+        """Ids of each text; words of about `at_once` characters are looked up together."""
+        held: list[list[list[str]]] = []
+        size = 0
 
+        def flush() -> Iterator[np.ndarray]:
+            self.learn(set(chain.from_iterable(chain.from_iterable(held))))
+            for lists in held:
+                yield np.frombuffer(b"".join(map(self.memo.__getitem__, chain.from_iterable(lists))), "<i4")
 
-# --- DataFrame operators ------------------------------------------------------------------
+        for text in texts:
+            held.append(list(self.cut(text)))
+            size += len(text)
+            if size > at_once:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
 
 
-def frequent_words(docs: DataFrame, codec: Codec, size: int = LEXICON, text_col: str = "text") -> dict[bytes, tuple[int, ...]]:
-    """The `size` most frequent pre-tokens of all documents with their ids; only these reach the driver."""
-    special = list(codec.special)
+# --- DataFrame operators ------------------------------------------------------------------
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile("|".join(map(regex.escape, special))).split if special else lambda x: [x]
-        found: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
-            found.clear()
-            return out
+def frequent_words(docs: DataFrame, codec: Codec, size: int = LEXICON, text_col: str = "text", longest: int = 48) -> dict[bytes, list[int]]:
+    """At most `size` of the most frequent words of all documents, as pre-tokens, with their ids.
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                for part in cut(batch.column(0)[i].as_py() or ""):
-                    for piece in slices(part, " "):
-                        found.update(w for w in pretokens(piece) if len(w) <= 64)
-                if len(found) > 1 << 18:
-                    yield flush()
-        if found:
-            yield flush()
-
-    best = (
-        docs.select(F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(count, "word string, n long")
-        .groupBy("word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(size).select("word")
-    )
-    return {w: codec.merge(w) for w in (r[0].encode() for r in best.collect())}
+    Words are runs of letters with the space before them, counted by Spark's own functions
+    over every text; counts are combined before their shuffle.  A histogram over sixteenths of
+    octaves sets the least count that keeps within `size`, so only chosen words reach the driver.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(r" ?\p{L}+"), F.lit(0))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.length("word") <= longest).filter("n > 1")
+    counted = counted.select("word", F.floor(F.log2("n") * 16).cast("int").alias("level"))
+    counted = cut(counted)
+    room, least = size, None
+    for level, n in sorted(counted.groupBy("level").count().collect(), reverse=True):  # some hundred levels
+        room -= n
+        if room < 0:
+            break
+        least = level
+    if least is None:
+        return {}
+    return {w: codec.merge(w) for w in (r[0].encode() for r in counted.filter(F.col("level") >= least).select("word").collect())}
 
 
 def ship(spark: SparkSession, data: bytes, kind: str = "lexicon") -> str:
@@ -300,15 +312,22 @@ def ship(spark: SparkSession, data: bytes, kind: str = "lexicon") -> str:
     return name
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _encoder(codec, name: str) -> Encoder:
-    return Encoder(codec.value, Lexicon.map(SparkFiles.get(name)))
+    """The worker's encoder for a lexicon, kept from task to task with its memo."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(codec.value, Lexicon.map(SparkFiles.get(name)))
+    return _ENCODERS[name]
 
 
 def prepare(docs: DataFrame, tokenizer_path: str, size: int = LEXICON, text_col: str = "text"):
     """(broadcast codec, shipped lexicon's name) for a corpus."""
     spark = docs.sparkSession
     codec = Codec(tokenizer_path)
-    name = ship(spark, compile_lexicon(frequent_words(docs, codec, size, text_col)))
+    name = ship(spark, compile_lexicon(frequent_words(docs, codec, size, text_col)), f"lexicon-{codec.key}")
     return spark.sparkContext.broadcast(codec), name
 
 
@@ -324,7 +343,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         encoder = _encoder(codec, name)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                got = [encoder.encode(x.as_py() or "") for x in part.column(1)]
+                got = list(encoder.encode(Texts(part.column(1))))
                 yield pa.record_batch([part.column(0), pa.array(map(len, got), pa.int64()), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
     return _pairs(docs, id_col, text_col).mapInArrow(work, "doc_id long, n_tokens long, ids array<int>")
@@ -342,6 +361,16 @@ def decode(rows: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(work, "doc_id long, text string")
 
 
+class Texts:
+    """The texts of a column one at a time, null as empty."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.column = column
+
+    def __iter__(self) -> Iterator[str]:
+        return (x.as_py() or "" for x in self.column)
+
+
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded and its ids decoded again.
 
@@ -355,8 +384,8 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         told = encoder.codec.texts.__getitem__
         for batch in batches:
             n, a, b = [], [], []
-            for x in batch.column(1):
-                ids = encoder.encode(x.as_py() or "")
+            for ids in encoder.encode(Texts(batch.column(1))):
+                ids = ids.tolist()
                 n.append(len(ids))
                 a.append(sha(",".join(map(told, ids)).encode()).hexdigest())
                 b.append(sha(encoder.codec.decode(ids).encode()).hexdigest())
