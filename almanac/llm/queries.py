@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secrets, simhash, token_counts, warc
-from .common import documents
+from . import bpe, quality_model, quality_rules, secrets, simhash, token_counts, toxicity, warc
+from .common import documents, labels
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +29,10 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -38,6 +42,10 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_shouted")
 
 
+def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -47,8 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_transducer": op1_bpe_transducer,
         "op2_token_counts": op2_token_counts,
         "op3_simhash_trie": op3_simhash_trie,
+        "op6_toxicity_mil": op6_toxicity_mil,
         "op7_secret_linking": op7_secret_linking,
         "op8_rule_ledger": op8_rule_ledger,
+        "op9_nbsvm_quality": op9_nbsvm_quality,
         "op10_arc_to_warc": op10_arc_to_warc,
     }
 
