@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_model, quality_rules, secrets, simhash, token_counts, toxicity, warc
+from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, token_counts, toxicity, warc
 from .common import documents, labels
 
 
@@ -29,6 +30,10 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).withColumn("p", F.round("p", 6))
+
+
 def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_transducer": op1_bpe_transducer,
         "op2_token_counts": op2_token_counts,
         "op3_simhash_trie": op3_simhash_trie,
+        "op4_mixing_ipf": op4_mixing_ipf,
         "op6_toxicity_mil": op6_toxicity_mil,
         "op7_secret_linking": op7_secret_linking,
         "op8_rule_ledger": op8_rule_ledger,
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing_ipf": mixing.SQL,
         "op8_rule_ledger": quality_rules.SQL,
         "op10_arc_to_warc": warc.SQL,
     }
