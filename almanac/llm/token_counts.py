@@ -28,7 +28,7 @@ class PieceModel:
     order: dict[str, int]
     whole: frozenset[str] = frozenset()
     pattern: str = ""
-    keep: int = 1 << 18
+    keep: int = 600_000
     _memo: dict[str, int] = field(default_factory=dict)
 
     @classmethod
@@ -63,17 +63,18 @@ class PieceModel:
 
     def merge(self, unit: str) -> list[str]:
         """The unit's tokens: the best-ranked adjacent pair first, the leftmost among equals."""
-        parts, order = list(unit), self.order
-        if len(parts) > 48:
+        parts, rank, none = list(unit), self.order.get, len(self.order) + 1
+        if len(parts) > 128:
             return self._merge_long(parts)
-        none = len(order) + 1
-        while len(parts) > 1:
-            ranks = [order.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == none:
-                break
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts[i + 1]
+            del parts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -111,10 +112,11 @@ class PieceModel:
         if not text:
             return 0
         find, whole, n = re.compile(self.pattern).findall, self.whole.__contains__, 0
+        known = self._memo.get
         for part in slices(MARK + text.replace(" ", MARK), MARK):
             units = find(part)
             rest = list(filterfalse(whole, units))
-            n += len(units) - len(rest) + sum(map(self.count_unit, rest))
+            n += len(units) - len(rest) + sum(known(u) or self.count_unit(u) for u in rest)
         return n
 
 
