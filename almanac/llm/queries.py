@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_model, quality_rules, secrets, simhash, token_counts, toxicity, warc
+from . import bpe, mixing, nn_descent, quality_model, quality_rules, secrets, simhash, token_counts, toxicity, warc
 from .common import documents, labels
 
 
@@ -34,6 +34,10 @@ def op4_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).withColumn("p", F.round("p", 6))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_simhash_trie": op3_simhash_trie,
         "op4_mixing_ipf": op4_mixing_ipf,
+        "op5_nn_descent": op5_nn_descent,
         "op6_toxicity_mil": op6_toxicity_mil,
         "op7_secret_linking": op7_secret_linking,
         "op8_rule_ledger": op8_rule_ledger,
