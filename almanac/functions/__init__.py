@@ -1 +1 @@
-
+"""Scalar rules and the fixed tables behind them."""

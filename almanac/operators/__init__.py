@@ -1 +1 @@
-
+"""Relational operators as functions from DataFrames to a DataFrame."""

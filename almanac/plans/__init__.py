@@ -1 +1 @@
-
+"""Named queries and the archive derived tables."""

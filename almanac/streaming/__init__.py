@@ -1 +1 @@
-
+"""Incremental state and event-time windows."""
