@@ -58,9 +58,15 @@ def leaderboard_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _load() -> None:
+    from almanac.plans import analogues  # noqa: F401  registers on import
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
