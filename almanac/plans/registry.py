@@ -59,7 +59,7 @@ def leaderboard_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from almanac.plans import analogues  # noqa: F401  registers on import
+    from almanac.plans import analogues, stateful  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
