@@ -137,54 +137,45 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     shared.  An arc's number counts the words that its state has before that arc; their sum
     along a path is the word's place among the sorted words.
     """
-    finals, arcs, known = [False], [[]], {}
-
-    def settle(path: list[int], depth: int) -> None:
-        while len(path) - 1 > depth:
-            state = path.pop()
-            key = (finals[state], tuple(map(tuple, arcs[state])))
-            same = known.setdefault(key, state)
-            arcs[path[-1]][-1][1] = same
-
-    path, last = [0], b""
+    known: dict[tuple, int] = {}  # settled states: finality and arcs (byte << 32 | state), to their number
+    below: list[int] = []  # words below each
+    path: list[tuple[bool, list[int]]] = [(False, [])]  # states of the last word, still open
+    low = (1 << 32) - 1
+
+    def settle(depth: int) -> None:
+        while len(path) > depth:
+            final, arcs = path.pop()
+            key = (final, *arcs)
+            state = known.get(key)
+            if state is None:
+                state = known[key] = len(below)
+                below.append(final + sum(below[a & low] for a in arcs))
+            if path:
+                path[-1][1].append(last[len(path) - 1] << 32 | state)
+
+    last = b""
     order = sorted(words)
     for word in order:
-        shared = next((i for i, (a, b) in enumerate(zip(word, last, strict=False)) if a != b), min(len(word), len(last)))
-        settle(path, shared)
-        for byte in word[shared:]:
-            finals.append(False)
-            arcs.append([])
-            arcs[path[-1]].append([byte, len(arcs) - 1])
-            path.append(len(arcs) - 1)
-        finals[path[-1]] = True
+        settle(1 + next((i for i, (a, b) in enumerate(zip(word, last, strict=False)) if a != b), min(len(word), len(last))))
+        path += [(False, []) for _ in range(len(path) - 1, len(word))]
+        path[-1] = (True, path[-1][1])
         last = word
-    settle(path, 0)
-
-    number, below = {}, {}  # states as numbered in the file, and the words below each
-    todo = [(0, False)]
-    while todo:  # children first
-        state, done = todo.pop()
-        if done:
-            number.setdefault(state, len(number))
-            below[state] = finals[state] + sum(below[t] for _, t in arcs[state])
-        elif state not in below:
-            todo.append((state, True))
-            todo += [(t, False) for _, t in arcs[state] if t not in below]
-    rows = []
-    for state, i in number.items():
-        before = int(finals[state])
-        for byte, target in arcs[state]:
-            rows.append((i << 8 | byte, number[target], before))
-            before += below[target]
-    rows.sort()
-    table = np.array(rows, np.int64).reshape(-1, 3)
-    ends = np.zeros(len(number), np.int64)
-    for state, i in number.items():
-        ends[i] = finals[state]
+    settle(0)
+
+    ends = np.fromiter((key[0] for key in known), np.int64, len(known))
+    n_arcs = sum(len(key) - 1 for key in known)
+    table = np.empty((3, n_arcs), np.int64)
+    at = 0
+    for state, (final, *arcs) in enumerate(known):  # numbered as they were settled, so arcs come sorted
+        before = int(final)
+        for a in arcs:
+            table[:, at] = state << 8 | a >> 32, a & low, before
+            before += below[a & low]
+            at += 1
     offsets = np.cumsum([0, *(len(words[w]) for w in order)], dtype=np.int64)
     ids = np.fromiter(chain.from_iterable(words[w] for w in order), np.int32, int(offsets[-1]))
-    head = np.array([len(table), len(ends), len(order), len(ids), number[0], max(map(len, order), default=0)], np.int64)
-    return b"".join(x.tobytes() for x in (head, table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), ends, offsets, ids))
+    head = np.array([n_arcs, len(ends), len(order), len(ids), len(ends) - 1, max(map(len, order), default=0)], np.int64)
+    return b"".join(x.tobytes() for x in (head, table, ends, offsets, ids))
 
 
 class Lexicon:
@@ -296,7 +287,8 @@ def frequent_words(docs: DataFrame, codec: Codec, size: int = LEXICON, text_col:
         least = level
     if least is None:
         return {}
-    return {w: codec.merge(w) for w in (r[0].encode() for r in counted.filter(F.col("level") >= least).select("word").collect())}
+    chosen = counted.filter(F.col("level") >= least).select("word").toArrow().column(0)
+    return {w: codec.merge(w) for w in (x.as_py().encode() for x in chosen)}
 
 
 def ship(spark: SparkSession, data: bytes, kind: str = "lexicon") -> str:

@@ -50,7 +50,7 @@ class Grams(dict):
         """Ids of the distinct n-grams of a whole text: words and word pairs, shapes up to threes, and how often threes repeat."""
         words = _words(text)
         if not words:
-            return np.array([0])
+            return np.zeros(1, np.int32)
         both = np.fromiter(map(self.__getitem__, words), np.int64, len(words)).astype(np.uint64)
         word, form = both >> np.uint64(31), both & np.uint64(0x7FFFFFFF)
         mix = [_mixed(1, word), _mixed(2, form)]
@@ -78,7 +78,7 @@ def _hash(kind: int, *parts: np.ndarray) -> np.ndarray:
 
 
 def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
-    return (_hash(kind, *parts) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (_hash(kind, *parts) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 @dataclass
@@ -116,7 +116,7 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
     sign, rng = np.where(y > 0, 1.0, -1.0), np.random.default_rng(seed)
     share = {1.0: len(y) / 2 / max(1, (sign > 0).sum()), -1.0: len(y) / 2 / max(1, (sign < 0).sum())}
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(y))
-    square = np.array([v @ v + 1 for v in values])  # the bias is a feature of 1
+    square = np.array([float(v @ v) + 1 for v in values])  # the bias is a feature of 1
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
@@ -168,7 +168,7 @@ def fit(texts: list[str], y: list[int], cost: float = 1.0) -> NbSvm:
     values = []
     for ids in fitted:
         r = ratio[ids]
-        values.append(r / (np.sqrt(r @ r) or 1.0))
+        values.append((r / (np.sqrt(r @ r) or 1.0)).astype(np.float32))
     w, bias = dual_descent(fitted, values, label[own], cost)
     model = NbSvm(ratio, w * ratio, bias, 1.0, 0.0)
     rest = np.flatnonzero(~own) if not own.all() else np.arange(len(rows))
