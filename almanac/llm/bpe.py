@@ -221,7 +221,7 @@ class Lexicon:
 class Encoder:
     """Whole texts to ids: special strings first, then pre-tokens through memo, lexicon and merges."""
 
-    def __init__(self, codec: Codec, lexicon: Lexicon, keep: int = 400_000) -> None:
+    def __init__(self, codec: Codec, lexicon: Lexicon, keep: int = 700_000) -> None:
         self.codec, self.lexicon, self.keep = codec, lexicon, keep
         self.memo: dict[str, bytes] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(codec.special, key=len, reverse=True))) + ")") if codec.special else None
