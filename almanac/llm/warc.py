@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import cut, shared_dir
 
 #: Field names of the header line by ARC version (fixed by the format).
 V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -28,6 +28,8 @@ FIELDS = {1: len(V1.split()), 2: len(V2.split())}
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Equal payloads below so many bytes are not worth a revisit record.
 LEAST = 100
+#: Repeated digests that may be broadcast, of some hundred bytes each.
+FEW = 100_000
 DATE = "20240101000000"
 
 
@@ -214,8 +216,8 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     _write(rows.mapInArrow(work, "record binary"), path, "\n", per_file)
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, date, mime, ip, version, block, payload_bytes, payload_digest) of every ARC record under a path."""
+def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """(page_id, url, date, mime, ip, version, block, payload_bytes, payload_digest) of every ARC record under a path; blocks are null where not asked for."""
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
     names = ["page_id", "url", "date", "mime", "ip", "version", "block", "payload_bytes", "payload_digest"]
 
@@ -227,7 +229,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 for r in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     head, payload = r.parts
                     page = http_head(head).get("x-page-id")
-                    rows.append((int(page) if page else None, r.url, r.date, r.mime, r.ip, r.version, r.block, len(payload), sha(payload)))
+                    rows.append((int(page) if page else None, r.url, r.date, r.mime, r.ip, r.version, r.block if blocks else None, len(payload), sha(payload)))
                     if len(rows) == 256:
                         yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []
@@ -240,17 +242,19 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 def convert_archives(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST, per_file: int = 2048) -> None:
     """Converts all ARC files under a path to WARC.
 
-    Of equal payloads of at least `least` bytes the smallest page id stays a response.  Only
-    digests that occur more than once are joined back, on the digest; counts and minima are
-    combined before their shuffle.  Records that share the smallest id are responses all, null
+    Of equal payloads of at least `least` bytes the smallest page id stays a response.  Digests
+    are counted first, without the blocks, and combined before their shuffle.  Only those that
+    occur more than once are joined back: broadcast if they are FEW at most, so that no block
+    is shuffled, else by a shuffled join on the digest, whose hot keys adaptive execution splits.  Records that share the smallest id are responses all, null
     ids are never the smallest, and where all ids are null all are responses.
     """
     records = read_arc(spark, arc_path)
-    again = (
-        records.select("payload_digest", "page_id", "payload_bytes").filter(F.col("payload_bytes") >= least)
+    again = cut(
+        read_arc(spark, arc_path, blocks=False).select("payload_digest", "page_id", "payload_bytes").filter(F.col("payload_bytes") >= least)
         .groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .filter("n > 1 AND first IS NOT NULL").select("payload_digest", "first")
     )
+    again = F.broadcast(again) if again.count() <= FEW else again
     rows = records.join(again, "payload_digest", "left").select("page_id", "url", "date", "mime", "ip", "block", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,7 +160,9 @@ def test_warc_records():
             list(warc.parse_warc(bad))
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_archives_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
     long, short = "é" * 60, "short"
     rows = [(5, "u", long), (3, "u", long), (9, None, long), (4, "v w", short), (6, "v", short), (7, "n", None), (8, "", ""), (3, "again", long), (None, "x", long), (10, "b", "\r\n\r\nWARC/1.1\r\n" + "z" * 100), (11, "c", "x\n" * 80_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
