@@ -8,6 +8,8 @@ that the expected tokens meet the budget.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +32,29 @@ FEW = 100_000
 NONE = "(none)"
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, u): u is uniform in [0, 1), a hash of the id (of the text for null ids)."""
-    rows = docs.select(
-        F.col(id_col).cast("string").alias("doc_id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+def _described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """The documents with _mix_source, _mix_lang, _mix_topic, _mix_n and _mix_u, uniform in [0, 1): a hash of the id, of the text for null ids."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    n = F.size(F.filter(F.split(text, SPACE, -1), lambda x: x != "")).cast("long")
+    seed = F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), text)).cast("binary")
+    rows = docs.withColumns(
+        {
+            "_mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)),
+            "_mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)),
+            "_mix_n": n,
+            "_mix_text": text,
+            "_mix_u": F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("double") / 4294967296.0,
+        }
     )
-    rows = rows.withColumn("n_tokens", F.size(F.filter(F.split("text", SPACE, -1), lambda x: x != "")).cast("long"))
-    topic = F.expr("CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in TOPICS) + f" ELSE '{ELSE}' END")
-    seed = F.concat(F.lit("mix:"), F.coalesce("doc_id", "text")).cast("binary")
-    u = F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", topic.alias("topic"), "n_tokens", u.alias("u"))
+    tests = [(name, re.sub(r"\btext\b", "_mix_text", re.sub(r"\bn_tokens\b", "_mix_n", test))) for name, test in TOPICS]
+    topic = F.expr("CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in tests) + f" ELSE '{ELSE}' END")
+    return rows.withColumn("_mix_topic", topic).drop("_mix_text")
+
+
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, u) of every document."""
+    rows = _described(docs, id_col, text_col, source_col, lang_col)
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(f"_mix_{d}").alias(d) for d in DIMS), F.col("_mix_n").alias("n_tokens"), F.col("_mix_u").alias("u"))
 
 
 def targets(cells: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
@@ -120,18 +132,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share their fate; values without a target are not drawn; an empty table gives no rows.
     """
     rows = described(docs, id_col, text_col, source_col, lang_col)
+    done = plan(rows, budget, wanted, powers)
+    return rows.join(done, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "p", (F.col("u") < F.col("p")).alias("kept"))
+
+
+def plan(rows: DataFrame, budget: float, wanted: DataFrame | None = None, powers: dict[str, float] = POWERS) -> DataFrame:
+    """(source, lang, topic, p) for described documents; marked for broadcast where the cells are few."""
     cells = cut(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    if cells.isEmpty():
-        return rows.select("doc_id", *DIMS, "n_tokens", F.lit(1.0).alias("p"), F.lit(True).alias("kept"))
     done = cut(probabilities(rake(cells, cut(targets(cells, powers)) if wanted is None else wanted), budget)).select(*DIMS, "p")
-    done = F.broadcast(done) if done.count() <= FEW else done
-    return rows.join(done, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "p", (F.col("u") < F.col("p")).alias("kept"))
+    return F.broadcast(done) if done.count() <= FEW else done
 
 
-def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **how) -> DataFrame:
-    """The documents that the mixture keeps, all columns kept."""
-    kept = mix(docs.withColumn("_mix_id", F.col(id_col).cast("long")), "_mix_id", text_col, source_col, lang_col, **how).filter("kept").select(F.col("doc_id").alias("_mix_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == F.col("_mix_id"), "left_semi")
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", budget: float = 0.8, wanted: DataFrame | None = None, powers: dict[str, float] = POWERS) -> DataFrame:
+    """The documents that the mixture keeps, all columns kept; documents meet their cell's probability in place."""
+    done = plan(described(docs, id_col, text_col, source_col, lang_col), budget, wanted, powers)
+    rows = _described(docs, id_col, text_col, source_col, lang_col)
+    hits = rows.join(done.select(*(F.col(d).alias(f"_mix_{d}") for d in DIMS), F.col("p").alias("_mix_p")), [f"_mix_{d}" for d in DIMS])
+    return hits.filter("_mix_u < _mix_p").select(*docs.columns)
 
 
 def _sql(budget: float = 0.8, sweeps: int = 40) -> str:

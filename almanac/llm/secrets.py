@@ -60,6 +60,11 @@ def _spans(places: str, kind: int, keep: str = "true") -> Column:
     return F.expr(f"transform(filter({places}, x -> {keep}), x -> named_struct('start', x.start, 'kind', {kind}, 'stop', x.stop))").cast(f"array<{SPAN}>")
 
 
+def _key(id_: Column, text: Column) -> Column:
+    """Names a document by its id and text; rows of equal id and text share it and its spans."""
+    return F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit(":"), F.md5(text.cast("binary")), F.lit(":"), F.length(text).cast("string"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """(doc_id, base, added) of every document: arrays of (start, kind, stop), kinds by their place in KINDS.
 
@@ -67,6 +72,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     empty and have no spans; repeated rows come back as often as given, with the same spans;
     an empty table gives no rows.
     """
+    return _scan(docs, id_col, text_col, rules).drop("key")
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, rules: Rules) -> DataFrame:
+    """As scan, with the key of documents that hold all parts of a credential somewhere, null for others."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"m0": _found("text", ASSIGN), "m1": _found("text", ACCESS), "m2": _found("text", HEX)})
     some = F.size("m0") + F.size("m2") > 0  # no credential without a secret part
@@ -85,14 +95,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
             "ends": F.when(F.size("p4") > 0, F.expr("transform(p4, x -> x.start)")).otherwise(F.array().cast("array<int>")),
         }
     )
-    # Rows with all parts of a credential somewhere get a key; rows of equal id and text share it and its spans.
     open_ = (F.size("weak") > 0) & (F.size("ends") > 0)
-    key = F.when(open_, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.col("text").cast("binary")), F.lit(":"), F.length("text").cast("string")))
+    key = F.when(open_, _key(F.col("doc_id"), F.col("text")))
     kept = cut(rows.select("doc_id", "base", F.when(open_, F.col("weak")).alias("weak"), F.when(open_, F.col("ends")).alias("ends"), key.alias("key")))
-    plain = kept.filter("key is null").select("doc_id", "base", F.array().cast(f"array<{SPAN}>").alias("added"))
+    plain = kept.filter("key is null").select("doc_id", "key", "base", F.array().cast(f"array<{SPAN}>").alias("added"))
     linked = kept.filter("key is not null")
     added = _linked(linked.dropDuplicates(["key"]), rules)
-    joined = linked.join(added, "key", "left").select("doc_id", "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
+    joined = linked.join(added, "key", "left").select("doc_id", "key", "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
     return plain.unionByName(joined)
 
 
@@ -142,8 +151,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     columns = docs.columns
     out = docs
     size = f"char_length(regexp_extract(x, r'{ASSIGN.replace(chr(39), chr(92) + 'x27')}', 1)) >= {rules.min_value}"
-    weak = cut(scan(docs, id_col, text_col, rules).filter(F.size("added") > 0).select(F.col("doc_id").alias("_sec_id"), "added").dropDuplicates(["_sec_id"])).withColumnRenamed("added", "_sec_added")
-    out = out.join(weak, out[id_col].cast("long") == F.col("_sec_id"), "left")
+    weak = cut(_scan(docs, id_col, text_col, rules).filter(F.size("added") > 0).select(F.col("key").alias("_sec_key"), F.col("added").alias("_sec_added")).dropDuplicates(["_sec_key"]))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    out = out.join(weak, _key(docs[id_col].cast("long"), text) == F.col("_sec_key"), "left")
     # Weak spans first, as their positions hold for the untouched text; from the last to the first.
     wiped = F.expr(f"""CASE WHEN _sec_added IS NULL THEN `{text_col}` ELSE aggregate(reverse(_sec_added), `{text_col}`,
         (t, x) -> concat(substring(t, 1, x.start), '{mark}', substring(t, x.stop + 1))) END""")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, connected_components, cut, local_forest
+from .fold import with_columns
 
 #: Shingles whose bits are counted at once, so that memory stays bounded for any text length.
 CHUNK = 1 << 14
@@ -222,17 +223,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     value; repeated rows come back once each; a null id is never the name of a component, and a
     component with null ids only has a null component_id; an empty table gives no rows.
     """
+    rows, by_fp = _grouped(docs, id_col, text_col, width, budget, hot)
+    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every document; and (fp, component, component_id), a component named by its least fingerprint."""
     rows = cut(fingerprints(docs, id_col, text_col, width))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(near_edges(classes, budget, hot))
     named = classes.join(parts, classes["fp"] == parts["node"], "left").select(classes["fp"], "least", F.coalesce("component", classes["fp"]).alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows, named.join(least, "component").select("fp", "component", "component_id")
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, hot: int = 512) -> DataFrame:
+    """One document of each group, all columns kept: that whose id names the component.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Documents whose id names their own component: one of each group, with all their columns."""
-    groups = near_duplicates(docs, id_col, text_col, **how)
-    names = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(names, docs[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    Of repeated rows one stays.  Documents without an id stay, one a group, where none of
+    their group has an id.
+    """
+    rows, by_fp = _grouped(docs, id_col, text_col, width, budget, hot)
+    names = rows.join(by_fp, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_sim_id")).distinct()
+    kept = docs.join(names, docs[id_col].cast("long") == F.col("_sim_id"), "left_semi").dropDuplicates([id_col])
+    unnamed = docs.filter(F.col(id_col).isNull())
+    if unnamed.isEmpty():
+        return kept
+    marked = with_columns(unnamed, text_col, lambda: lambda t: ((fp := fingerprint(t, width)) - (fp >> 63 << 64),), [("_sim_fp", "long")])
+    alone = by_fp.filter("component_id IS NULL").select(F.col("fp").alias("_sim_fp"), F.col("component").alias("_sim_part"))
+    return kept.unionByName(marked.join(alone, "_sim_fp").dropDuplicates(["_sim_part"]).select(*docs.columns))

@@ -312,6 +312,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_arc(pages, f"{base}/arc", id_col, url_col, html_col)
     convert_archives(spark, f"{base}/arc", f"{base}/warc", least)
+    arc = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/arc")  # made here only to be converted
+    arc.getFileSystem(spark._jsc.hadoopConfiguration()).delete(arc, True)
     return read_warc(spark, f"{base}/warc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -156,3 +156,26 @@ def test_pipeline_stages(spark, tmp_path):
 def test_pipeline_runs(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "n_tokens", "ids"]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+@pytest.mark.parametrize("i", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_odd_tables(spark, small, i):
+    """Nulls everywhere, repeated rows, clashing extra columns, very long texts, and no rows."""
+    stage = corpus_pipeline.STAGES[i][1]
+    long = "river stone cloud field over rain " * 20_000
+    rows = [(1, "a few plain words", "en", "s", 17, "x", 0.5, 1), (1, "a few plain words", "en", "s", 17, "x", 0.5, 1), (None, None, None, None, None, None, None, None), (2, None, "en", None, None, "y", None, 2), (3, "", None, "s", 0, None, 0.1, 3), (4, long, "en", "s", len(long), "z", 0.2, 4), (None, "without an id", "en", "s", 13, "z", 0.2, 4), (5, "user=al token = " + "k1" * 10, "en", "s", 1, "q", 0.0, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, score double, fp int")
+    out = stage(spark, df, small)
+    got = out.collect()
+    assert len(got) <= len(rows)
+    if i < len(corpus_pipeline.STAGES) - 1:
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        by_id = {r[0]: r for r in rows}
+        assert all(r["doc_id"] in by_id for r in got)
+    if i in (2, 4):
+        assert len(got) == len(rows)
+    if i == 1:
+        assert len(got) == 5  # the empty ones, the repeated ones, and the others by themselves
+    if i == 2:
+        assert [r["text"] for r in got if r["doc_id"] == 5] == ["user=al [SECRET]"]
+    assert stage(spark, df.filter("doc_id = 99"), small).count() == 0

@@ -88,6 +88,8 @@ def test_documents(spark):
     assert got == want
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c in brute_groups(prints, ids)})
+    unnamed = df.unionByName(spark.createDataFrame([(None, "no id here at all", "a"), (None, "no id here at all", "b"), (None, texts[0], "c")], df.schema))
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(unnamed).collect()) == sorted(["None", *map(str, {c for c in brute_groups(prints, ids)})])
     assert simhash.near_duplicates(df.filter("doc_id < 0")).count() == 0
 
 
