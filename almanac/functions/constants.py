@@ -93,3 +93,14 @@ COUNTRY_ALIASES = {
     "syria": "Syrian Arab Republic", "cote d'ivoire": "Côte d'Ivoire",
     "ivory coast": "Côte d'Ivoire",
 }
+#: Classes of entities that count as of a type; and words of descriptions that do where classes don't.
+ENTITY_CLASSES = {
+    "player": ("Q5",),
+    "club": ("Q476028", "Q22687", "Q15942466", "Q15944511", "Q11410", "Q103229495"),
+    "competition": ("Q500834", "Q27020041", "Q1478437", "Q623109", "Q13406554", "Q170645"),
+    "country": ("Q6256", "Q3624078", "Q7275", "Q185086"),
+    "city": ("Q515", "Q3957", "Q486972", "Q1549591"),
+}
+FOOTBALL = "Q2736"
+PLAYER_WORDS = ("football", "footballer", "soccer", "manager", "coach", "midfielder", "defender", "forward", "striker", "goalkeeper")
+COMPETITION_WORDS = ("football", "soccer", "association football")
