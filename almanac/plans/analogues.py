@@ -94,11 +94,11 @@ def _two_level(base: DataFrame) -> DataFrame:
 @query(
     """
     SELECT p_brand AS brand, count(*)::BIGINT AS n, string_agg(p_partkey || ':' || p_name, ',' ORDER BY p_partkey) AS parts
-    FROM part WHERE p_size <= 10 GROUP BY p_brand"""
+    FROM part GROUP BY p_brand"""
 )
 def group_to_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a group as a list in source order (A5)."""
-    rows = table(spark, sf_dir, "part").filter("p_size <= 10")
+    rows = table(spark, sf_dir, "part")
     items = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
     told = F.transform(items, lambda x: F.concat(x["p_partkey"].cast("string"), F.lit(":"), x["p_name"]))
     return rows.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"), F.array_join(told, ",").alias("parts"))
@@ -271,9 +271,9 @@ def player_page_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH prizes AS (SELECT 'Prize ' || (n_nationkey % 4) AS name, unnest([1995 + n_nationkey % 6, 1996 + n_nationkey % 5]) AS season FROM nation WHERE n_nationkey < 8),
+    WITH prizes AS (SELECT 'Prize ' || (n_nationkey % 4) AS name, unnest([1995 + n_nationkey % 6, 1996 + n_nationkey % 5]) AS season FROM nation),
     tenure AS (SELECT o_custkey % 50 AS coach, year(o_orderdate) AS season, count(*) FILTER (WHERE o_orderstatus = 'F') AS w, count(*) FILTER (WHERE o_orderstatus = 'O') AS d, count(*) FILTER (WHERE o_orderstatus = 'P') AS l
-               FROM orders WHERE o_custkey % 97 = 3 GROUP BY 1, 2)
+               FROM orders GROUP BY 1, 2)
     SELECT coach, string_agg(DISTINCT cast(tenure.season AS VARCHAR), ',' ORDER BY cast(tenure.season AS VARCHAR)) AS seasons,
            coalesce(string_agg(DISTINCT name || ' ' || tenure.season, ',' ORDER BY name || ' ' || tenure.season), '') AS trophies,
            max(t.won)::BIGINT AS won, max(t.played)::BIGINT AS played
@@ -284,9 +284,9 @@ def player_page_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coach_trophies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prize lists exploded to seasons, joined to tenures and collected by coach with their totals."""
     k = F.col("n_nationkey").cast("long")
-    prizes = table(spark, sf_dir, "nation").filter("n_nationkey < 8").select(F.concat(F.lit("Prize "), (k % 4).cast("string")).alias("name"), F.explode(F.array(1995 + k % 6, 1996 + k % 5)).alias("season"))
+    prizes = table(spark, sf_dir, "nation").select(F.concat(F.lit("Prize "), (k % 4).cast("string")).alias("name"), F.explode(F.array(1995 + k % 6, 1996 + k % 5)).alias("season"))
     status = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    tenure = table(spark, sf_dir, "orders").filter("o_custkey % 97 = 3").groupBy((F.col("o_custkey") % 50).alias("coach"), F.year("o_orderdate").cast("long").alias("season")).agg(status("F").alias("w"), status("O").alias("d"), status("P").alias("l"))
+    tenure = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("coach"), F.year("o_orderdate").cast("long").alias("season")).agg(status("F").alias("w"), status("O").alias("d"), status("P").alias("l"))
     by_season = prizes.groupBy("season").agg(F.collect_set("name").alias("names"))
     rows = tenure.join(by_season, "season", "left")
     prize = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.concat(n, F.lit(" "), F.col("season").cast("string")))
@@ -299,29 +299,29 @@ def coach_trophies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH base AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS role FROM customer WHERE c_custkey % 5 <> 1),
-    staff AS (SELECT c_custkey AS id, 'S' || c_custkey AS name, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'staff' END AS role FROM customer WHERE c_custkey % 7 < 4)
+    WITH base AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE c_mktsegment END AS role FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+    staff AS (SELECT c_custkey AS id, 'S' || c_custkey AS name, CASE WHEN c_nationkey < 5 THEN '' ELSE 'staff' END AS role FROM customer WHERE c_nationkey < 14)
     SELECT coalesce(b.id, s.id) AS id, coalesce(b.name, CASE WHEN b.id IS NULL THEN s.name END) AS name, coalesce(nullif(s.role, ''), b.role) AS role
     FROM base b FULL JOIN staff s ON b.id = s.id"""
 )
 def overlay_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full outer overlay that grafts non-empty values."""
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment")
-    base = people.filter("id % 5 <> 1").select("id", F.col("c_name").alias("name"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("role"))
-    staff = people.filter("id % 7 < 4").select("id", F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 4 == 0, "").otherwise("staff").alias("role"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment", "c_nationkey")
+    base = people.filter("c_mktsegment <> 'MACHINERY'").select("id", F.col("c_name").alias("name"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "").otherwise(F.col("c_mktsegment")).alias("role"))
+    staff = people.filter("c_nationkey < 14").select("id", F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"), F.when(F.col("c_nationkey") < 5, "").otherwise("staff").alias("role"))
     return joins.overlay(base, staff, "id", ["role"])
 
 
 @query(
     """
-    WITH m AS (SELECT n_name AS en, 'X-' || n_nationkey AS he FROM nation WHERE n_nationkey % 3 <> 0)
+    WITH m AS (SELECT n_name AS en, 'X-' || n_nationkey AS he FROM nation WHERE n_regionkey <> 2)
     SELECT coalesce(nullif(he, ''), n_name) AS place, count(*)::BIGINT AS n
     FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN m ON en = n_name GROUP BY 1"""
 )
 def dictionary_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by dictionary, unknown ones as they are."""
     nation = table(spark, sf_dir, "nation")
-    mapping = nation.filter("n_nationkey % 3 <> 0").select(F.lit("places").alias("category"), F.col("n_name").alias("en"), F.concat(F.lit("X-"), F.col("n_nationkey").cast("string")).alias("he"))
+    mapping = nation.filter("n_regionkey <> 2").select(F.lit("places").alias("category"), F.col("n_name").alias("en"), F.concat(F.lit("X-"), F.col("n_nationkey").cast("string")).alias("he"))
     counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n")).join(nation, "n_nationkey").select(F.col("n_name").alias("place"), "n")
     return joins.translate(counts, mapping, {"place": "places"}).groupBy("place").agg(F.sum("n").alias("n"))
 
@@ -329,7 +329,7 @@ def dictionary_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH wanted AS (SELECT s_suppkey AS display, unnest(['Supplier#' || (s_suppkey * 2), 'Supplier#' || lpad(cast(s_suppkey AS VARCHAR), 9, '0')]) AS name, unnest([0, 1]) AS i FROM supplier),
-    hit AS (SELECT display, s.s_suppkey AS key, s_acctbal, row_number() OVER (PARTITION BY display ORDER BY i) AS r FROM wanted w JOIN supplier s ON s.s_name = w.name WHERE s.s_suppkey % 3 <> 0)
+    hit AS (SELECT display, s.s_suppkey AS key, s_acctbal, row_number() OVER (PARTITION BY display ORDER BY i) AS r FROM wanted w JOIN supplier s ON s.s_name = w.name WHERE s.s_nationkey < 18)
     SELECT d.s_suppkey AS display, h.key, h.s_acctbal AS balance FROM supplier d LEFT JOIN (SELECT * FROM hit WHERE r = 1) h ON h.display = d.s_suppkey"""
 )
 def alias_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +337,7 @@ def alias_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey")
     wanted = supplier.select(key.alias("display"), F.array(F.concat(F.lit("Supplier#"), (key * 2).cast("string")), F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))).alias("aliases"))
-    rows = supplier.filter("s_suppkey % 3 <> 0").select(F.col("s_name").alias("opponent"), key.alias("key"), F.col("s_acctbal").alias("balance"))
+    rows = supplier.filter("s_nationkey < 18").select(F.col("s_name").alias("opponent"), key.alias("key"), F.col("s_acctbal").alias("balance"))
     return joins.alias_pick(wanted, rows, "opponent", ["key"]).select("display", "key", "balance")
 
 
@@ -502,8 +502,8 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH old AS (SELECT p_size AS page, p_brand AS section, min(p_partkey) AS ord, min(p_name) AS text FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL),
-    new AS (SELECT p_size AS page, p_brand AS section, min(p_partkey) AS ord, max(p_name) AS text FROM part WHERE p_partkey % 3 <> 1 GROUP BY ALL)
+    WITH old AS (SELECT p_size AS page, p_brand AS section, min(p_partkey) AS ord, min(p_name) AS text FROM part WHERE p_type <> 'PROMO' GROUP BY ALL),
+    new AS (SELECT p_size AS page, p_brand AS section, min(p_partkey) AS ord, max(p_name) AS text FROM part WHERE p_type <> 'SMALL' GROUP BY ALL)
     SELECT coalesce(o.page, n.page) AS page, coalesce(o.section, n.section) AS section, coalesce(n.text, o.text) AS text,
            row_number() OVER (PARTITION BY coalesce(o.page, n.page) ORDER BY o.ord IS NULL, coalesce(o.ord, n.ord))::BIGINT AS place
     FROM old o FULL JOIN new n ON o.page = n.page AND o.section = n.section"""
@@ -512,7 +512,7 @@ def section_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of pages overlaid by key, old order first."""
     part = table(spark, sf_dir, "part")
     keys = [F.col("p_size").alias("page"), F.col("p_brand").alias("section")]
-    old = part.filter("p_partkey % 3 <> 0").groupBy(*keys).agg(F.min("p_partkey").alias("ord"), F.min("p_name").alias("text"))
-    new = part.filter("p_partkey % 3 <> 1").groupBy(*keys).agg(F.min("p_partkey").alias("ord"), F.max("p_name").alias("text"))
+    old = part.filter("p_type <> 'PROMO'").groupBy(*keys).agg(F.min("p_partkey").alias("ord"), F.min("p_name").alias("text"))
+    new = part.filter("p_type <> 'SMALL'").groupBy(*keys).agg(F.min("p_partkey").alias("ord"), F.max("p_name").alias("text"))
     both = merges.keyed_overlay(old, new)
     return both.select("page", "section", "text", F.row_number().over(Window.partitionBy("page").orderBy("place")).cast("long").alias("place"))

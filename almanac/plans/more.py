@@ -18,30 +18,30 @@ from almanac.sources import files
 @query(
     """
     SELECT DISTINCT category, en FROM (
-      SELECT 'clubs' AS category, s_name AS en FROM supplier UNION ALL SELECT 'clubs', c_name FROM customer WHERE c_custkey % 10 = 0
+      SELECT 'clubs' AS category, s_name AS en FROM supplier UNION ALL SELECT 'clubs', c_name FROM customer
       UNION ALL SELECT 'names', p_name FROM part UNION ALL SELECT 'names', n_name FROM nation)
-    WHERE NOT (category = 'names' AND en IN (SELECT p_name FROM part WHERE p_partkey % 50 = 0))"""
+    WHERE NOT (category = 'names' AND en IN (SELECT p_name FROM part WHERE p_brand = 'Brand#3' AND p_size < 9))"""
 )
 def dictionary_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New words of several columns, without those that the dictionary has."""
     said = lambda t, c, category: table(spark, sf_dir, t).select(F.lit(category).alias("category"), F.col(c).alias("en"))
-    seen = merges.distinct_rows(said("supplier", "s_name", "clubs"), table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.lit("clubs").alias("category"), F.col("c_name").alias("en")), said("part", "p_name", "names"), said("nation", "n_name", "names"))
-    have = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.lit("names").alias("category"), F.col("p_name").alias("en"))
+    seen = merges.distinct_rows(said("supplier", "s_name", "clubs"), said("customer", "c_name", "clubs"), said("part", "p_name", "names"), said("nation", "n_name", "names"))
+    have = table(spark, sf_dir, "part").filter("p_brand = 'Brand#3' AND p_size < 9").select(F.lit("names").alias("category"), F.col("p_name").alias("en"))
     return joins.unknown(seen, have, ["category", "en"])
 
 
 @query(
     """
-    WITH a AS (SELECT DISTINCT p_name AS en, 'W' || length(p_name) AS he FROM part WHERE p_partkey % 3 = 0),
-    b AS (SELECT DISTINCT p_name AS en, 'L' || length(p_name) AS he FROM part WHERE p_partkey % 2 = 0)
+    WITH a AS (SELECT DISTINCT p_name AS en, 'W' || length(p_name) AS he FROM part WHERE p_size = 7 AND p_type = 'SMALL'),
+    b AS (SELECT DISTINCT p_name AS en, 'L' || length(p_name) AS he FROM part WHERE p_size = 8)
     SELECT k.en, coalesce(a.he, b.he) AS he, CASE WHEN a.he IS NOT NULL THEN 'wikidata' WHEN b.he IS NOT NULL THEN 'auto-llm' END AS src
     FROM (SELECT DISTINCT p_name AS en FROM part) k LEFT JOIN a USING (en) LEFT JOIN b USING (en)"""
 )
 def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key from the first backend that has it."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("en"))
-    made = lambda n, letter: part.filter(f"p_partkey % {n} = 0").select("en", F.concat(F.lit(letter), F.length("en").cast("string")).alias("he")).distinct()
-    return joins.fallback_chain(part, [("wikidata", made(3, "W")), ("auto-llm", made(2, "L"))])
+    part = table(spark, sf_dir, "part").select("p_size", "p_type", F.col("p_name").alias("en"))
+    made = lambda test, letter: part.filter(test).select("en", F.concat(F.lit(letter), F.length("en").cast("string")).alias("he")).distinct()
+    return joins.fallback_chain(part, [("wikidata", made("p_size = 7 AND p_type = 'SMALL'", "W")), ("auto-llm", made("p_size = 8", "L"))])
 
 
 @query(
@@ -75,20 +75,20 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT c_custkey AS page_id, c_nationkey::BIGINT AS page_namespace, c_name AS page_title FROM customer JOIN orders ON o_custkey = c_custkey
-    WHERE c_nationkey = 7 AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0"""
+    WHERE c_nationkey = 7 AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"""
 )
 def authored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages joined to their first revision by an actor."""
     pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.col("c_nationkey").cast("long").alias("page_namespace"), F.col("c_name").alias("page_title"))
-    first = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 5 == 0)
+    first = F.col("o_orderstatus") == "F"
     revisions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rev_page"), F.when(first, 0).otherwise(1).alias("rev_parent_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rev_actor"))
     return wiki.authored_pages(pages, revisions, 1, 7)
 
 
-@query("SELECT count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 100 = 3")
+@query("SELECT count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '3-MEDIUM'")
 def joined_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notifications of an agent's events, counted over a join."""
-    events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 100).alias("event_agent_id"))
+    events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("event_agent_id"))
     return wiki.notifications_of(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("notification_event")), events, 3)
 
 
@@ -151,7 +151,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH c AS (SELECT s_suppkey AS en, p_partkey AS qid, p_partkey % 2 AS variant, p_partkey % 13 AS place FROM supplier JOIN part ON p_partkey % 100 = s_suppkey AND p_partkey < 1000),
+    WITH c AS (SELECT s_suppkey AS en, p_partkey AS qid, p_partkey % 2 AS variant, p_partkey % 13 AS place FROM supplier JOIN part ON p_partkey % 100 = s_suppkey),
     f AS (SELECT p_partkey AS qid, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'S' || p_partkey ELSE 'L' || p_partkey END AS he FROM part WHERE p_partkey % 4 <> 0),
     v AS (SELECT en, variant, qid, he, row_number() OVER (PARTITION BY en, variant ORDER BY place, qid) AS r FROM c JOIN f USING (qid)),
     w AS (SELECT en, he, qid, row_number() OVER (PARTITION BY en ORDER BY variant) AS r FROM v WHERE r = 1 AND he IS NOT NULL)
@@ -160,7 +160,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fitting candidate decides a search, even without a label."""
     part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    candidates = part.filter("p_partkey < 1000").join(table(spark, sf_dir, "supplier"), k % 100 == F.col("s_suppkey")).select(F.col("s_suppkey").alias("en"), (k % 2).alias("variant"), (k % 13).alias("place"), k.alias("qid"))
+    candidates = part.join(table(spark, sf_dir, "supplier"), k % 100 == F.col("s_suppkey")).select(F.col("s_suppkey").alias("en"), (k % 2).alias("variant"), (k % 13).alias("place"), k.alias("qid"))
     entities = part.select(
         k.alias("qid"), F.when(k % 4 == 0, F.array(F.lit("Q1"))).otherwise(F.array(F.lit("Q1"), F.lit("Q11410"))).alias("classes"), F.array().cast("array<string>").alias("sports"), F.lit("").alias("description"),
         F.when((k % 5 != 0) & (k % 3 == 0), F.concat(F.lit("S"), k.cast("string"))).alias("sitelink"), F.when(k % 5 != 0, F.concat(F.lit("L"), k.cast("string"))).alias("label"),

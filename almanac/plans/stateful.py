@@ -16,35 +16,35 @@ from almanac.streaming import state, windows
 
 @query(
     """
-    WITH old AS (SELECT user_id AS key, sum(event_id) AS f FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 7 <> 0 GROUP BY 1),
-    new AS (SELECT user_id AS key, CASE WHEN user_id % 31 = 5 THEN NULL ELSE sum(event_id) END AS f FROM events WHERE user_id % 3 = 0 OR ts < TIMESTAMP '2024-01-15' GROUP BY user_id)
+    WITH k AS (SELECT user_id || ':' || event_type AS key, ts, event_id, value FROM events),
+    old AS (SELECT key, sum(event_id) AS f FROM k WHERE ts < TIMESTAMP '2024-01-05' GROUP BY key),
+    new AS (SELECT key, CASE WHEN max(value) > 60 THEN NULL ELSE sum(event_id) END AS f FROM k WHERE ts < TIMESTAMP '2024-01-07' GROUP BY key)
     SELECT n.key, CASE WHEN n.f IS NULL THEN 'error' WHEN o.f IS NULL THEN 'new' WHEN o.f = n.f THEN 'same' ELSE 'changed' END AS status,
            n.f IS NULL OR o.f IS NULL OR o.f <> n.f AS changed
     FROM new n LEFT JOIN old o USING (key)"""
 )
 def change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of a snapshot against stored ones."""
-    events = table(spark, sf_dir, "events")
-    early = F.col("ts") < F.to_timestamp(F.lit("2024-01-15"))
-    mark = F.sum("event_id").cast("string").alias("fingerprint")
-    old = events.filter(early & (F.col("user_id") % 7 != 0)).groupBy(F.col("user_id").alias("key")).agg(mark)
-    new = events.filter((F.col("user_id") % 3 == 0) | early).groupBy(F.col("user_id").alias("key")).agg(mark)
-    new = new.withColumn("fingerprint", F.when(F.col("key") % 31 != 5, F.col("fingerprint")))
+    """Fingerprints of a snapshot against those two days before; a broken reading counts as a failed fetch."""
+    events = table(spark, sf_dir, "events").withColumn("key", F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")))
+    upto = lambda day: events.filter(F.col("ts") < F.lit(day).cast("timestamp_ntz")).groupBy("key")
+    mark = F.sum("event_id").cast("string")
+    old = upto("2024-01-05").agg(mark.alias("fingerprint"))
+    new = upto("2024-01-07").agg(F.when(F.max("value") <= 60, mark).alias("fingerprint"))
     return state.change_gate(new, old).select("key", "status", "changed")
 
 
 @query(
     """
-    WITH n AS (SELECT url || '#' || page_id AS title, trim(html) AS content, page_id FROM pages WHERE page_id % 5 <> 0),
-    e AS (SELECT url || '#' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN trim(html) ELSE trim(html) || 'x' END AS content FROM pages WHERE page_id % 2 = 0)
+    WITH n AS (SELECT url || '#' || page_id AS title, trim(html) AS content FROM pages),
+    e AS (SELECT url || '#' || page_id AS title, CASE WHEN contains(html, 'lang="en"') THEN trim(html) ELSE trim(html) || 'x' END AS content FROM pages WHERE starts_with(url, 'https'))
     SELECT n.title, CASE WHEN e.title IS NULL THEN 'create' WHEN md5(e.content) = md5(n.content) THEN 'skip' ELSE 'update' END AS action FROM n LEFT JOIN e USING (title)"""
 )
 def publish_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create, update or skip by MD5 of stripped text (K6, Q16)."""
-    pages, k = table(spark, sf_dir, "pages"), F.col("page_id")
-    title = F.concat("url", F.lit("#"), k.cast("string")).alias("title")
-    new = pages.filter(k % 5 != 0).select(title, F.concat(F.lit(" \n"), F.trim("html"), F.lit("\t")).alias("content"))
-    old = pages.filter(k % 2 == 0).select(title, F.when(k % 3 == 0, F.trim("html")).otherwise(F.concat(F.trim("html"), F.lit("x"))).alias("content"))
+    pages = table(spark, sf_dir, "pages").withColumn("title", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
+    new = pages.select("title", F.concat(F.lit(" \n"), F.trim("html"), F.lit("\t")).alias("content"))
+    kept = F.when(F.contains("html", F.lit('lang="en"')), F.trim("html")).otherwise(F.concat(F.trim("html"), F.lit("x")))
+    old = pages.filter(F.col("url").startswith("https")).select("title", kept.alias("content"))
     return state.publish_plan(new, old)
 
 
