@@ -187,7 +187,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _write(rows: DataFrame, path: str, terminator: str, per_file: int) -> None:
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", terminator).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", terminator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
