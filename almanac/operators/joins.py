@@ -15,7 +15,7 @@ from .ordered import pick
 
 def with_name(df: DataFrame, names: DataFrame, key: str, name: str, out: str = "name", unknown: str = "Unknown") -> DataFrame:
     """Left join to a name; unmatched and empty names fall back to the key, then to `unknown`."""
-    side = names.select(F.col(key).alias("_k"), F.col(name).alias("_n")).filter(F.col("_k").isNotNull()).dropDuplicates(["_k"])
+    side = names.select(F.col(key).alias("_k"), F.col(name).alias("_n")).filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.max("_n").alias("_n"))
     found = F.coalesce(F.when(F.col("_n") != "", F.col("_n")), F.col(key).cast("string"), F.lit(unknown))
     return df.join(side, F.col(key) == F.col("_k"), "left").withColumn(out, found).drop("_k", "_n")
 
@@ -52,7 +52,7 @@ def overlay(base: DataFrame, top: DataFrame, key: str, graft: Sequence[str]) ->
 def translate(df: DataFrame, mapping: DataFrame, columns: dict[str, str], empty_is_missing: bool = True) -> DataFrame:
     """Values of scalar columns by dictionary (category, en, he); those without an entry stay as they are."""
     for column, category in columns.items():
-        side = mapping.filter(F.col("category") == category).select(F.col("en").alias("_en"), F.col("he").alias("_he")).dropDuplicates(["_en"])
+        side = mapping.filter(F.col("category") == category).select(F.col("en").alias("_en"), F.col("he").alias("_he")).groupBy("_en").agg(F.max("_he").alias("_he"))
         found = F.when(F.col("_he") != "", F.col("_he")) if empty_is_missing else F.col("_he")
         df = df.join(side, F.col(column) == F.col("_en"), "left").withColumn(column, F.coalesce(found, F.col(column))).drop("_en", "_he")
     return df
@@ -95,7 +95,7 @@ def fallback_chain(keys: DataFrame, backends: Sequence[tuple[str, DataFrame]], k
     """(key, value, src): of each key the first backend with a value; backends are (name, (key, value))."""
     out = keys.select(key).distinct()
     for i, (_, table) in enumerate(backends):
-        side = table.filter(F.col(value) != "").select(F.col(key), F.col(value).alias(f"_v{i}")).dropDuplicates([key])
+        side = table.filter(F.col(value) != "").groupBy(key).agg(F.max(value).alias(f"_v{i}"))
         out = out.join(side, key, "left")
     named = [F.when(F.col(f"_v{i}").isNotNull(), F.lit(name)) for i, (name, _) in enumerate(backends)]
     return out.select(key, F.coalesce(*(f"_v{i}" for i in range(len(backends)))).alias(value), F.coalesce(*named).alias("src"))

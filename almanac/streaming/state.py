@@ -101,6 +101,16 @@ def merge_action(existing_content, new_content, summary, merged_content=None):
     return F.when(empty | S.own_edit(summary, merged=False), "clean_rewrite").when(merged == existing_content, "no_change").otherwise("surgical_merge")
 
 
+def seed_plan(seeds: DataFrame, existing: DataFrame, forced: bool) -> DataFrame:
+    """(title, action) of seed pages (K9): existing ones are touched only if the seeds' digest has changed, and not if people edited them since.
+
+    `existing` has title and the summary of its last revision.
+    """
+    side = existing.select("title", F.lit(True).alias("_there"), S.own_edit("summary", merged=False).alias("_own"))
+    action = F.when(F.col("_there").isNull(), "created").when(~F.lit(forced), "skipped").when(F.col("_own"), "updated").otherwise("preserved")
+    return seeds.select("title").join(side, "title", "left").select("title", action.alias("action"))
+
+
 def swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Writes a state table beside the old one, then swaps by rename; a failure leaves the old one whole (K5)."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path

@@ -2,9 +2,13 @@
 
 import pytest
 
-from almanac.operators import joins, merges, ordered
+from pyspark.sql import functions as F
+
+from almanac.functions import sections
+from almanac.operators import joins, merges, ordered, wiki
 from almanac.plans import ask, marts, schemas
 from almanac.sources import files
+from almanac.streaming import state
 
 
 def rows(df, *order):
@@ -152,3 +156,43 @@ def test_ask_language(spark):
     assert ask.incomplete("[[A::b]]") is None
     assert [r[0] for r in ask.suggest(df, "position", "g").collect()] == ["GK"]
     assert ask.search(df, "gk", "id", "position").count() == 2
+
+
+def _section(name, body):
+    start, end = sections.marks(name)
+    return f"{start}{body}{end}"
+
+
+def test_sections_are_spliced():
+    old = "top " + _section("a", "1") + " mid " + _section("b", "2") + " end"
+    new = _section("b", "22") + _section("c", "3") + "ignored"
+    assert sections.splice(old, new) == "top " + _section("a", "1") + " mid " + _section("b", "22") + " end\n" + _section("c", "3")
+    assert sections.splice(sections.splice(old, new), new) == sections.splice(old, new)
+    start, end = sections.marks("a")
+    assert sections.spans(start) == [] and sections.spans(end + start) == [] and sections.spans(end) == []
+    twice = start + "x" + end + start + "y" + end
+    assert [twice[a:b] for a, b, _ in sections.spans(twice)] == [start + "x" + end]
+    with pytest.raises(ValueError):
+        sections.marks("1 x")
+
+
+def test_page_merging(spark):
+    old = "note " + _section("a", "1")
+    rows = [("p", old, _section("a", "2"), "fixed a typo"), ("q", old, "all new", "Auto-import: x"), ("r", None, "first", None), ("s", old, _section("a", "1"), "Auto-merge: y"), ("t", " ", "blank", "by hand")]
+    got = {r["title"]: (r["content"], r["action"]) for r in sections.merge_pages(spark.createDataFrame(rows, "title string, existing string, new string, summary string")).collect()}
+    assert got == {"p": ("note " + _section("a", "2"), "surgical_merge"), "q": ("all new", "clean_rewrite"), "r": ("first", "clean_rewrite"), "s": (old, "no_change"), "t": ("blank", "clean_rewrite")}
+
+
+def test_seed_pages(spark):
+    seeds = spark.createDataFrame([("a",), ("b",), ("c",)], "title string")
+    there = spark.createDataFrame([("b", "Auto-import: content update"), ("c", "by hand")], "title string, summary string")
+    plan = lambda forced: {r["title"]: r["action"] for r in state.seed_plan(seeds, there, forced).collect()}
+    assert plan(True) == {"a": "created", "b": "updated", "c": "preserved"}
+    assert plan(False) == {"a": "created", "b": "skipped", "c": "skipped"}
+
+
+def test_entity_types(spark):
+    rows = [(["Q5"], ["Q2736"], ""), (["Q5"], [], "Israeli footballer"), (["Q5"], [], "painter"), ([], [], "football"), (None, None, None), (["Q11410"], [], "")]
+    df = spark.createDataFrame(rows, "c array<string>, s array<string>, d string")
+    kinds = {k: [r[0] for r in df.select(wiki.is_of_type(F.col("c"), F.col("s"), F.col("d"), k)).collect()] for k in ("player", "club", "competition")}
+    assert kinds == {"player": [True, True, False, False, False, False], "club": [False] * 5 + [True], "competition": [False, True, False, False, False, False]}
