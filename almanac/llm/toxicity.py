@@ -104,6 +104,8 @@ def bags(texts: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarra
 def fit(texts: list[str], y: list[int], min_df: int = 4, rounds: int = 250, rate: float = 0.2, sparse: float = 1e-4, most: int = 8000) -> MilModel:
     """Fits by Adam on the noisy-or's log-likelihood with a soft threshold on the weights.
 
+    At each round half the features are left out at random, so that words which mostly stand
+    beside stronger ones get their weight as well.
     Without both classes every score is that of the class, or one half for an empty sample.
     """
     label = np.array(y)
@@ -113,22 +115,27 @@ def fit(texts: list[str], y: list[int], min_df: int = 4, rounds: int = 250, rate
     ids, sentence, doc = bags(texts, vocab)
     n_ids = np.diff(np.r_[sentence, len(ids)])
     n_sentences = np.diff(np.r_[doc, len(sentence)])
-    w, b = np.zeros(len(vocab) + 1), -5.0
+    w, b, rng = np.zeros(len(vocab) + 1), -5.0, np.random.default_rng(17)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.add.reduceat(w[ids], sentence) + b
+        last = t > rounds * 4 // 5  # at the end all features are there, and only the bias moves
+        seen = np.ones(len(w)) if last else (rng.random(len(w)) < 0.5).astype(float)
+        z = np.add.reduceat((w * seen)[ids], sentence) + b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         total = np.add.reduceat(np.logaddexp(0, z), doc)
         push = np.where(label > 0, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), 1.0) / len(label)
         g = np.repeat(push, n_sentences) * p
-        gw, gb = np.bincount(ids, np.repeat(g, n_ids), len(w)), float(g.sum())
+        gb = float(g.sum())
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
+        b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-4)
+        if last:
+            continue
+        gw = np.bincount(ids, np.repeat(g, n_ids), len(w)) * seen
         gw[0] = 0
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
         w = w - step * m / (1 - 0.9**t)
         w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
-        b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-4)
     return MilModel({f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 1e-3}, float(b))
 
 
