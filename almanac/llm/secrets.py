@@ -163,3 +163,33 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
         out = out.withColumn("_sec_t", F.expr(f"""CASE WHEN size(_sec_m) > 0 THEN array_join(flatten(transform(arrays_zip(_sec_b, transform(_sec_m, x -> CASE WHEN {keep} THEN '{mark}' ELSE x END) AS _sec_r),
             z -> array(z._sec_b, coalesce(z._sec_r, '')))), '') ELSE _sec_t END""".replace(" AS _sec_r)", ")").replace("z._sec_r", "z.`1`")))
     return out.withColumn(text_col, F.col("_sec_t")).select(*columns)
+
+
+def _sql(rules: Rules = Rules()) -> str:
+    """The same in DuckDB: matches and the pieces between them give places, a plain join on positions links parts."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = []
+    for i, p in enumerate((ASSIGN, ACCESS, HEX, ACCOUNT, ENDPOINT)):
+        kinds.append(f"SELECT k, {i} AS part, regexp_extract_all(t, {quoted(p)}) AS m, regexp_split_to_array(t, {quoted(p)}) AS b FROM d")
+    told = lambda where: f"string_agg(['assign', 'access', 'hex', 'weak_id', 'weak_secret'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) {where}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(kinds)}),
+placed AS (SELECT k, part, m[i] AS hit, (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+           FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0)),
+sized AS (SELECT *, start + length(hit) AS stop, CASE WHEN part = 0 THEN length(regexp_extract(hit, {quoted(ASSIGN)}, 1)) ELSE length(hit) END AS size FROM placed),
+spans AS (SELECT k, start, stop, CASE WHEN part = 3 THEN 3 WHEN part = 0 AND size < {rules.min_value} THEN 4 ELSE part END AS kind,
+                 CASE part WHEN 4 THEN 'endpoint' WHEN 1 THEN 'id' WHEN 3 THEN 'id' ELSE 'secret' END AS role
+          FROM sized WHERE (part = 0 AND size >= {rules.weak_value}) OR (part = 1 AND size >= {rules.min_access}) OR part = 2 OR part = 3 OR part = 4),
+parts AS (SELECT k, start, stop, CASE WHEN role = 'endpoint' THEN 9 ELSE kind END AS kind, role FROM spans),
+linked AS (SELECT a.k, a.start, a.stop, a.kind FROM parts a WHERE a.kind IN (3, 4)
+           AND EXISTS (SELECT 1 FROM parts e WHERE e.k = a.k AND e.role = 'endpoint' AND abs(e.start - a.start) <= {rules.scope})
+           AND EXISTS (SELECT 1 FROM parts o WHERE o.k = a.k AND o.role <> 'endpoint' AND o.role <> a.role AND abs(o.start - a.start) <= {rules.scope})),
+whole AS (SELECT k, start, stop, kind FROM parts WHERE kind < 3 UNION ALL SELECT * FROM linked),
+sums AS (SELECT k, {told("FILTER (WHERE kind < 3)")} AS base, {told("")} AS spans, {", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n{i}" for i in range(5))} FROM whole GROUP BY k)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n3, 0)::BIGINT AS n_weak_id, coalesce(n4, 0)::BIGINT AS n_weak_secret
+FROM d LEFT JOIN sums USING (k)"""
+
+
+SQL = _sql()

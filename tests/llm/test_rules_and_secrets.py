@@ -56,6 +56,19 @@ def test_report(spark):
     assert secrets.report(frame(spark).filter("doc_id = 99")).count() == 0
 
 
+def test_secrets_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from tests.oracle import rows
+
+    df = frame(spark)
+    df.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = secrets.report(df).toPandas(), con.execute(secrets.SQL).df()
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_redaction(spark):
     df = frame(spark)
     out = secrets.redact(df)
