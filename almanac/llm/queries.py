@@ -77,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing_ipf": mixing.SQL,
+        "op5_nn_descent": nn_descent.SQL,
         "op7_secret_linking": secrets.SQL,
         "op8_rule_ledger": quality_rules.SQL,
         "op10_arc_to_warc": warc.SQL,
