@@ -158,8 +158,9 @@ def fit(texts: list[str], y: list[int], cost: float = 1.0) -> NbSvm:
     if len(set(y)) < 2:
         flat = np.zeros(1 << BITS)
         return NbSvm(flat, flat, 0.0, 1.0, 0.0 if not y else 4.0 if y[0] else -4.0)
-    grams = Grams()
-    rows = [grams.of(t) for t in texts]
+    grams = Grams(1 << 15)
+    rows = [grams.of(texts[i]) for i in range(len(texts))]
+    del grams
     own = np.arange(len(rows)) % 5 != 4
     if len(set(label[own])) < 2 or len(set(label[~own])) < 2:
         own[:] = True
