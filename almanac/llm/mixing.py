@@ -62,8 +62,8 @@ def targets(cells: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
     out = None
     for dim in DIMS:
         sums = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("t")).filter("t > 0").withColumn("p", F.pow("t", F.lit(float(powers[dim]))))
-        total = sums.agg(F.sum("p").alias("total"))
-        part = sums.crossJoin(F.broadcast(total)).select(F.lit(dim).alias("dim"), "value", (F.col("p") / F.col("total")).alias("share"))  # with a single row
+        total = sums.agg(F.sum("p")).first()[0] or 1.0
+        part = sums.select(F.lit(dim).alias("dim"), "value", (F.col("p") / F.lit(total)).alias("share"))
         out = part if out is None else out.unionByName(part)
     return out
 
