@@ -52,8 +52,8 @@ def forward_fill(df: DataFrame, keys: Keys, order: Keys, column: str, out: str)
 
 def populated_prefix(df: DataFrame, order: str, measure: str, least: int) -> DataFrame:
     """The rows before the first, by order, whose measure is under `least` (W6); null measures are."""
-    gap = df.filter(F.coalesce(F.col(measure) < least, F.lit(True))).agg(F.min(order).alias("_gap"))
-    return df.crossJoin(F.broadcast(gap)).filter(F.col("_gap").isNull() | (F.col(order) < F.col("_gap"))).drop("_gap")  # with one row
+    gap = df.filter(F.coalesce(F.col(measure) < least, F.lit(True))).agg(F.min(order)).scalar()
+    return df.filter(gap.isNull() | (F.col(order) < gap))
 
 
 def priority_pick(df: DataFrame, keys: Sequence[str], rank: str, source_order: str) -> DataFrame:

@@ -401,7 +401,7 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def populated_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last of an unbroken run of well filled periods."""
     months = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-    scaled = months.crossJoin(F.broadcast(months.agg((F.avg("n") * 0.9).alias("least")))).withColumn("margin", F.col("n") - F.col("least"))  # with one row
+    scaled = months.withColumn("margin", F.col("n") - months.agg(F.avg("n") * 0.9).scalar())
     return ordered.populated_prefix(scaled, "month", "margin", 0).agg(F.max("month").alias("latest"), F.count("*").alias("n_months"))
 
 
