@@ -28,7 +28,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, l
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).filter(F.length("_t") <= longest)
     # The order is settled on ids alone; twice as many as needed, as some have no text here.
     ids = drawn.join(texts.select("_id").distinct(), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(size)
-    rows = texts.join(F.broadcast(ids), "_id").select("_id", "_y", "_t").dropDuplicates(["_id"]).orderBy("_id").toArrow()
+    rows = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_t").alias("_t")).orderBy("_id").toArrow()
     return rows.column("_t").to_pylist(), rows.column("_y").to_pylist()
 
 
