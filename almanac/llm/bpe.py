@@ -85,6 +85,9 @@ class Codec:
             self.rank_of.setdefault(vocab[a] << 32 | vocab[b], len(self.made))
             self.made.append(vocab[a + b])
         self.texts = [str(i) for i in range(len(self.bytes_of))]
+        pairs = np.array(sorted(self.rank_of.items()), np.int64).reshape(-1, 2)
+        self.pair_keys, self.pair_ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.first_of, self.made_of = np.array(self.first, np.int64), np.array(self.made, np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank first, the leftmost among equals."""
@@ -122,6 +125,54 @@ class Codec:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
+    def merge_all(self, words: list[bytes], longest: int = 48, few: int = 8) -> list[bytes]:
+        """Ids of many pre-tokens as 32-bit integers: those of equal length take their merges in step."""
+        out: list[bytes] = [b""] * len(words)
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(i)
+        for size, at in by_size.items():
+            if size > longest or len(at) < few:
+                for i in at:
+                    out[i] = np.array(self.merge(words[i]), "<i4").tobytes()
+            elif size:
+                self._in_step(np.array(at), self.first_of[np.frombuffer(b"".join([words[i] for i in at]), np.uint8)].reshape(-1, size), out)
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.pair_keys):
+            return np.zeros(a.shape, np.int64)
+        key = a << 32 | b
+        i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[i] == key, self.pair_ranks[i], len(self.made))
+
+    def _in_step(self, at: np.ndarray, ids: np.ndarray, out: list[bytes]) -> None:
+        """Merges rows of ids of equal length, one pair of each row at a time; rows without a pair are done."""
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        while len(at):
+            width = ids.shape[1]
+            best = ranks.argmin(axis=1) if width > 1 else np.zeros(len(at), np.int64)
+            low = ranks[np.arange(len(at)), best] if width > 1 else np.full(len(at), len(self.made))
+            live = low < len(self.made)
+            if not live.all():
+                for i, row in zip(at[~live].tolist(), ids[~live].astype("<i4"), strict=True):
+                    out[i] = row.tobytes()
+                at, ids, ranks, best, low = at[live], ids[live], ranks[live], best[live], low[live]
+            if not len(at):
+                break
+            row = np.arange(len(at))
+            ids[row, best] = self.made_of[low]
+            keep = np.ones(ids.shape, bool)
+            keep[row, best + 1] = False
+            ids = ids[keep].reshape(len(at), width - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, best] = False
+            ranks = ranks[keep].reshape(len(at), width - 2)
+            right = np.flatnonzero(best < width - 2)
+            ranks[right, best[right]] = self._ranks(ids[right, best[right]], ids[right, best[right] + 1])
+            left = np.flatnonzero(best > 0)
+            ranks[left, best[left] - 1] = self._ranks(ids[left, best[left] - 1], ids[left, best[left]])
+
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; special tokens are kept, ill-formed byte runs become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -242,9 +293,15 @@ class Encoder:
         if len(self.memo) + len(new) > self.keep:
             self.memo.clear()
             new = list(words)
-        raw, merge = [w.encode() for w in new], self.codec.merge
+        raw, rest = [w.encode() for w in new], []
         for w, b, ids in zip(new, raw, self.lexicon.find(raw), strict=True):
-            self.memo[w] = np.array(self.codec.special.get(w) or merge(b), "<i4").tobytes() if ids is None else ids
+            if ids is not None:
+                self.memo[w] = ids
+            elif w in self.codec.special:
+                self.memo[w] = np.array([self.codec.special[w]], "<i4").tobytes()
+            else:
+                rest.append((w, b))
+        self.memo.update(zip((w for w, _ in rest), self.codec.merge_all([b for _, b in rest]), strict=True))
 
     def encode(self, texts: Iterable[str], at_once: int = 1 << 20) -> Iterator[np.ndarray]:
         """Ids of each text; words of about `at_once` characters are looked up together."""

@@ -88,6 +88,14 @@ def test_long_words_merge_alike(codec, model, pieces, library):
         assert model.count(word) == len(pieces.encode(word))
 
 
+def test_merging_in_step_is_merging_one_by_one(codec):
+    rnd = random.Random(4)
+    words = [bytes(rnd.choice(b" abcdehnorst") for _ in range(rnd.randint(0, 60))) for _ in range(2000)] + ["é漢".encode(), b"", b"a"]
+    want = [codec.merge(w) for w in words]
+    assert [np.frombuffer(x, "<i4").tolist() for x in codec.merge_all(words)] == want
+    assert codec.merge_all([]) == []
+
+
 def test_decode_of_broken_bytes(codec, library):
     for ids in ([255, 128, 300], [codec.first[0xE6], codec.first[0x97]], [50256, 0], []):
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
