@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -353,10 +354,15 @@ def ship(spark: SparkSession, data: bytes, kind: str = "lexicon") -> str:
     name = f"{kind}-{stamp(data)}.bin"
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-    for i in range(0, len(data), 1 << 22):
-        out.write(bytearray(data[i : i + (1 << 22)]))
-    out.close()
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):  # named by its content: another run's file is as good, and may be in use
+        side = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}.{uuid.uuid4().hex}")
+        out = fs.create(side, True)
+        for i in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[i : i + (1 << 22)]))
+        out.close()
+        if not fs.rename(side, path) and not fs.exists(path):
+            raise OSError(f"could not write {path}")
     spark.sparkContext.addFile(path.toString())
     return name
 
