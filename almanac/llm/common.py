@@ -104,5 +104,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     )
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """Names a row by its id and text; a null text counts as an empty one."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.concat(F.coalesce(id_.cast("long").cast("string"), F.lit("-")), F.lit(":"), F.md5(text.cast("binary")), F.lit(":"), F.length(text).cast("string"))
+
+
+def one_of_each(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the documents of each component in (doc_id, key, component) that of the smallest id, a null id last; all columns kept."""
+    first = parts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.key").alias("_one_key"))
+    marked = docs.withColumn("_one_key", row_key(docs[id_col], docs[text_col]))
+    return marked.join(first, "_one_key", "left_semi").dropDuplicates(["_one_key"]).select(*docs.columns)
+
+
 def stamp(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()[:16]
