@@ -60,6 +60,15 @@ def _spans(places: str, kind: int, keep: str = "true") -> Column:
     return F.expr(f"transform(filter({places}, x -> {keep}), x -> named_struct('start', x.start, 'kind', {kind}, 'stop', x.stop))").cast(f"array<{SPAN}>")
 
 
+#: Length of the value of an assign match `x.hit`.
+SIZE = f"char_length(regexp_extract(x.hit, r'{ASSIGN.replace(chr(39), chr(92) + 'x27')}', 1))"
+
+
+def _base(assign: str, access: str, hexes: str, rules: Rules) -> Column:
+    """Base spans of the places of the three patterns, in order."""
+    return F.array_sort(F.concat(_spans(assign, 0, f"{SIZE} >= {rules.min_value}"), _spans(access, 1, f"char_length(x.hit) >= {rules.min_access}"), _spans(hexes, 2)))
+
+
 def _key(id_: Column, text: Column) -> Column:
     """Names a document by its id and text; rows of equal id and text share it and its spans."""
     return F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit(":"), F.md5(text.cast("binary")), F.lit(":"), F.length(text).cast("string"))
@@ -87,11 +96,10 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, rules: Rules) -> DataFram
     patterns = [ASSIGN, ACCESS, HEX, ACCOUNT, ENDPOINT]
     rows = rows.withColumns({f"b{i}": _between("text", f"m{i}", p) for i, p in enumerate(patterns)})
     rows = rows.withColumns({f"p{i}": _places(f"m{i}", f"b{i}") for i in range(5)})
-    size = f"char_length(regexp_extract(x.hit, r'{ASSIGN.replace(chr(39), chr(92) + 'x27')}', 1))"
     rows = rows.withColumns(
         {
-            "base": F.array_sort(F.concat(_spans("p0", 0, f"{size} >= {rules.min_value}"), _spans("p1", 1, f"char_length(x.hit) >= {rules.min_access}"), _spans("p2", 2))),
-            "weak": F.concat(_spans("p3", 3), _spans("p0", 4, f"{size} between {rules.weak_value} and {rules.min_value - 1}")),
+            "base": _base("p0", "p1", "p2", rules),
+            "weak": F.concat(_spans("p3", 3), _spans("p0", 4, f"{SIZE} between {rules.weak_value} and {rules.min_value - 1}")),
             "ends": F.when(F.size("p4") > 0, F.expr("transform(p4, x -> x.start)")).otherwise(F.array().cast("array<int>")),
         }
     )
@@ -142,27 +150,37 @@ def report(docs: DataFrame, **how) -> DataFrame:
     )
 
 
+def _masked(text: str, spans: str, mark: str, block: int = 2048) -> Column:
+    """The text with each maximal interval of its spans' union replaced by a mark.
+
+    Of sorted starts and stops an interval ends at the i-th stop if the next start isn't before
+    it.  Pieces are taken from blocks, so long texts with many spans don't cost their square.
+    """
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    ends = f"named_struct('a', array_sort(transform({spans}, x -> x.start)), 'o', array_sort(transform({spans}, x -> x.stop)))"
+    gaps = "filter(zip_with(slice(u.o, 1, size(u.o) - 1), slice(u.a, 2, size(u.a) - 1), (o, a) -> IF(o <= a, named_struct('low', o, 'high', a), NULL)), x -> x IS NOT NULL)"
+    kept = f"concat(array(named_struct('low', 0, 'high', element_at(u.a, 1))), g, array(named_struct('low', element_at(u.o, -1), 'high', char_length({text}))))"
+    piece = f"substring(array_join(slice(bl, cast(z.low div {block} as int) + 1, cast(z.high div {block} - z.low div {block} as int) + 1), ''), z.low % {block} + 1, z.high - z.low)"
+    whole = let("bl", f"regexp_extract_all({text}, '(?s).{{1,{block}}}', 0)", f"array_join(transform({kept}, z -> {piece}), '{mark}')")
+    return F.expr(f"CASE WHEN size({spans}) > 0 THEN {let('u', ends, let('g', gaps, whole))} ELSE {text} END")
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), mark: str = "[SECRET]") -> DataFrame:
-    """The documents, all columns kept, with each base span of a text replaced by a mark; null texts stay null.
+    """The documents, all columns kept, with each base and linked weak span of a text replaced by a mark; null texts stay null.
 
-    Works on the pieces between matches, so a text is read once per kind whatever its number
-    of spans.  Linked weak spans are replaced too, in documents that have any.
+    All spans are those that scan finds in the untouched text; spans that overlap become one mark.
     """
     columns = docs.columns
-    out = docs
-    size = f"char_length(regexp_extract(x, r'{ASSIGN.replace(chr(39), chr(92) + 'x27')}', 1)) >= {rules.min_value}"
     weak = cut(_scan(docs, id_col, text_col, rules).filter(F.size("added") > 0).select(F.col("key").alias("_sec_key"), F.col("added").alias("_sec_added")).dropDuplicates(["_sec_key"]))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    out = out.join(weak, _key(docs[id_col].cast("long"), text) == F.col("_sec_key"), "left")
-    # Weak spans first, as their positions hold for the untouched text; from the last to the first.
-    wiped = F.expr(f"""CASE WHEN _sec_added IS NULL THEN `{text_col}` ELSE aggregate(reverse(_sec_added), `{text_col}`,
-        (t, x) -> concat(substring(t, 1, x.start), '{mark}', substring(t, x.stop + 1))) END""")
-    out = out.withColumn("_sec_t", wiped)
-    for pattern, keep in ((ASSIGN, size), (ACCESS, f"char_length(x) >= {rules.min_access}"), (HEX, "true")):
-        out = out.withColumn("_sec_m", _found("_sec_t", pattern)).withColumn("_sec_b", _between("_sec_t", "_sec_m", pattern))
-        out = out.withColumn("_sec_t", F.expr(f"""CASE WHEN size(_sec_m) > 0 THEN array_join(flatten(transform(arrays_zip(_sec_b, transform(_sec_m, x -> CASE WHEN {keep} THEN '{mark}' ELSE x END) AS _sec_r),
-            z -> array(z._sec_b, coalesce(z._sec_r, '')))), '') ELSE _sec_t END""".replace(" AS _sec_r)", ")").replace("z._sec_r", "z.`1`")))
-    return out.withColumn(text_col, F.col("_sec_t")).select(*columns)
+    out = docs.join(weak, _key(docs[id_col].cast("long"), text) == F.col("_sec_key"), "left").withColumn("_sec_t", text)
+    for i, pattern in enumerate((ASSIGN, ACCESS, HEX)):
+        out = out.withColumn(f"_sec_m{i}", _found("_sec_t", pattern))
+        out = out.withColumn(f"_sec_b{i}", _between("_sec_t", f"_sec_m{i}", pattern))
+        out = out.withColumn(f"_sec_p{i}", _places(f"_sec_m{i}", f"_sec_b{i}"))
+    none = F.array().cast(f"array<{SPAN}>")
+    out = out.withColumn("_sec_spans", F.concat(_base("_sec_p0", "_sec_p1", "_sec_p2", rules), F.coalesce("_sec_added", none)))
+    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), _masked("_sec_t", "_sec_spans", mark))).select(*columns)
 
 
 def _sql(rules: Rules = Rules()) -> str:
