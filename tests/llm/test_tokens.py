@@ -117,6 +117,21 @@ def test_slices_cut_at_words():
     assert all(p[0] == " " for p in parts[1:]) and not any(p.endswith(" ") for p in parts[:-1])
 
 
+def test_slices_keep_white_space_together(codec, library):
+    rnd = random.Random(7)
+    for size in (1, 2, 5, 17):
+        for _ in range(300):
+            text = "".join(rnd.choice(["a", "b's", " ", " ", "\n", "\t", "\x85", "\xa0", "\u3000", "\x1c", "é", "1", "!"]) for _ in range(40))
+            parts = list(bpe.slices(text, size))
+            assert "".join(parts) == text and [t for p in parts for t in bpe.pretokens(p)] == bpe.pretokens(text)
+    assert len(list(bpe.slices("ab cd " * 50, 20))) > 5
+    line = "\n    return x"
+    for shift in range(len(line)):  # the slice's end falls on each character of an indented line
+        text = "x" * shift + line * ((1 << 20) // len(line) + 20)
+        ids = next(bpe.Encoder(codec, lexicon(codec, [])).encode([text])).tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
 def test_whole_tokens_are_proven(model):
     assert "▁the" in model.whole and all(len(model.merge(p)) == 1 for p in list(model.whole)[:500])
     with pytest.raises(ValueError, match="boundary"):
