@@ -19,20 +19,23 @@ from .common import WORD, held_out
 from .fold import logistic, training_sample, with_columns
 
 BITS = 18
+#: Shapes are taken of pieces: whole words mostly, and long words piece by piece to their end.
+PIECE = 32
 _words = re.compile(WORD).findall
+_pieces = re.compile(f"{WORD[:-1]}{{1,{PIECE}}}").findall
 _RUNS = [(re.compile(p), s) for p, s in ((r"[^\W\d_]", "a"), (r"\d+", "0"), (r"A+", "A"), (r"a+", "a"), (r"([^\w])\1+", r"\1\1"))]
 
 
 def shape(word: str) -> str:
     """The word with letters as A or a and digits as 0, runs shortened; other characters stay."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in word[:32])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in word)
     for pattern, by in _RUNS[1:]:
         out = pattern.sub(by, out)
     return out
 
 
 class Grams(dict):
-    """Hashes of words and of their shapes, remembered up to a bound."""
+    """Hashes of words, or pieces of long words, and of their shapes, remembered up to a bound."""
 
     def __init__(self, keep: int = 1 << 18) -> None:
         super().__init__()
@@ -42,22 +45,28 @@ class Grams(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.keep:
             self.clear()
-        found = zlib.crc32(word.encode()) << 31 | zlib.crc32(shape(word).encode()) >> 1
+        found = zlib.crc32(word.encode()) << 31 | zlib.crc32(shape(word[:PIECE]).encode()) >> 1  # a longer word's pieces are asked for, too
         self[word] = found
         return found
 
     def of(self, text: str) -> np.ndarray:
-        """Ids of the distinct n-grams of a whole text: words and word pairs, shapes up to threes, and how often threes repeat."""
+        """Ids of the distinct n-grams of a whole text: words and word pairs, shapes of pieces up to threes, and how often threes of words repeat."""
         words = _words(text)
         if not words:
             return np.zeros(1, np.int32)
         both = np.fromiter(map(self.__getitem__, words), np.int64, len(words)).astype(np.uint64)
         word, form = both >> np.uint64(31), both & np.uint64(0x7FFFFFFF)
+        if max(map(len, words)) > PIECE:
+            pieces = _pieces(text)
+            form = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)).astype(np.uint64) & np.uint64(0x7FFFFFFF)
         mix = [_mixed(1, word), _mixed(2, form)]
         if len(words) > 1:
-            mix += [_mixed(3, word[:-1], word[1:]), _mixed(4, form[:-1], form[1:])]
-        if len(words) > 2:
+            mix.append(_mixed(3, word[:-1], word[1:]))
+        if len(form) > 1:
+            mix.append(_mixed(4, form[:-1], form[1:]))
+        if len(form) > 2:
             mix.append(_mixed(5, form[:-2], form[1:-1], form[2:]))
+        if len(words) > 2:
             threes = _hash(6, word[:-2], word[1:-1], word[2:])
             share = 1 - len(np.unique(threes)) / len(threes)
             mix.append(_mixed(7, np.arange(1 + int(10 * share), dtype=np.uint64)))  # one per tenth reached

@@ -66,6 +66,19 @@ def test_without_labels(spark, module):
     assert module.score(docs.filter("doc_id = 5000"), marks).count() == 0
 
 
+def test_long_words_are_read_to_their_end(spark):
+    grams = quality_model.Grams()
+    common = "ab1" * 20
+    plain, odd = (set(grams.of(common + tail).tolist()) for tail in ("cd" * 200, "#1" * 200))
+    assert len(odd - plain) > 3 and set(grams.of(common + "#" + "1#" * 200 + " end").tolist()) & (odd - plain)
+    assert quality_model.shape("ab1" * 20 + "#") != quality_model.shape("ab1" * 20)
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice("漢字かな") for _ in range(40)) + "".join(rnd.choice("漢字かな" if i % 2 else "#$%7") for _ in range(300))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [r for r in quality_model.score(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")).collect() if r["held_out"]]
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.97 * len(held)
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.array([0, 1, 2 + int(rng.integers(3))]) if y else np.array([10, 11, 12 + int(rng.integers(3))]) for y in (1, 0) * 40]
