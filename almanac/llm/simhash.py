@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected_components, cut, local_forest
+from .common import WORD, connected_components, cut, local_forest, one_of_each, row_key
 from .fold import with_columns
 
 #: Shingles whose bits are counted at once, so that memory stays bounded for any text length.
@@ -230,25 +230,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every document; and (fp, component, component_id), a component named by its least fingerprint."""
     rows = cut(fingerprints(docs, id_col, text_col, width))
+    return rows, _components(rows, budget, hot)
+
+
+def _components(rows: DataFrame, budget: int, hot: int) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint of (doc_id, fp)."""
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(near_edges(classes, budget, hot))
     named = classes.join(parts, classes["fp"] == parts["node"], "left").select(classes["fp"], "least", F.coalesce("component", classes["fp"]).alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows, named.join(least, "component").select("fp", "component", "component_id")
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
+def _printed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, key, fp): every document with its row's key and fingerprint."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    made = with_columns(keyed, "text", lambda: lambda t: ((fp := fingerprint(t, width)) - (fp >> 63 << 64),), [("fp", "long")])
+    return made.select("doc_id", "key", "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, hot: int = 512) -> DataFrame:
     """One document of each group, all columns kept: that whose id names the component.
 
-    Of repeated rows one stays.  Documents without an id stay, one a group, where none of
-    their group has an id.
+    Of repeated rows one stays; rows of one id and unlike texts are documents of their own, so
+    one stays for each of their groups.  Documents without an id stay, one a group, where none
+    of their group has an id.
     """
-    rows, by_fp = _grouped(docs, id_col, text_col, width, budget, hot)
-    names = rows.join(by_fp, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_sim_id")).distinct()
-    kept = docs.join(names, docs[id_col].cast("long") == F.col("_sim_id"), "left_semi").dropDuplicates([id_col])
-    unnamed = docs.filter(F.col(id_col).isNull())
-    if unnamed.isEmpty():
-        return kept
-    marked = with_columns(unnamed, text_col, lambda: lambda t: ((fp := fingerprint(t, width)) - (fp >> 63 << 64),), [("_sim_fp", "long")])
-    alone = by_fp.filter("component_id IS NULL").select(F.col("fp").alias("_sim_fp"), F.col("component").alias("_sim_part"))
-    return kept.unionByName(marked.join(alone, "_sim_fp").dropDuplicates(["_sim_part"]).select(*docs.columns))
+    rows = cut(_printed(docs, id_col, text_col, width))
+    named = _components(rows, budget, hot).select("fp", "component")
+    return one_of_each(docs, rows.join(named, "fp").select("doc_id", "key", "component"), id_col, text_col)

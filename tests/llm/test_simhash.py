@@ -93,6 +93,14 @@ def test_documents(spark):
     assert simhash.near_duplicates(df.filter("doc_id < 0")).count() == 0
 
 
+def test_rows_of_one_id_and_unlike_texts_stay(spark):
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice("abcdefghijk") + str(rnd.randrange(50)) for _ in range(80)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (0, texts[2]), (2, texts[2]), (2, texts[3]), (None, texts[3])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], texts.index(r["text"])) for r in kept) == [(0, 2), (1, 0), (1, 1), (2, 3)]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, x) for x in range(201, 260)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(chain).collect()}
