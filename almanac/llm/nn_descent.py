@@ -2,8 +2,9 @@
 
 Equal vectors of a label form one class.  A neighbour graph over classes starts from random
 hyperplane blocks and is refined through joins of neighbours of neighbours.  Its edges at or
-over the threshold, with those of the blocks, give components.  Lists saturated with links are
-then enlarged to the whole component, in blocks, so every link inside is counted.  An audit
+over the threshold, with those of the blocks, give components.  Nodes whose lists are saturated
+with links are compared exactly across components, then with their whole component, in blocks,
+so every link inside is counted.  An audit
 compares a fixed number of vectors with all others; poor recall starts another round.
 """
 
@@ -161,12 +162,18 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, turn:
     return _sorted(rows, "mid").mapInArrow(work, "a long, b long, sim double")
 
 
+def chunked(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The rows in chunks of about `size` of each key, once for each pair of its chunks: block, first (or second chunk), alone (one chunk with itself)."""
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("chunks"))
+    out = rows.join(many, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pair = F.explode(F.expr("transform(sequence(0, chunks - 1), o -> named_struct('low', least(own, o), 'high', greatest(own, o)))")).alias("p")
+    out = out.select("*", pair)
+    return out.select(F.xxhash64(key, "p.low", "p.high").alias("block"), *rows.columns, (F.col("own") == F.col("p.low")).alias("first"), (F.col("p.low") == F.col("p.high")).alias("alone"))
+
+
 def count_links(parts: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
     """(node, n_links) inside each component: its nodes, in chunks of about `size`, chunk against chunk."""
-    many = parts.groupBy("component").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks"))
-    rows = parts.join(many, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    pair = F.explode(F.expr("transform(sequence(0, chunks - 1), o -> named_struct('low', least(own, o), 'high', greatest(own, o)))")).alias("p")
-    rows = rows.select("component", "node", "own", pair).select(F.xxhash64("component", "p.low", "p.high").alias("block"), "node", (F.col("own") == F.col("p.low")).alias("first"), (F.col("p.low") == F.col("p.high")).alias("alone"))
+    rows = chunked(parts.select("component", "node"), "component", size)
     rows = rows.join(nodes.select("node", "n", "v"), "node").select("block", "node", "n", "first", "alone", "v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +189,71 @@ def count_links(parts: DataFrame, nodes: DataFrame, threshold: float, size: int)
     return _sorted(rows, "block").mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def cross_links(members: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b): a forest over every link between (node, component) of different components, by exact search.
+
+    Angles obey the triangle inequality, so two components are compared only where the angle of
+    one member of each is within both radii and the threshold's angle.
+    """
+    placed = cut(members.select("node", "component").join(nodes.select("node", "grp", "v"), "node"))
+    heads = placed.join(placed.groupBy("component").agg(F.min("node").alias("node")).select("node"), "node", "left_semi").select("component", "grp", "node", F.col("v").alias("head"))
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(1), batch.column(2))]
+            angle = [float(np.arccos(np.clip((unit(x[a : b][None]) @ unit(y[c : d][None]).T)[0, 0], -1, 1))) for (at, x), (bt, y) in [both] for a, b, c, d in zip(at[:-1], at[1:], bt[:-1], bt[1:], strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(angle, pa.float64())], names=["component", "angle"])
+
+    radius = placed.join(heads.select("component", "head"), "component").select("component", "v", "head").mapInArrow(far, "component long, angle double").groupBy("component").agg(F.max("angle").alias("radius"))
+    reach = cut(heads.join(radius, "component").select("grp", "component", "node", "radius", F.col("head").alias("v")))
+    rows = chunked(reach, "grp", size).select("block", "component", "radius", "first", "alone", "v")
+    widest = float(np.arccos(threshold)) + 1e-6
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (name, r, first, alone), v in groups(batches):
+            x = unit(v)
+            p, q = (np.arange(len(x)),) * 2 if alone[0] else (np.flatnonzero(first), np.flatnonzero(~first))
+            if not len(p) or not len(q):
+                continue
+            ok = np.arccos(np.clip(x[p] @ x[q].T, -1, 1)) <= r[p][:, None] + r[q][None, :] + widest
+            i, j = np.nonzero(np.triu(ok, 1) if alone[0] else ok)
+            yield pa.record_batch([pa.array(name[p[i]]), pa.array(name[q[j]])], names=["ca", "cb"])
+
+    pairs = _sorted(rows, "block").mapInArrow(near, "ca long, cb long")
+    many = placed.groupBy("component").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks"))
+    pairs = cut(pairs.join(many.select(F.col("component").alias("ca"), F.col("chunks").alias("na")), "ca").join(many.select(F.col("component").alias("cb"), F.col("chunks").alias("nb")), "cb"))
+
+    def side(own: str, chunks: str, others: str, order: tuple[str, str], first: bool) -> DataFrame:
+        mine = pairs.join(placed, F.col(own) == F.col("component")).withColumn("own", F.pmod(F.xxhash64("node"), F.col(chunks)).cast("int"))
+        return mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(F.xxhash64("ca", "cb", *order).alias("block"), "node", F.lit(first).alias("first"), "v")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (node, first), v in groups(batches):
+            x, p, q = unit(v), np.flatnonzero(first), np.flatnonzero(~first)
+            if not len(p) or not len(q):
+                continue
+            i, j = np.nonzero(x[p] @ x[q].T >= threshold)
+            root = local_forest(p[i], q[j], np.arange(len(node)))
+            leaf = np.flatnonzero(root != np.arange(len(node)))
+            yield pa.record_batch([pa.array(node[leaf]), pa.array(node[root[leaf]])], names=["a", "b"])
+
+    both = side("ca", "na", "nb", ("own", "other"), True).unionByName(side("cb", "nb", "na", ("other", "own"), False))
+    return _sorted(both, "block").mapInArrow(work, "a long, b long")
+
+
+def settled(links: DataFrame, graph: DataFrame, nodes: DataFrame, k: int, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """(links, parts) after nodes whose whole lists are links, where closer members crowd others out, are compared across components."""
+    parts = cut(connected_components(links))
+    full = graph.groupBy("a").agg(F.count("*").alias("c"), F.min("sim").alias("worst")).filter((F.col("c") >= k) & (F.col("worst") >= threshold)).select(F.col("a").alias("node"))
+    found = cut(cross_links(parts.join(full, "node", "left_semi"), nodes, threshold, size))
+    if found.isEmpty():
+        return links, parts
+    links = links.union(found)
+    return links, cut(connected_components(links))
+
+
 def audit(nodes: DataFrame, parts: DataFrame, threshold: float, asked: int, seed: int) -> tuple[int, int]:
     """(links of `asked` hash-chosen nodes with any node, those of them within one component), against all nodes in blocks."""
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(asked).select("node", "grp", "v").collect()
@@ -232,7 +304,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if moved <= 0.001 * max(1, graph.count()):
                 break
         links = cut(links.union(graph.filter(F.col("sim") >= slack).select("a", "b")).distinct())
-        parts = cut(connected_components(links))
+        links, parts = settled(links, graph, nodes, k, slack, 512)
         total, found = audit(nodes, parts, slack, asked, seed + turn)
         log.info("round %d: audited recall %d of %d", turn, found, total)
         if found >= recall * total:

@@ -141,6 +141,35 @@ def test_embeddings(spark):
     assert nn_descent.near_duplicates(df.filter("vec_id = -1")).count() == 0
 
 
+def directions(rng, n, d=16):
+    x = rng.standard_normal((n, d))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def beside(rng, x, degrees):
+    """A unit vector at an angle to another."""
+    y = directions(rng, 1, len(x))[0]
+    y -= (y @ x) * x
+    t = np.radians(degrees)
+    return np.cos(t) * x + np.sin(t) * y / np.linalg.norm(y)
+
+
+def embedded(spark, vectors):
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(vectors)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_saturated_groups_are_joined(spark):
+    """Groups that fill each other's lists, linked by a few members on their rims."""
+    rng, vectors = np.random.default_rng(6), []
+    for center in directions(rng, 40):
+        for c in (center, beside(rng, center, 14)):
+            vectors += [beside(rng, c, 3) for _ in range(12)]
+    rows, df = embedded(spark, vectors)
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in nn_descent.near_duplicates(df, size=8, k=4, tables=1, rounds=1).collect())
+    assert got == sorted(brute_links(rows))
+
+
 def test_embeddings_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [tuple(r) for r in df.select("vec_id", "embedding", "label").collect()]
