@@ -5,13 +5,15 @@ hyperplane blocks and is refined through joins of neighbours of neighbours.  Its
 over the threshold, with those of the blocks, give components.  Nodes whose lists are saturated
 with links are compared exactly across components, then with their whole component, in blocks,
 so every link inside is counted.  An audit
-compares a fixed number of vectors with all others; poor recall starts another round.
+compares vectors of components of every size with all others; poor recall, or none to be seen,
+starts another round, and after the last one components are compared exactly.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -254,14 +256,44 @@ def settled(links: DataFrame, graph: DataFrame, nodes: DataFrame, k: int, thresh
     return links, cut(connected_components(links))
 
 
-def audit(nodes: DataFrame, parts: DataFrame, threshold: float, asked: int, seed: int) -> tuple[int, int]:
-    """(links of `asked` hash-chosen nodes with any node, those of them within one component), against all nodes in blocks."""
-    chosen = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(asked).select("node", "grp", "v").collect()
+def audit(nodes: DataFrame, parts: DataFrame, threshold: float, asked: int, seed: int, recall: float, most: int = 8192) -> bool:
+    """True if hash-chosen nodes, compared with all others, show that components hold the links of each node.
+
+    `asked` nodes are drawn from each stratum, of components alike in size by a factor of two;
+    single nodes are one.  In each the mean over nodes of the share of links found must reach
+    `recall`.  A sample without links is no evidence: it grows up to `most` nodes a stratum.
+    A sample that is the whole table must have every link.
+    """
+    of = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    sizes = of.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("stratum"))
+    of = cut(of.join(sizes, "component"))
+    strata = {r["stratum"]: r["count"] for r in of.groupBy("stratum").count().collect()}
+    while strata:
+        drawn = [of.filter(F.col("stratum") == s).orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(asked).select("node") for s in strata]
+        chosen = nodes.select("node", "grp", "v").join(reduce(DataFrame.union, drawn), "node", "left_semi").collect()
+        whole = len(chosen) == sum(strata.values())
+        ca, cb = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("stratum").alias(f"s{x}")) for x in "ab")
+        true = _links_of(chosen, nodes, threshold).join(ca, "a").join(cb, "b")
+        shares = true.groupBy("sa", "a").agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("share"))
+        got = shares.groupBy("sa").agg(F.count("*").alias("n"), F.avg("share").alias("mean"), F.min("share").alias("least")).collect()
+        log.info("audit of %d nodes: %s", len(chosen), [(r["sa"], r["n"], r["mean"]) for r in got])
+        if whole:
+            return all(r["least"] == 1 for r in got)
+        if got:
+            return all(r["mean"] >= recall for r in got)
+        if asked >= most:
+            return False
+        asked *= 4
+    return True
+
+
+def _links_of(chosen: list, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every link of the chosen (node, grp, v), against all nodes."""
     ids = np.array([r["node"] for r in chosen], np.int64)
-    by: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for g in {r["grp"] for r in chosen}:
-        own = [i for i, r in enumerate(chosen) if r["grp"] == g]
-        by[g] = ids[own], unit(np.array([chosen[i]["v"] for i in own]))
+    own: dict[str, list[int]] = {}
+    for i, r in enumerate(chosen):
+        own.setdefault(r["grp"], []).append(i)
+    by = {g: (ids[at], unit(np.array([chosen[i]["v"] for i in at]))) for g, at in own.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,15 +301,15 @@ def audit(nodes: DataFrame, parts: DataFrame, threshold: float, asked: int, seed
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for g, (q, x) in by.items():
                 rows = np.flatnonzero(grp == g)
-                if len(rows):
-                    i, j = np.nonzero(x @ unit(np.stack([flat[at[r] : at[r + 1]] for r in rows])).T >= threshold)
-                    a, b = q[i], node[rows[j]]
+                if not len(rows):
+                    continue
+                y = unit(np.stack([flat[at[r] : at[r + 1]] for r in rows])).T
+                for k in range(0, len(q), 1024):
+                    i, j = np.nonzero(x[k : k + 1024] @ y >= threshold)
+                    a, b = q[k + i], node[rows[j]]
                     yield pa.record_batch([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-    true = nodes.select("node", "grp", "v").mapInArrow(work, "a long, b long")
-    ca, cb = (parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    total, found = true.join(ca, "a", "left").join(cb, "b", "left").agg(F.count("*"), F.sum((F.col("ca") == F.col("cb")).cast("long"))).first()
-    return total, found or 0
+    return nodes.select("node", "grp", "v").mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, k: int = 8, tables: int = 6, size: int = 256, turns: int = 3, rounds: int = 4, recall: float = 0.999, asked: int = 1024, seed: int = 11) -> DataFrame:
@@ -305,10 +337,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 break
         links = cut(links.union(graph.filter(F.col("sim") >= slack).select("a", "b")).distinct())
         links, parts = settled(links, graph, nodes, k, slack, 512)
-        total, found = audit(nodes, parts, slack, asked, seed + turn)
-        log.info("round %d: audited recall %d of %d", turn, found, total)
-        if found >= recall * total:
+        if audit(nodes, parts, slack, asked << turn, seed + turn, recall):
             break
+    else:
+        log.warning("recall is not shown after %d rounds: all components are compared exactly", rounds)
+        alone = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        parts = cut(connected_components(links.union(cross_links(alone, nodes, slack, 512))))
     counted = count_links(parts, nodes, slack, 512)
     whole = nodes.join(parts, "node", "left").join(counted, "node", "left").select("label", "v", "n", "least", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     whole = cut(whole)

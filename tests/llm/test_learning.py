@@ -170,6 +170,27 @@ def test_saturated_groups_are_joined(spark):
     assert got == sorted(brute_links(rows))
 
 
+@pytest.mark.parametrize("most", [8192, 4])
+def test_lost_pairs_are_found_beside_a_large_component(spark, monkeypatch, most):
+    rng = np.random.default_rng(7)
+    center, vectors = directions(rng, 1)[0], []
+    vectors += [beside(rng, center, 3) for _ in range(150)]
+    for x in directions(rng, 150):
+        vectors += [x, beside(rng, x, 11.3)]
+    rows, df = embedded(spark, vectors)
+    monkeypatch.setattr(nn_descent.audit, "__defaults__", (most,))
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in nn_descent.near_duplicates(df, size=8, k=4, tables=1, turns=1, rounds=1, asked=64).collect())
+    assert got == sorted(brute_links(rows))
+
+
+def test_samples_without_links_are_no_evidence(spark):
+    rng = np.random.default_rng(8)
+    _, df = embedded(spark, directions(rng, 400, 32))
+    _, nodes = nn_descent.classes_of(df, "vec_id", "embedding", "label")
+    none = spark.createDataFrame([], "node long, component long")
+    assert not nn_descent.audit(nodes, none, 0.98, 10, 1, 0.999, 20) and nn_descent.audit(nodes, none, 0.98, 10, 1, 0.999)
+
+
 def test_embeddings_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [tuple(r) for r in df.select("vec_id", "embedding", "label").collect()]
