@@ -99,7 +99,7 @@ def greedy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = {"the and": "A", "the": "B", "and": "C", "le": "D", "les": "E", "der": "F", "de la": "G", "de": "H", "la": "I"}
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.withColumn("terms", terms.find(vocabulary)(F.col("text")))
-    return found.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.array_join(F.slice("terms", 1, 5), ",").alias("first_terms"))
+    return found.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.array_join("terms", ",").alias("terms"))
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")

@@ -28,3 +28,11 @@ def test_plans_reach_the_scan(spark, small):
     plan = registry.queries()["season_totals"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     assert "o_orderpriority" not in plan
+
+
+def test_greedy_terms_returns_every_term(spark, tmp_path):
+    from almanac.plans import stateful
+
+    spark.createDataFrame([(1, "the and der de la les le de la the"), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_terms"], r["terms"]) for r in stateful.greedy_terms(spark, str(tmp_path)).collect()}
+    assert got[1] == (7, "A,F,G,E,D,G,B") and got[2] == (0, "")
