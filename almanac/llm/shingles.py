@@ -2,8 +2,8 @@
 
 Candidates come from prefix filtering (Chaudhuri, Ganti and Kaushik 2006): of two sets with
 similarity s, whose members stand in one fixed order, the first n - ceil(s * n) + 1 members of
-each share one at least.  So no pair at the similarity is lost, and every candidate is checked
-on its whole sets.
+each share one at least.  Members counted by their top bits bound what two sets can share, which
+drops most chance meetings.  Neither loses a pair, and what is left is checked on whole sets.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, connected_components, cut, one_of_each, row_key
 
+#: Cells that a set's members are counted in.
+CELLS = 128
 _UPPER = {i: i + 32 for i in range(65, 91)}
 _words = re.compile(WORD).findall
 
@@ -65,7 +67,7 @@ def shingler(width: int = 5) -> Callable[[str | None], np.ndarray]:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(doc_id, key, cls, n, prefix): a class holds the documents of one set of n shingles."""
+    """(doc_id, key, cls, n, prefix, cells): a class holds the documents of one set of n shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(width)
@@ -73,13 +75,28 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int, similari
             sets = [shingles(x.as_py()) for x in batch.column(2)]
             cls = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
             prefix = [s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64) for s in sets]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cls), pa.array(map(len, sets), pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "key", "cls", "n", "prefix"])
+            cells = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for s in sets]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cls), pa.array(map(len, sets), pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["doc_id", "key", "cls", "n", "prefix", "cells"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, key string, cls string, n long, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, key string, cls string, n long, prefix array<long>, cells binary")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity; texts are (node, text)."""
+def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those of (a, b, met) whose counts by cell leave room for the similarity."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), "<i4").reshape(-1, CELLS).astype(np.int64) for i in (3, 4))
+            most = np.minimum(p, q).sum(axis=1)
+            mask = pa.array(most >= similarity * (p.sum(axis=1) + q.sum(axis=1) - most) - 1e-9)
+            yield pa.record_batch([batch.column(i).filter(mask) for i in range(3)], names=["a", "b", "met"])
+
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("cells").alias(f"c{end}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "met", "ca", "cb").mapInArrow(work, "a long, b long, met long")
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the similarity; docs are (key, text) and keys (key, node)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(width)
@@ -97,7 +114,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    made = cut(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, grams binary"))
+    texts = docs.join(keys.join(wanted, "node", "left_semi"), "key").dropDuplicates(["node"]).select("node", "text")
+    made = cut(texts.mapInArrow(sets, "node long, grams binary"))
     of = lambda end: made.select(F.col("node").alias(end), F.col("grams").alias(f"g{end}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ga", "gb").mapInArrow(work, "a long, b long")
 
@@ -115,22 +133,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows of one id and unlike texts are documents of their own; an empty table gives no rows.
     """
     rows = cut(_described(docs, id_col, text_col, width, similarity))
-    classes = cut(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()))
+    classes = cut(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()))
     postings = classes.select("node", "n", F.explode("prefix").alias("gram"))
     chain = Window.partitionBy("gram").orderBy("n", "node")
     shared = postings.withColumn("next", F.lead("node").over(chain)).withColumn("before", F.lag("node").over(chain)).withColumn("size", F.lead("n").over(chain)).filter("next IS NOT NULL OR before IS NOT NULL")
     shared = cut(shared.drop("before"))
-    texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).join(classes.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "text")
-    first = cut(shared.filter(F.col("next").isNotNull() & (F.col("n") >= similarity * F.col("size") - 1e-9)).select(F.col("node").alias("a"), F.col("next").alias("b")).distinct())
-    links = cut(_checked(first, texts, width, similarity))
+    texts, keys = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")), classes.select("key", "node")
+    met = shared.filter(F.col("next").isNotNull() & (F.col("n") >= similarity * F.col("size") - 1e-9)).groupBy(F.col("node").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("met"))
+    # Of each class the pair that met most often is enough here.
+    first = cut(_likely(met, classes, similarity).groupBy("a").agg(F.max(F.struct("met", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
+    links = cut(_checked(first, texts, keys, width, similarity))
     parts = cut(connected_components(links))
     live = shared.select("gram", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = live.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
     live = cut(live.join(mixed, "gram", "left_semi"))
     a, b = live.alias("a"), live.alias("b")
     like = F.expr(f"a.gram = b.gram AND a.component <> b.component AND (a.n < b.n OR a.n = b.n AND a.node < b.node) AND a.n >= {similarity!r}D * b.n - 1e-9")
-    rest = a.join(b, like).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
-    parts = cut(connected_components(links.union(_checked(rest, texts, width, similarity))))
+    rest = a.join(b, like).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("met"))
+    rest = cut(_likely(rest, classes, similarity).select("a", "b").join(first, ["a", "b"], "left_anti"))
+    parts = cut(connected_components(links.union(_checked(rest, texts, keys, width, similarity))))
     named = classes.select("cls", "node").join(parts, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     return one_of_each(docs, rows.join(named, "cls").select("doc_id", "key", "component"), id_col, text_col)
