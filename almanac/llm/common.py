@@ -65,13 +65,33 @@ def local_forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
     return root
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def small_side(df: DataFrame, most: int = 250_000) -> DataFrame:
+    """A materialised table, to be broadcast if it has `most` rows at most; results are the same either way."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", hot: int = 1024, ways: int = 64) -> DataFrame:
+    """Join of many rows a key with one row a key at most, rows of hot keys dealt by `by` into `ways` parts.
+
+    Keys are hot over `hot` rows and over 1/256 of all, so there are fewer than 256 of them and
+    their broadcast stays small at any size.
+    """
+    counts = cut(many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot))
+    top = F.broadcast(counts.orderBy(F.desc("_rows"), key).limit(256).select(key, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(top, key, "left").withColumn("_part", part).drop("_hot")
+    right = one.join(top, key, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hot: int = 1024) -> DataFrame:
     """(node, component): each node of an undirected edge list with the smallest node it reaches.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014).  Each round has one
-    grouped minimum, which combines before its shuffle, and one equi-join whose hot keys
-    adaptive execution splits; each round is cut into the shared folder.  Null ends and loops
-    are ignored; an empty edge list gives no rows.
+    grouped minimum, which combines before its shuffle, and one equi-join in which the edges of
+    hot nodes, as the centre of a star, are dealt over many tasks; each round is cut into the
+    shared folder.  Null ends and loops are ignored; an empty edge list gives no rows.
     """
     e = cut(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -82,16 +102,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
 
+    def lows(x: DataFrame, least: Column) -> DataFrame:
+        return x.groupBy("u").agg(least.alias("m"))
+
+    def meet(x: DataFrame, low: DataFrame) -> DataFrame:
+        # Fewer edges than this can't make a task hot.
+        return spread_join(x, low, "u", "v", hot=hot) if seen[0] > hot else x.join(low, "u")
+
     seen = mark(e)
     for _ in range(rounds):
         if not seen[0]:
             break
         both = e.union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = meet(both, lows(both, F.least("u", F.min("v")))).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u > v").distinct()
+        small = meet(large, lows(large, F.min("v"))).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u > v").distinct()
         e = cut(small)
         now = mark(e)
         if now == seen:
@@ -110,11 +135,34 @@ def row_key(id_: Column, text: Column) -> Column:
     return F.concat(F.coalesce(id_.cast("long").cast("string"), F.lit("-")), F.lit(":"), F.md5(text.cast("binary")), F.lit(":"), F.length(text).cast("string"))
 
 
+def rows_of(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each key in `kept`, all columns kept; `rows` holds the keys of all documents.
+
+    Whole texts stay where they are while the keys that go are few enough to be broadcast.
+    """
+    name = free_name("one_key", docs)
+    marked = docs.withColumn(name, row_key(docs[id_col], docs[text_col]))
+    counted = rows.groupBy("key").agg(F.count("*").alias("c")).join(kept.select("key", F.lit(True).alias("stays")), "key", "left")
+    special = cut(counted.filter("c > 1 OR stays IS NULL").select(F.col("key").alias(name), F.coalesce("stays", F.lit(False)).alias("stays")))
+    once = marked.join(small_side(special.select(name)), name, "left_anti").select(*docs.columns)
+    repeated = special.filter("stays").select(name)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(marked.join(small_side(repeated), name, "left_semi").dropDuplicates([name]).select(*docs.columns))
+
+
 def one_of_each(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of the documents of each component in (doc_id, key, component) that of the smallest id, a null id last; all columns kept."""
-    first = parts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.key").alias("_one_key"))
-    marked = docs.withColumn("_one_key", row_key(docs[id_col], docs[text_col]))
-    return marked.join(first, "_one_key", "left_semi").dropDuplicates(["_one_key"]).select(*docs.columns)
+    first = parts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.key").alias("key"))
+    return rows_of(docs, parts, first, id_col, text_col)
+
+
+def free_name(base: str, df: DataFrame) -> str:
+    """A column name that the table doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def stamp(data: bytes) -> str:

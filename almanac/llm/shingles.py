@@ -1,30 +1,32 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
+"""Near copies by the Jaccard similarity of their word shingles.
 
-Candidates come from prefix filtering (Chaudhuri, Ganti and Kaushik 2006): of two sets with
-similarity s, whose members stand in one fixed order, the first n - ceil(s * n) + 1 members of
-each share one at least.  Members counted by their top bits bound what two sets can share, which
-drops most chance meetings.  Neither loses a pair, and what is left is checked on whole sets.
+Minima of a set's members under random orders estimate the similarity of sets (Broder 1997), and
+sets that agree in all minima of a band are candidates.  With the default bands a pair at
+similarity 0.8 shares none with probability 0.000003; each candidate is checked on whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected_components, cut, one_of_each, row_key
+from .common import connected_components, cut, row_key, small_side, spread_join
 
-#: Cells that a set's members are counted in.
-CELLS = 128
-_UPPER = {i: i + 32 for i in range(65, 91)}
-_words = re.compile(WORD).findall
+#: Bands of minima, and minima in each.
+BANDS, ROWS = 32, 5
+#: Members whose minima are taken at once, so that memory stays bounded for any text length.
+CHUNK = 1 << 12
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8, ASCII capitals as small letters; bytes know ASCII letters and white space only."""
+    return (text or "").encode().lower().split()
 
 
 class Words(dict):
@@ -34,10 +36,10 @@ class Words(dict):
         super().__init__()
         self.keep = keep
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.keep:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word.encode())
+        found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
@@ -50,7 +52,7 @@ def shingler(width: int = 5) -> Callable[[str | None], np.ndarray]:
     memo = Words()
 
     def shingles(text: str | None) -> np.ndarray:
-        words = _words((text or "").translate(_UPPER))
+        words = words_of(text)
         if not words:
             return np.zeros(0, np.uint64)
         w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -66,91 +68,159 @@ def shingler(width: int = 5) -> Callable[[str | None], np.ndarray]:
     return shingles
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(doc_id, key, cls, n, prefix, cells): a class holds the documents of one set of n shingles."""
+def sketcher(minima: int = BANDS * ROWS, seed: int = 7) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives the minima of a set of hashes under so many orders, 32 bits each."""
+    by = np.random.default_rng(seed).integers(0, 1 << 63, minima, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(width)
-        for batch in batches:
-            sets = [shingles(x.as_py()) for x in batch.column(2)]
-            cls = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
-            prefix = [s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64) for s in sets]
-            cells = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for s in sets]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cls), pa.array(map(len, sets), pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["doc_id", "key", "cls", "n", "prefix", "cells"])
+    def sketch(members: np.ndarray) -> np.ndarray:
+        low = np.full(minima, np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(members), CHUNK):
+            np.minimum(low, (by[:, None] * members[None, i : i + CHUNK]).min(axis=1), out=low)
+        return (low >> np.uint64(32)).astype("<u4")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, key string, cls string, n long, prefix array<long>, cells binary")
+    return sketch
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Those of (a, b, met) whose counts by cell leave room for the similarity."""
+def described(docs: DataFrame, id_col: str, text_col: str, width: int, print_: Callable[[np.ndarray], int]) -> DataFrame:
+    """(doc_id, key, cls, n, fp, sketch): cls names the set of a text's n shingles, fp is what `print_` makes of them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, sketch = shingler(width), sketcher()
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), "<i4").reshape(-1, CELLS).astype(np.int64) for i in (3, 4))
-            most = np.minimum(p, q).sum(axis=1)
-            mask = pa.array(most >= similarity * (p.sum(axis=1) + q.sum(axis=1) - most) - 1e-9)
-            yield pa.record_batch([batch.column(i).filter(mask) for i in range(3)], names=["a", "b", "met"])
+            cls, n, fp, low = [], [], [], []
+            for text in batch.column(2):
+                s = shingles(text.as_py())
+                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                n.append(len(s))
+                fp.append(print_(s))
+                low.append(sketch(s).tobytes())
+            made = [pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "cls", "n", "fp", "sketch"])
 
-    of = lambda end: classes.select(F.col("node").alias(end), F.col("cells").alias(f"c{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "met", "ca", "cb").mapInArrow(work, "a long, b long, met long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(work, "doc_id long, key string, cls binary, n long, fp long, sketch binary")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity; docs are (key, text) and keys (key, node)."""
+def banded(classes: DataFrame) -> DataFrame:
+    """(band, node) of all classes (node, sketch) that share a band's minima with another."""
+    minima = f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {4 * ROWS} + 1, {4 * ROWS})))"
+    placed = classes.select("node", F.explode(F.expr(minima)).alias("band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("many"), F.min("node").alias("pivot")).filter("many > 1")
+    return placed.join(shared, "band").select("band", "node", "pivot")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(width)
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["node", "grams"])
+
+def checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the similarity; texts are (key, text) and keys (key, node).
+
+    Only the texts of the pairs' own classes leave their place, one of each class.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, last, q = shingler(width), None, None
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                p = shingles(x.as_py())
+                if b != last:  # rows come sorted by their second end
+                    last, q = b, shingles(y.as_py())
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             mask = pa.array(ok, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(keys.join(wanted, "node", "left_semi"), "key").dropDuplicates(["node"]).select("node", "text")
-    made = cut(texts.mapInArrow(sets, "node long, grams binary"))
-    of = lambda end: made.select(F.col("node").alias(end), F.col("grams").alias(f"g{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ga", "gb").mapInArrow(work, "a long, b long")
+    wanted = cut(keys.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("key", "node"))
+    own = texts.join(small_side(wanted), "key").groupBy("node").agg(F.first("text").alias("text"))
+    of = lambda end: own.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies, all columns kept: that of the smallest id.
+def _cells(live: DataFrame, size: int) -> DataFrame:
+    """(band, block, first, alone, node, component): each band's members in cells, once for every pair of its cells.
 
-    Two documents are near copies if the Jaccard similarity of their sets of shingles, of
-    `width` words each, reaches `similarity`; groups are closed over such pairs.  Shared
-    shingles are first paired along chains, which joins large families in few pairs; then every
-    pair between the parts found so far is checked, so each pair at the similarity is in a group.
+    Components of over `size` members have cells of their own, and pairs of cells of one
+    component are left out, so a family of copies of any size meets only what isn't in it.
+    """
+    parts = live.groupBy("band", "component").agg(F.count("*").alias("c"))
+    total = parts.groupBy("band").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") <= size, F.col("c")).otherwise(0)).alias("mixed"))
+    parts = cut(parts.join(total, "band"))
+    small = parts.filter(F.col("total") <= size).select("band").distinct()
+    few = live.join(small, "band", "left_semi").select("band", F.xxhash64("band").alias("block"), F.lit(True).alias("first"), F.lit(True).alias("alone"), "node", "component")
+    big = parts.filter(F.col("total") > size)
+    whose = F.when(F.col("c") > size, F.col("component"))
+    room = F.when(F.col("c") > size, F.ceil(F.col("c") / size)).otherwise(F.ceil(F.col("mixed") / size)).cast("int")
+    dealt = live.join(big, ["band", "component"]).withColumn("whose", whose)
+    dealt = dealt.withColumn("cell", F.struct(F.coalesce("whose", F.lit(-1)).alias("whose"), F.pmod(F.xxhash64(F.when(F.col("whose").isNull(), F.col("component")).otherwise(F.col("node"))), room).cast("int").alias("part")))
+    dealt = cut(dealt.select("band", "cell", "node", "component"))
+    cells = dealt.select("band", "cell").distinct()
+    pairs = cells.join(cells.withColumnRenamed("cell", "other"), "band").filter("cell <= other AND NOT (cell.whose >= 0 AND cell.whose = other.whose)")
+    pairs = cut(pairs.withColumn("block", F.xxhash64("band", "cell", "other")))
+    alone = F.col("cell") == F.col("other")
+    one = dealt.join(pairs, ["band", "cell"]).select("band", "block", F.lit(True).alias("first"), alone.alias("alone"), "node", "component")
+    two = dealt.withColumnRenamed("cell", "other").join(pairs.filter(~alone), ["band", "other"]).select("band", "block", F.lit(False).alias("first"), F.lit(False).alias("alone"), "node", "component")
+    return few.unionByName(one).unionByName(two)
+
+
+def across(live: DataFrame, classes: DataFrame, similarity: float, size: int = 512) -> DataFrame:
+    """(a, b): pairs of a band and of different components whose minima don't rule the similarity out.
+
+    Minima that agree in a share lower by four standard errors and more rule it out.
+    """
+    least = similarity - 4.7 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
+
+    def solve(node, component, sketch, first, alone):
+        i, j = (np.triu_indices(len(node), 1)) if alone[0] else (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
+        ok = component[i] != component[j]
+        i, j = i[ok], j[ok]
+        out = []
+        for k in range(0, len(i), 1 << 14):
+            p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            near = (sketch[p] == sketch[q]).mean(axis=1) >= least
+            out.append((p[near], q[near]))
+        return node[np.concatenate([x[0] for x in out])] if out else node[:0], node[np.concatenate([x[1] for x in out])] if out else node[:0]
 
-    Defined cases: null, empty and wordless texts are copies of each other; of repeated rows one
-    stays; documents without an id stay only where none of their group has one, one a group;
-    rows of one id and unlike texts are documents of their own; an empty table gives no rows.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held and sum(len(h[0]) for h in held) > 1:
+                a, b = solve(*(np.concatenate(x) for x in zip(*(h[1:] for h in held), strict=True)))
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, node, component, first, alone = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+            sketch = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), "<u4").reshape(len(block), -1)
+            edges = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[0][0][0] != block[x]:
+                    yield from told()
+                    held = []
+                held.append([c[x:y] for c in (block, node, component, sketch, first, alone)])
+        yield from told()
+
+    rows = _cells(live, size).join(classes.select("node", "sketch"), "node").select("block", "node", "component", "sketch", "first", "alone")
+    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(work, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def grouped(classes: DataFrame, hints: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, component) of classes (node, key, n, sketch) linked at the similarity; `hints` are likely pairs (a, b).
+
+    The hints, and for each class the pivot that it meets in most bands, are checked first,
+    which joins large families in few pairs; then every pair of a band across the components
+    found so far is checked, so no link that a band shows is lost.
     """
-    rows = cut(_described(docs, id_col, text_col, width, similarity))
-    classes = cut(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()))
-    postings = classes.select("node", "n", F.explode("prefix").alias("gram"))
-    chain = Window.partitionBy("gram").orderBy("n", "node")
-    shared = postings.withColumn("next", F.lead("node").over(chain)).withColumn("before", F.lag("node").over(chain)).withColumn("size", F.lead("n").over(chain)).filter("next IS NOT NULL OR before IS NOT NULL")
-    shared = cut(shared.drop("before"))
-    texts, keys = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")), classes.select("key", "node")
-    met = shared.filter(F.col("next").isNotNull() & (F.col("n") >= similarity * F.col("size") - 1e-9)).groupBy(F.col("node").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("met"))
-    # Of each class the pair that met most often is enough here.
-    first = cut(_likely(met, classes, similarity).groupBy("a").agg(F.max(F.struct("met", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
-    links = cut(_checked(first, texts, keys, width, similarity))
+    keys, worded = classes.select("key", "node"), classes.filter("n > 0")
+    shared = cut(banded(worded))
+    met = shared.filter("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("x"))
+    first = met.select(F.col("x.pivot").alias("a"), F.col("node").alias("b")).unionByName(hints.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    first = cut(first)
+    links = cut(checked(first, texts, keys, width, similarity))
     parts = cut(connected_components(links))
-    live = shared.select("gram", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = live.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
-    live = cut(live.join(mixed, "gram", "left_semi"))
-    a, b = live.alias("a"), live.alias("b")
-    like = F.expr(f"a.gram = b.gram AND a.component <> b.component AND (a.n < b.n OR a.n = b.n AND a.node < b.node) AND a.n >= {similarity!r}D * b.n - 1e-9")
-    rest = a.join(b, like).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("met"))
-    rest = cut(_likely(rest, classes, similarity).select("a", "b").join(first, ["a", "b"], "left_anti"))
-    parts = cut(connected_components(links.union(_checked(rest, texts, keys, width, similarity))))
-    named = classes.select("cls", "node").join(parts, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
-    return one_of_each(docs, rows.join(named, "cls").select("doc_id", "key", "component"), id_col, text_col)
+    live = shared.select("band", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    live = cut(spread_join(live, mixed, "band", "node", "left_semi"))
+    rest = cut(across(live, classes, similarity).join(first, ["a", "b"], "left_anti"))
+    found = cut(checked(rest, texts, keys, width, similarity))
+    return parts if found.isEmpty() else cut(connected_components(links.unionByName(found)))

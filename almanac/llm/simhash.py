@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -12,31 +11,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected_components, cut, local_forest, one_of_each, row_key
+from . import shingles
+from .common import connected_components, cut, local_forest, one_of_each, row_key, rows_of
 from .fold import with_columns
 
 #: Shingles whose bits are counted at once, so that memory stays bounded for any text length.
 CHUNK = 1 << 14
-_UPPER = {i: i + 32 for i in range(65, 91)}
-_words = re.compile(WORD).findall
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of a whole text: bit set if set in over half of its shingles' XXH64 values."""
-    words = _words((text or "").translate(_UPPER))
+    words = shingles.words_of(text)
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
-    shingles = map(" ".join, zip(*(words[i : i + n] if i + width > len(words) else words[i:] for i in range(min(width, len(words)))), strict=False))
+    joined = map(b" ".join, zip(*(words[i : i + n] if i + width > len(words) else words[i:] for i in range(min(width, len(words)))), strict=False))
     ones, left = np.zeros(64, np.int64), n
     while left > 0:
         take = min(CHUNK, left)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, (x for x, _ in zip(shingles, range(take), strict=False)), repeat(seed)), np.uint64, take)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, (x for x, _ in zip(joined, range(take), strict=False)), repeat(seed)), np.uint64, take)
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(take, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         left -= take
     return int(sum(1 << int(i) for i in np.flatnonzero(ones * 2 > n)))
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes as a signed long: a bit is set if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = hashes[i : i + CHUNK].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed long; null and wordless texts have 0."""
 
@@ -249,13 +256,32 @@ def _printed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return made.select("doc_id", "key", "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, hot: int = 512) -> DataFrame:
-    """One document of each group, all columns kept: that whose id names the component.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, hot: int = 512, similarity: float | None = None) -> DataFrame:
+    """One document of each group, all columns kept: that of the smallest id.
+
+    Without `similarity`, groups are those of fingerprints.  With it, two documents link if the
+    Jaccard similarity of their sets of shingles reaches it: what the trie links is checked on
+    whole sets first, and then the pairs that bands of minima show, since sets of similarity 0.8
+    have fingerprints some ten bits apart, which no trie over 64 bits can tell from chance.
 
     Of repeated rows one stays; rows of one id and unlike texts are documents of their own, so
     one stays for each of their groups.  Documents without an id stay, one a group, where none
-    of their group has an id.
+    of their group has an id.  Null, empty and wordless texts are copies of each other; an empty
+    table gives no rows; other columns may have any names.
     """
-    rows = cut(_printed(docs, id_col, text_col, width))
-    named = _components(rows, budget, hot).select("fp", "component")
-    return one_of_each(docs, rows.join(named, "fp").select("doc_id", "key", "component"), id_col, text_col)
+    if similarity is None:
+        rows = cut(_printed(docs, id_col, text_col, width))
+        named = _components(rows, budget, hot).select("fp", "component")
+        return one_of_each(docs, rows.join(named, "fp").select("doc_id", "key", "component"), id_col, text_col)
+    rows = cut(shingles.described(docs, id_col, text_col, width, of_hashes))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    classes = cut(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), least.alias("least")).withColumn("key", F.col("least.key")).withColumn("node", F.monotonically_increasing_id()))
+    prints = cut(classes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("pivot")))
+    same = classes.filter("n > 0").join(prints, "fp").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    near = near_edges(prints.select("fp"), budget, hot)
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("pivot").alias("pa")), "a").join(prints.select(F.col("fp").alias("b"), F.col("pivot").alias("pb")), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    parts = shingles.grouped(classes, same.unionByName(near), texts, width, similarity)
+    named = classes.join(parts, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("x")).select(F.col("x.key").alias("key"))
+    return rows_of(docs, rows.select("key"), first, id_col, text_col)

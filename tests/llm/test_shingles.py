@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from almanac.llm import shingles
+from almanac.llm import shingles, simhash
 
 
 def brute_sets(text, width=5):
@@ -66,10 +66,10 @@ def test_shingles_of_a_text():
 def test_keep_one_is_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, component string")
-    out = shingles.keep_one(df)
+    out = simhash.keep_one(df, width=5, budget=3, similarity=0.8)
     assert out.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == brute_kept(rows)
-    assert shingles.keep_one(df.filter("doc_id < 0")).count() == 0
+    assert simhash.keep_one(df.filter("doc_id < 0"), width=5, budget=3, similarity=0.8).count() == 0
 
 
 def test_stage_finds_copies_of_the_stated_similarity(spark, small):
