@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import bpe, mixing, quality_model, secrets, shingles
+from almanac.llm import bpe, mixing, quality_model, secrets, simhash
 from almanac.llm.common import documents, labels, shared_dir
 from almanac.llm.queries import tokenizer
 
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies, of Jaccard similarity 0.8 over shingles of five words."""
-    return shingles.keep_one(docs)
+    return simhash.keep_one(docs, width=5, budget=3, similarity=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
