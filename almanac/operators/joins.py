@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from .ordered import pick
 
 
-def with_name(df: DataFrame, names: DataFrame, key: str, name: str, out: str = "name", unknown: str = "Unknown") -> DataFrame:
-    """Left join to a name; unmatched and empty names fall back to the key, then to `unknown`."""
-    side = names.select(F.col(key).alias("_k"), F.col(name).alias("_n")).filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.max("_n").alias("_n"))
+def with_name(df: DataFrame, names: DataFrame, key: str, name: str, out: str = "name", unknown: str = "Unknown", order: Sequence[Column | str] = ()) -> DataFrame:
+    """Left join to a name; unmatched and empty names fall back to the key, then to `unknown`.
+
+    Of a repeated key the last name by `order` counts, without one the greatest.
+    """
+    rows = names.filter(F.col(key).isNotNull())
+    best = F.max_by(F.struct(F.col(name)), F.struct(*order))[name] if order else F.max(name)
+    side = rows.groupBy(F.col(key).alias("_k")).agg(best.alias("_n"))
     found = F.coalesce(F.when(F.col("_n") != "", F.col("_n")), F.col(key).cast("string"), F.lit(unknown))
     return df.join(side, F.col(key) == F.col("_k"), "left").withColumn(out, found).drop("_k", "_n")
 
@@ -44,7 +49,8 @@ def overlay(base: DataFrame, top: DataFrame, key: str, graft: Sequence[str]) ->
         if c not in top.columns:
             return F.col(c)
         new = F.when(F.col(f"_{c}").cast("string") != "", F.col(f"_{c}"))
-        return (F.coalesce(new, F.col(c)) if c in graft else F.coalesce(F.col(c), F.when(F.col(key).isNull(), F.col(f"_{c}")))).alias(c)
+        own = F.coalesce(F.col(c), F.when(F.col(key).isNull(), F.col(f"_{c}")))
+        return (F.coalesce(new, own) if c in graft else own).alias(c)
 
     return joined.select(F.coalesce(key, "_k").alias(key), *(merged(c) for c in base.columns if c != key))
 

@@ -236,7 +236,7 @@ def leaderboard_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def transfers_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First matching keyword decides the direction, others are dropped; names by left join."""
-    lines = table(spark, sf_dir, "lineitem").filter(_day("l_shipdate").startswith("1996")).select("l_partkey", F.col("l_suppkey").alias("s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_shipdate >= TIMESTAMP_NTZ '1996-01-01' AND l_shipdate < TIMESTAMP_NTZ '1997-01-01'").select("l_partkey", F.col("l_suppkey").alias("s_suppkey"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(S.club_is("p_name", ("ring",)), "in").when(S.club_is("p_name", ("bolt", "red")), "out").alias("dir")).filter("dir IS NOT NULL")
     named = joins.with_name(lines.join(parts, "l_partkey"), table(spark, sf_dir, "supplier"), "s_suppkey", "s_name")
     return named.groupBy("dir").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
@@ -301,7 +301,7 @@ def coach_trophies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH base AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE c_mktsegment END AS role FROM customer WHERE c_mktsegment <> 'MACHINERY'),
     staff AS (SELECT c_custkey AS id, 'S' || c_custkey AS name, CASE WHEN c_nationkey < 5 THEN '' ELSE 'staff' END AS role FROM customer WHERE c_nationkey < 14)
-    SELECT coalesce(b.id, s.id) AS id, coalesce(b.name, CASE WHEN b.id IS NULL THEN s.name END) AS name, coalesce(nullif(s.role, ''), b.role) AS role
+    SELECT coalesce(b.id, s.id) AS id, coalesce(b.name, CASE WHEN b.id IS NULL THEN s.name END) AS name, CASE WHEN b.id IS NULL THEN s.role ELSE coalesce(nullif(s.role, ''), b.role) END AS role
     FROM base b FULL JOIN staff s ON b.id = s.id"""
 )
 def overlay_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
