@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from collections.abc import Iterator, Sequence
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 
 def _schema(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -65,9 +68,11 @@ def read_seasons(spark: SparkSession, base: str, filename: str, schema: str | T.
     """One file per season folder (S7, S8), season and file order as columns.
 
     Only the requested folders are listed and read.  The season is the folder's name.  Missing
-    ones are passed over; none at all is an error.
+    ones are passed over with a warning; none at all is an error.
     """
     wanted = [s for s in seasons if exists(spark, f"{base}/{s}/{filename}")] if seasons is not None else None
+    if lost := sorted(set(seasons or ()) - set(wanted or ())):
+        log.warning("no %s for seasons %s under %s", filename, lost, base)
     paths = [f"{base}/{s}/{filename}" for s in wanted] if wanted is not None else [f"{base}/*/{filename}"]
     if not paths or not exists(spark, paths[0]):
         raise FileNotFoundError(f"no season of {seasons or 'any'} under {base}")
@@ -77,6 +82,11 @@ def read_seasons(spark: SparkSession, base: str, filename: str, schema: str | T.
     return rows.select("*", F.element_at(F.split(place, "/"), -2).alias("season"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"))
 
 
+def missing_seasons(spark: SparkSession, base: str, filename: str, seasons: Sequence[str]) -> list[str]:
+    """The requested seasons that have no such file, sorted."""
+    return sorted(s for s in set(seasons) if not exists(spark, f"{base}/{s}/{filename}"))
+
+
 def season_list(text: str) -> list[str]:
     """'2019-2022' or '2019,2021' as start years."""
     out: list[str] = []
@@ -103,15 +113,18 @@ def dictionary(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "category string, en string, he string, src string, confidence string, wikidata_qid string, note string")
 
 
-def dictionary_text(df: DataFrame) -> str:
-    """YAML of a dictionary, keys sorted (K4); dictionaries are small by nature."""
+def dictionary_text(df: DataFrame, order: Sequence[str] | None = None, limit: int = 1_000_000) -> str:
+    """YAML of a dictionary (K4): keys sorted, or entries as `order` puts them; over `limit` entries are an error, not cut."""
     import yaml
 
     out: dict = {}
-    for r in df.collect():
+    rows = (df.orderBy(*order) if order else df).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} entries; write them as lines")
+    for r in rows:
         entry = {k: r[k] for k in ("he", "src", "confidence", "wikidata_qid", "note")}
         out.setdefault(r["category"], {})[r["en"]] = entry
-    return yaml.safe_dump(out, allow_unicode=True, sort_keys=True, default_flow_style=False)
+    return yaml.safe_dump(out, allow_unicode=True, sort_keys=order is None, default_flow_style=False)
 
 
 def split_valid(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -168,6 +181,7 @@ def counters(actions: DataFrame, step: str = "step", action: str = "action") ->
 
 
 def seed_digest(parts: DataFrame, column: str = "text") -> DataFrame:
-    """K9: one digest of all parts, whatever their order: SHA-256 over their sorted hashes."""
-    each = parts.select(F.sha2(F.col(column).cast("binary"), 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256).alias("digest"))
+    """K9: one digest of all parts, whatever their order: SHA-256 over the digests of 65,536 buckets of sorted hashes."""
+    each = parts.select(F.sha2(F.col(column).cast("binary"), 256).alias("h")).withColumn("b", F.left("h", F.lit(4)))
+    told = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"), 256)
+    return each.groupBy("b").agg(told("h").alias("d")).select(F.concat("b", "d").alias("d")).agg(told("d").alias("digest"))

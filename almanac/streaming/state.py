@@ -55,7 +55,7 @@ def route(entities: DataFrame, state: DataFrame, pages: DataFrame, key: str = "t
     target of redirects.  A page in the main space always wins; renames stay within the
     stored namespace; a stored page that is gone is written afresh ('stranded').
     """
-    p = pages.select(F.col("title").alias("_title"), F.col("redirect").alias("_redirect")).dropDuplicates(["_title"])
+    p = pages.groupBy(F.col("title").alias("_title")).agg(F.min("redirect").alias("_redirect"))  # of several redirects the least
 
     def probed(df: DataFrame, title: str, name: str) -> DataFrame:
         side = p.select(F.col("_title").alias(title), F.lit(True).alias(f"{name}_there"), F.coalesce("_redirect", "_title").alias(f"{name}_final"))
@@ -111,30 +111,70 @@ def seed_plan(seeds: DataFrame, existing: DataFrame, forced: bool) -> DataFrame:
     return seeds.select("title").join(side, "title", "left").select("title", action.alias("action"))
 
 
+def _siblings(spark: SparkSession, path: str, mark: str) -> list:
+    """Paths beside a state's folder that an unfinished swap has left."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{mark}-*")
+    return sorted((s.getPath() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or ()), key=lambda x: x.getName())
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Undoes a swap that was cut short, and tells whether there is a state at `path`.
+
+    A swap cut between its two renames has left the old state aside: it is moved back, so the
+    next batch is merged into it and no key is lost.  Whatever else is beside it goes.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = _siblings(spark, path, "old")
+    if not fs.exists(at) and old:
+        if not fs.rename(old[-1], at):
+            raise OSError(f"could not move {old[-1]} back to {path}")
+        old = old[:-1]
+    for rest in [*old, *_siblings(spark, path, "new")]:
+        fs.delete(rest, True)
+    return fs.exists(at)
+
+
 def swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes a state table beside the old one, then swaps by rename; a failure leaves the old one whole (K5)."""
+    """Writes a state table beside the old one, then swaps by rename; a failure at any point leaves a state for `recover` (K5)."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    side, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(side)
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), fs_path(old))
-    if not fs.rename(fs_path(side), fs_path(path)):
+    side, old = fs_path(f"{path}.new-{uuid.uuid4().hex}"), fs_path(f"{path}.old-{uuid.uuid4().hex}")
+    df.write.parquet(side.toString())
+    fs = side.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(fs_path(path)) and not fs.rename(fs_path(path), old):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(side, fs_path(path)):
         raise OSError(f"could not move {side} to {path}")
-    fs.delete(fs_path(old), True)
+    fs.delete(old, True)
 
 
-def stream_merge(source: DataFrame, path: str, checkpoint: str, key: str, order: list[str]) -> None:
+def stream_merge(source: DataFrame, path: str, checkpoint: str, key: str | list[str], order: list[str], mode: str = "append") -> None:
     """Runs a stream to its present end, keeping at `path` the latest row of each key by an order that must be total.
 
+    Streams of updated aggregates (mode 'update') may order by _batch, the batch's number.
     Batches are idempotent: merging one again after a failure changes nothing.
     """
+    keys = [key] if isinstance(key, str) else key
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        there = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(path))
-        whole = spark.read.parquet(path).unionByName(batch) if there else batch
-        swap_in(spark, pick(whole, [key], [F.col(c) for c in order]), path)
+        new = batch.withColumn("_batch", F.lit(number).cast("long")) if "_batch" in order else batch
+        whole = spark.read.parquet(path).unionByName(new) if recover(spark, path) else new
+        swap_in(spark, pick(whole, keys, [F.col(c) for c in order]), path)
+
+    source.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
-    source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def publish(entities: DataFrame, state: DataFrame, pages: DataFrame, key: str = "tm_id") -> DataFrame:
+    """(key, title, route, action) of entities with their content: routed, then written, merged or skipped (Q16, K6, K7).
+
+    `pages` are (title, redirect, content, summary), the summary being that of the last revision.
+    Pages that aren't there are created; equal ones are skipped; those a person has edited since
+    the last import are merged, all others rewritten.
+    """
+    routed = route(entities.select(key, "want_title", "want_namespace"), state, pages, key).withColumnRenamed("action", "route")
+    new = entities.select(key, F.col("content").alias("_content"), S.content_hash("content").alias("_new"))
+    there = pages.select("title", F.col("content").alias("_old"), F.col("summary").alias("_summary"), S.content_hash("content").alias("_hash"))
+    rows = routed.join(new, key).join(there, "title", "left")
+    action = F.when(F.col("_hash").isNull(), "create").when(F.col("_hash") == F.col("_new"), "skip").otherwise(merge_action(F.col("_old"), F.col("_content"), F.col("_summary")))
+    return rows.select(key, "title", "route", action.alias("action"))

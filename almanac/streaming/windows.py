@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,12 +15,14 @@ def tumbling(df: DataFrame, ts: str, every: str, *aggs: Column, keys: tuple[str,
 def alarms(periods: DataFrame, start: str, measure: str, threshold: float, minutes: int, consecutive: int = 3) -> DataFrame:
     """The periods that end `consecutive` adjoining periods whose measure breaches the threshold.
 
-    Breaches are found first, so the ordered pass sees only those; runs are broken by any gap.
+    Each breach counts for its own period and those that follow; a period that as many count for
+    as are asked ends such a run.  No order is needed, so no task sees all periods.
     """
-    bad = periods.filter(F.col(measure) > threshold)
-    order = Window.orderBy("_slot")
     slot = (F.unix_timestamp(start) / (60 * minutes)).cast("long")
-    return bad.withColumn("_slot", slot).withColumn("_before", F.lag("_slot", consecutive - 1).over(order)).filter(F.col("_slot") - F.col("_before") == consecutive - 1).drop("_slot", "_before")
+    bad = periods.filter(F.col(measure) > threshold).withColumn("_slot", slot)
+    reached = bad.select("_slot").distinct().select(F.explode(F.sequence(F.col("_slot"), F.col("_slot") + (consecutive - 1))).alias("_slot"))
+    ends = reached.groupBy("_slot").agg(F.count("*").alias("_n")).filter(F.col("_n") == consecutive)
+    return bad.join(ends.select("_slot"), "_slot", "left_semi").drop("_slot")
 
 
 def rate_limited(df: DataFrame, ts: str, key: str, width: str, slide: str, limit: int) -> DataFrame:

@@ -157,3 +157,35 @@ def test_counters_and_digest(spark):
     assert json.loads(files.write_pretty(a.orderBy("text"))) == [{"text": "a"}, {"text": "b"}]
     with pytest.raises(ValueError):
         files.write_pretty(a, limit=1)
+
+
+def test_state_survives_a_swap_cut_short(spark, tmp_path, monkeypatch):
+    path, source = f"{tmp_path}/state", tmp_path / "in"
+    spark.createDataFrame([(1, 1, "a")], "k int, o int, v string").write.parquet(path)
+    spark.createDataFrame([(2, 1, "b")], "k int, o int, v string").write.parquet(str(source))
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    spark.createDataFrame([(9, 9, "half")], "k int, o int, v string").write.parquet(f"{path}.new-x")
+    assert fs.rename(fs_path(path), fs_path(f"{path}.old-x"))  # stopped here, between the renames
+    state.stream_merge(spark.readStream.schema("k int, o int, v string").parquet(str(source)), path, f"{tmp_path}/log", "k", ["o"])
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2]
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("state")) == ["state"]
+    assert not state.recover(spark, f"{tmp_path}/nothing")
+
+
+def test_missing_seasons(spark, tmp_path, caplog):
+    (tmp_path / "2024").mkdir()
+    (tmp_path / "2024" / "p.jsonl").write_text('{"id":"1"}\n')
+    assert files.missing_seasons(spark, str(tmp_path), "p.jsonl", ["2025", "2024", "2023"]) == ["2023", "2025"]
+    with caplog.at_level("WARNING"):
+        assert files.read_seasons(spark, str(tmp_path), "p.jsonl", "id string", ["2023", "2024"]).count() == 1
+    assert "2023" in caplog.text
+
+
+def test_dictionary_text_in_order(spark):
+    rows = files.dictionary(spark, "clubs:\n  Z: {he: a, src: manual}\n  B: b\n")
+    assert files.dictionary_text(rows).index("B:") < files.dictionary_text(rows).index("Z:")
+    text = files.dictionary_text(rows, order=[rows["he"]])
+    assert text.index("Z:") < text.index("B:") and sorted(map(tuple, files.dictionary(spark, text).collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(ValueError):
+        files.dictionary_text(rows, limit=1)
