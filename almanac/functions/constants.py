@@ -99,7 +99,7 @@ ENTITY_CLASSES = {
     "club": ("Q476028", "Q22687", "Q15942466", "Q15944511", "Q11410", "Q103229495"),
     "competition": ("Q500834", "Q27020041", "Q1478437", "Q623109", "Q13406554", "Q170645"),
     "country": ("Q6256", "Q3624078", "Q7275", "Q185086"),
-    "city": ("Q515", "Q3957", "Q486972", "Q1549591"),
+    "city": ("Q515", "Q3957", "Q486972", "Q1549591", "Q1093829", "Q15284", "Q532", "Q5084", "Q15078955", "Q1907114"),
 }
 FOOTBALL = "Q2736"
 PLAYER_WORDS = ("football", "footballer", "soccer", "manager", "coach", "midfielder", "defender", "forward", "striker", "goalkeeper")

@@ -290,6 +290,21 @@ def win_rate(won: Column | str, played: Column | str) -> Column:
     return F.when(_c(played) > 0, _c(won) * 100.0 / _c(played))
 
 
+def percent_text(won: Column | str, played: Column | str) -> Column:
+    """The share with one decimal, a dash with nothing played; halves go to the even digit."""
+    return F.when(_c(played) > 0, F.format_string("%.1f%%", F.bround(win_rate(won, played), 1))).otherwise("—%")
+
+
+def thousands(number: Column | str) -> Column:
+    """a whole number in groups of three digits."""
+    return F.format_number(_c(number).cast("long"), 0)
+
+
+def listed(items: Column | str, separator: str = ", ") -> Column:
+    """the non-null items of a list as one text."""
+    return F.array_join(_c(items), separator)
+
+
 # --- pages --------------------------------------------------------------------------------
 
 

@@ -56,6 +56,19 @@ def populated_prefix(df: DataFrame, order: str, measure: str, least: int) -> Dat
     return df.filter(gap.isNull() | (F.col(order) < gap))
 
 
+def newest_populated(df: DataFrame, order: str, measure: str, least: int):
+    """The last of the unbroken run of well filled periods (W6); ValueError where even the first isn't."""
+    found = populated_prefix(df, order, measure, least).agg(F.max(order)).first()[0]
+    if found is None:
+        raise ValueError(f"no period has {least} of {measure} before a gap")
+    return found
+
+
+def by_locale(df: DataFrame, column: str, *tiebreak: Column | str, locale: str = "he") -> DataFrame:
+    """Rows in a language's own order of words (O10), then by the tiebreaks."""
+    return df.orderBy(F.collate(F.col(column), locale), *tiebreak)
+
+
 def priority_pick(df: DataFrame, keys: Sequence[str], rank: str, source_order: str) -> DataFrame:
     """Of each key the row of highest rank; of equals the earliest source stays."""
     return pick(df, keys, [F.col(rank), -F.col(source_order)])

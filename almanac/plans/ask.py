@@ -52,19 +52,21 @@ def serialize(ask: Ask) -> str:
 
 
 def incomplete(text: str) -> dict[str, str] | None:
-    """The stage that an unfinished end of input is in, and its fragment (L4); None where nothing is open."""
-    if m := re.search(r"\|\s*\?\s*([^|\[\]]*)$", text):
-        return {"stage": "printout", "fragment": m[1].strip()}
-    at = text.rfind("[[")
-    if at < 0 or "]]" in text[at:]:
+    """The stage of input that is unfinished, and its fragment as typed (L4); None where nothing is open.
+
+    A printout counts at the very beginning; categories are told by the exact word.
+    """
+    if text.startswith("|?"):
+        return {"stage": "printout", "fragment": re.split(r"[|\[\]]", text[2:], maxsplit=1)[0]}
+    # Pairs of brackets close in turn, so what is left after the last closed pair decides.
+    *closed, rest = re.split(r"\[\[(?s:.*?)\]\]", text)
+    _, bracket, inner = rest.partition("[[")
+    if not bracket:
         return None
-    inner = text[at + 2 :]
-    if m := re.match(r"\s*category:\s*(.*)$", inner, re.I | re.S):
-        return {"stage": "category", "fragment": m[1].strip()}
-    if "::" in inner:
-        prop, _, value = inner.partition("::")
-        return {"stage": "value", "property": prop.strip(), "fragment": value.strip()}
-    return {"stage": "property", "fragment": inner.strip()}
+    if inner.startswith("Category:"):
+        return {"stage": "category", "fragment": inner.removeprefix("Category:")}
+    prop, separator, value = inner.partition("::")
+    return {"stage": "value", "property": prop, "fragment": value} if separator else {"stage": "property", "fragment": inner}
 
 
 def _text(df: DataFrame, column: str):
@@ -95,18 +97,19 @@ def execute(df: DataFrame, query: str | Ask, order: list[str], categories: str =
         column = _column(df, prop)
         if isinstance(df.schema[column].dataType, T.ArrayType):
             rows = rows.filter(F.array_contains(F.col(column).cast("array<string>"), value))
-        else:  # compared in the column's own type, so that the scan can filter
-            rows = rows.filter(F.col(column) == F.lit(value).try_cast(df.schema[column].dataType))
+        else:  # first in the column's own type, so that the scan can filter; then as text
+            rows = rows.filter(F.col(column) == F.lit(value).try_cast(df.schema[column].dataType)).filter(F.col(column).cast("string") == value)
     rows = rows.orderBy(*order)
     rows = rows.limit(limit) if limit else rows
     shown = ask.printouts or [(c, c) for c in df.columns]
     return rows.select(*(_text(df, _column(df, p)).alias(label) for p, label in shown))
 
 
-def suggest(df: DataFrame, column: str, fragment: str, limit: int = LIMIT) -> DataFrame:
-    """Distinct values that begin with the fragment, in any case."""
-    value = F.col(column).cast("string")
-    return df.select(value.alias("value")).filter(F.lower("value").startswith(fragment.lower())).distinct().orderBy("value").limit(limit)
+def suggest(df: DataFrame, column: str, fragment: str, limit: int = LIMIT, id_col: str | None = None) -> DataFrame:
+    """Distinct values that begin with the fragment, or whose id does, in any case."""
+    begins = lambda c: F.coalesce(F.lower(F.col(c).cast("string")).startswith(fragment.lower()), F.lit(False))
+    rows = df.filter(begins(column) | begins(id_col) if id_col else begins(column))
+    return rows.select(F.col(column).cast("string").alias("value")).distinct().orderBy("value").limit(limit)
 
 
 def search(df: DataFrame, fragment: str, *columns: str) -> DataFrame:

@@ -97,6 +97,31 @@ def leaderboard(stats: DataFrame, players: DataFrame, measure: str, k: int = 50)
     return joins.with_name(best, players.select(F.col("id").alias("player_id"), S.or_else("name_hebrew", "name_english").alias("n")), "player_id", "n")
 
 
+#: What a season may lack, by the source that would tell it.
+SOURCES = ("standings", "stats", "squad", "fixtures")
+
+
+def season_overview(stats: DataFrame, players: DataFrame, fixtures: DataFrame, standings: DataFrame, squad: DataFrame, season: str, k: int = 10) -> DataFrame:
+    """Q3: one row a season: totals, the best by three measures, standing, fixtures by competition, and the sources without it.
+
+    The first standing by competition counts; lists of the best leave out zeros after their
+    limit; a season that no source has still gets its row.
+    """
+    one = season_totals(stats, season).withColumn("season", F.lit(season))
+    for measure in ("goals", "appearances", "assists"):
+        best = season_top(stats, players, season, measure, k).agg(F.array_sort(F.collect_list(F.struct("rank", "player_id", "name", measure))).alias(f"top_{measure}"))
+        one = one.crossJoin(best)  # one row each
+    place = standings.filter(F.col("season") == season).agg(F.min_by(F.struct(*(c for c in standings.columns if c != "season")), "competition").alias("standing"))
+    counts = fixtures.filter(F.col("season") == season).groupBy(F.coalesce("competition", F.lit("Unknown")).alias("competition")).agg(F.count("*").alias("n"))
+    listed = counts.agg(F.array_sort(F.collect_list(F.struct("competition", "n"))).alias("fixtures"))
+    some = lambda df: df.filter(F.col("season") == season).limit(1).agg(F.count("*").alias("n"))
+    there = some(stats).select(F.col("n").alias("_stats")).crossJoin(some(squad).select(F.col("n").alias("_squad")))
+    row = one.crossJoin(place).crossJoin(listed).crossJoin(there)
+    tests = {"standings": F.col("standing").isNull(), "stats": F.col("_stats") == 0, "squad": F.col("_squad") == 0, "fixtures": F.size("fixtures") == 0}
+    missing = F.filter(F.array(*(F.when(tests[s], F.lit(s)) for s in SOURCES)), lambda x: x.isNotNull())
+    return row.withColumns({"missing": missing, "display": S.season_display("season")}).drop("_stats", "_squad")
+
+
 def attendance(fixtures: DataFrame) -> DataFrame:
     """Q5: matches with a readable attendance, by season; seasons without any have no row."""
     rows = fixtures.select("season", S.attendance("attendance").alias("a")).filter("a IS NOT NULL")
@@ -104,13 +129,17 @@ def attendance(fixtures: DataFrame) -> DataFrame:
 
 
 def derbies(head_to_head: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Q6: the rivals by their first known name, null rows where there is none; and all others by matches played."""
+    """Q6: the rivals by their first known name, null rows where there is none; and all others ranked by matches played.
+
+    Both are stored whole; a page shows the others up to rank twenty (O4).
+    """
     spark = head_to_head.sparkSession
     wanted = spark.createDataFrame([(d, list(a)) for d, a in C.DERBIES.items()], "display string, aliases array<string>")
     rivals = joins.alias_pick(wanted, head_to_head, "opponent", ["played", "opponent_tm_id"]).withColumn("win_pct", S.win_rate("wins", "played"))
     aliases = wanted.select(F.explode("aliases").alias("opponent"))
     others = joins.unknown(head_to_head, aliases, ["opponent"]).withColumn("win_pct", S.win_rate("wins", "played"))
-    return rivals, others.orderBy(F.desc("played"), "opponent")
+    ranked = others.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("played"), "opponent")))  # opponents are few
+    return rivals, ranked.orderBy("rank")
 
 
 def campaigns(fixtures: DataFrame) -> DataFrame:
@@ -123,6 +152,14 @@ def campaigns(fixtures: DataFrame) -> DataFrame:
     return base.withColumn("n_seasons", F.lit(1).cast("long")).unionByName(per.withColumn("season", null)).unionByName(whole.withColumn("competition", null).withColumn("season", null))
 
 
+def ranked_campaigns(fixtures: DataFrame) -> DataFrame:
+    """Q7 with the competitions' places, by their matches and then by name (O5); the total has none."""
+    rows = campaigns(fixtures)
+    per = rows.filter("season IS NULL AND competition IS NOT NULL")
+    places = per.select("competition", F.row_number().over(Window.orderBy(F.desc("n"), "competition")).alias("place"))  # one row a competition of the fixed list
+    return rows.join(places, "competition", "left")
+
+
 def competition_pages(fixtures: DataFrame) -> DataFrame:
     """Q8: (season, competition, rows): matches in order with outcome and title; unnamed and unknown competitions are left out."""
     rows = fixtures.filter(F.trim("competition").isNotNull() & ~F.trim("competition").isin("", "Unknown"))
@@ -133,7 +170,7 @@ def competition_pages(fixtures: DataFrame) -> DataFrame:
 def coaches(standings: DataFrame, honours: DataFrame, staff: DataFrame) -> DataFrame:
     """Q9: coaches of all seasons with their totals and trophies, current staff laid over them, by name.
 
-    Standings rows without manager or season are dropped; numbers that aren't whole are skipped;
+    Standings rows without manager or season are dropped, as are staff without id; numbers that aren't whole are skipped;
     games played are wins, draws and losses together.
     """
     prizes = honours.select("competition", F.explode("seasons").alias("label")).select("competition", S.season_start("label").alias("season")).filter("season IS NOT NULL")
@@ -146,7 +183,7 @@ def coaches(standings: DataFrame, honours: DataFrame, staff: DataFrame) -> DataF
     )
     empty = F.lit(None).cast("string")
     past = past.select("id", "name", empty.alias("role"), empty.alias("tenure_start"), empty.alias("tenure_end"), empty.alias("ppm"), (F.col("wins") + F.col("draws") + F.col("losses")).alias("played"), "wins", "draws", "losses", "tenure_seasons", "trophies")
-    both = joins.overlay(past, staff, "id", ["role", "tenure_start", "tenure_end", "ppm"])
+    both = joins.overlay(past, staff.filter("trim(coalesce(id, '')) <> ''"), "id", ["role", "tenure_start", "tenure_end", "ppm"])
     none = F.array().cast("array<string>")
     return both.withColumns({c: F.coalesce(c, none) for c in ("tenure_seasons", "trophies")}).orderBy("name", "id")
 
@@ -156,6 +193,34 @@ def grouped_records(records: DataFrame) -> DataFrame:
     return records.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("ord", "player_name", "player_id", "value"))).alias("rows"))
 
 
+def honours_list(honours: DataFrame) -> DataFrame:
+    """Q10: honours in the order of their file, each with its seasons as displayed and their number."""
+    seasons = F.coalesce("seasons", F.array().cast("array<string>"))
+    return honours.select("ord", "competition", "achievement", F.array_join(seasons, ", ").alias("seasons"), F.size(seasons).alias("n"))
+
+
+def stadium_row(stadium: DataFrame) -> DataFrame:
+    """Q10: the stadium's page, of the first row, with the page's title where a name is missing."""
+    first = stadium.orderBy("ord").limit(1)
+    return first.select(S.or_else("name", F.lit("Stadium")).alias("title"), *(c for c in stadium.columns if c not in ("ord", "name")))
+
+
+def match_names(matches: DataFrame) -> DataFrame:
+    """(en) of all names in matches' events and line-ups, once each.
+
+    Event lists may be null or lacking; line-ups are variants, as lineup_entries reads them.
+    """
+    fields = {"goals": ("scorer", "assist"), "substitutions": ("player_in", "player_out"), "cards": ("player",), "penalties": ("player",)}
+    seen = [F.col(c)[f] for c, names in fields.items() if c in matches.columns for f in names]
+    none = F.array().cast("array<string>")
+    out = matches.select(F.explode(F.array_distinct(F.concat(*(F.coalesce(x, none) for x in seen)))).alias("en")) if seen else None
+    for lineup in ("home_lineup", "away_lineup"):
+        if lineup in matches.columns:
+            rows = lineup_entries(matches, [], lineup, lineup).select(F.col("name").alias("en"))
+            out = rows if out is None else out.unionByName(rows)
+    return out.filter("en IS NOT NULL AND en <> ''").distinct()
+
+
 def player_pages(players: DataFrame, transfers: DataFrame, stats: DataFrame, values: DataFrame) -> DataFrame:
     """Q11: players with their transfers, split into youth and senior, statistics with a total, and values."""
     moves = transfers.withColumnRenamed("player_id", "id").withColumn("youth", S.is_youth_club("from_club") | S.is_youth_club("to_club"))

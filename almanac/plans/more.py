@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 from almanac.functions import scalars as S
 from almanac.operators import joins, merges, wiki
 from almanac.plans import ask
-from almanac.plans.registry import query, table
+from almanac.plans.registry import query, shared_dir, table
 from almanac.sources import files
+from almanac.streaming import state
 
 
 @query(
@@ -132,9 +132,10 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose key one set has and another lacks."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
-    of = lambda y: rows.filter(F.col("y") == y).select("o_custkey")
-    return joins.unknown(joins.known(rows.filter("y = 1999"), of(1998), ["o_custkey"]), of(1997), ["o_custkey"]).select("o_custkey", "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    year = lambda y: orders.filter(f"o_orderdate >= TIMESTAMP_NTZ '{y}-01-01' AND o_orderdate < TIMESTAMP_NTZ '{y + 1}-01-01'")  # noqa: E731  a range reaches the scan
+    of = lambda y: year(y).select("o_custkey")
+    return joins.unknown(joins.known(year(1999).select("o_custkey", "o_orderkey"), of(1998), ["o_custkey"]), of(1997), ["o_custkey"]).select("o_custkey", "o_orderkey")
 
 
 @query(
@@ -176,14 +177,14 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily windows kept by a stream with a watermark, run to its end (an extension)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="almanac-stream-")
-    name = f"{base}/stream-{uuid.uuid4().hex}"
+    """Daily windows kept by a stream with a watermark, run to its end (an extension).
+
+    Each batch tells the windows that it changed, which replace those kept; windows behind the
+    watermark leave the stream's state.
+    """
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/{{events.parquet}}")
     daily = source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     told = daily.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 2).alias("total"))
-    (
-        told.writeStream.outputMode("complete").option("checkpointLocation", f"{name}/log").trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{name}/out")).start().awaitTermination()
-    )
-    return spark.read.parquet(f"{name}/out")
+    state.stream_merge(told, f"{name}/out", f"{name}/log", ["event_type", "day"], ["_batch"], mode="update")
+    return spark.read.parquet(f"{name}/out").drop("_batch")

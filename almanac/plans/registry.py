@@ -27,6 +27,14 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, where streams keep their state and log; it must be set."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not told:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return told
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +67,7 @@ def leaderboard_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from almanac.plans import analogues, more, stateful  # noqa: F401  they register on import
+    from almanac.plans import analogues, archive, more, stateful  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import terms
 from almanac.plans import ask
-from almanac.plans.registry import query, table
+from almanac.plans.registry import query, shared_dir, table
 from almanac.streaming import state, windows
 
 
@@ -93,7 +92,15 @@ def ask_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.execute(parts, "[[Category:Brand#7]] [[p type::SMALL]] |?p partkey=id |?p name=name |?p size=size", ["p_partkey"], "p_brand")
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(translate(coalesce(text, ''), ',;|/', '    '), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g')),
+                   '[^\p{L}\p{N}\x00-\x7F]|_', ' . ', 'g'), '[^\x00-\x7F]', 'x', 'g') AS t FROM documents),
+    f AS (SELECT doc_id, regexp_extract_all(t, '\b(the and|de la|and|der|les|the|de|la|le)\b') AS m FROM d)
+    SELECT doc_id, len(m)::BIGINT AS n_terms,
+           coalesce(array_to_string(list_transform(m, lambda x: CASE x WHEN 'the and' THEN 'A' WHEN 'the' THEN 'B' WHEN 'and' THEN 'C' WHEN 'le' THEN 'D' WHEN 'les' THEN 'E' WHEN 'der' THEN 'F' WHEN 'de la' THEN 'G' WHEN 'de' THEN 'H' ELSE 'I' END), ','), '') AS terms
+    FROM f"""
+)
 def greedy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest terms first, without overlaps, over whole texts."""
     vocabulary = {"the and": "A", "the": "B", "and": "C", "le": "D", "les": "E", "der": "F", "de la": "G", "de": "H", "la": "I"}
@@ -105,8 +112,7 @@ def greedy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def stream_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest row per key kept by a stream that runs to its end."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="almanac-stream-")
-    name = f"{base}/stream-{uuid.uuid4().hex}"
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}").select("user_id", "ts", "event_id", "event_type")
     state.stream_merge(source, f"{name}/state", f"{name}/log", "user_id", ["ts", "event_id"])

@@ -106,3 +106,29 @@ def test_records_and_matches(spark):
     assert [x["player_name"] for x in marts.grouped_records(records).first()["rows"]] == ["A", "B"]
     m = spark.createDataFrame([("1:0", "A", "2024-05-01", "X", "Cup")], "result string, venue string, date string, opponent string, competition string")
     assert marts.match_rows(m).first()[-3:] == ("loss", "01/05/2024 נגד X (Cup)", "01/05/2024")
+
+
+def test_season_overview_names_what_is_missing(spark, raw, stats):
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    fixtures, standings, squad = empty("season string, competition string"), empty("season string, competition string, points int"), empty("season string")
+    r = marts.season_overview(stats, marts.players(raw), fixtures, standings, squad, "1950").first()
+    assert r["missing"] == ["standings", "stats", "squad", "fixtures"] and r["goals"] == 0 and r["top_goals"] == [] and r["display"] == "1950/51"
+    standings = spark.createDataFrame([("2024", "B", 1), ("2024", "A", 9)], "season string, competition string, points int")
+    fixtures = spark.createDataFrame([("2024", "Cup"), ("2024", None), ("2024", "Cup")], "season string, competition string")
+    r = marts.season_overview(stats, marts.players(raw), fixtures, standings, spark.createDataFrame([("2024",)], "season string"), "2024").first()
+    assert r["missing"] == [] and r["standing"]["points"] == 9 and [(x["competition"], x["n"]) for x in r["fixtures"]] == [("Cup", 2), ("Unknown", 1)]
+
+
+def test_match_names(spark):
+    rows = [([("A", None), ("B", "A")], [("C", "")], None)]
+    m = spark.createDataFrame(rows, "goals array<struct<scorer:string,assist:string>>, substitutions array<struct<player_in:string,player_out:string>>, cards array<struct<player:string>>")
+    m = m.selectExpr("*", """parse_json('[{"name_english":"L"}]') AS home_lineup""", """parse_json('{"gk":"K","df":[{"name_short":"S"}]}') AS away_lineup""")
+    assert sorted(r["en"] for r in marts.match_names(m).collect()) == ["A", "B", "C", "K", "L", "S"]
+    assert marts.match_names(m.select("cards")).count() == 0
+
+
+def test_honours_and_stadium(spark):
+    honours = spark.createDataFrame([(1, "Cup", "Winner", ["19/20", "75/76"]), (0, "League", "Winner", None)], "ord int, competition string, achievement string, seasons array<string>")
+    assert [tuple(r) for r in marts.honours_list(honours).orderBy("ord").collect()] == [(0, "League", "Winner", "", 0), (1, "Cup", "Winner", "19/20, 75/76", 2)]
+    stadium = spark.createDataFrame([(1, "late", 5), (0, "", 4)], "ord int, name string, capacity int")
+    assert tuple(marts.stadium_row(stadium).first()) == ("Stadium", 4)

@@ -152,7 +152,11 @@ def test_ask_language(spark):
     assert ask.incomplete("[[Pos::G") == {"stage": "value", "property": "Pos", "fragment": "G"}
     assert ask.incomplete("[[cat") == {"stage": "property", "fragment": "cat"}
     assert ask.incomplete("[[Category:Pl") == {"stage": "category", "fragment": "Pl"}
-    assert ask.incomplete("[[A::b]]|?na") == {"stage": "printout", "fragment": "na"}
+    assert ask.incomplete("|?na") == {"stage": "printout", "fragment": "na"} and ask.incomplete("|?n|?m") == {"stage": "printout", "fragment": "n"}
+    assert ask.incomplete("[[A::b]]|?na") is None and ask.incomplete("") is None
+    assert ask.incomplete("[[category:Pl") == {"stage": "property", "fragment": "category:Pl"}
+    assert ask.incomplete("[[A::b]] [[C:: d ") == {"stage": "value", "property": "C", "fragment": " d "}
+    assert ask.incomplete("[[a [[b]] [[c") == {"stage": "property", "fragment": "c"}
     assert ask.incomplete("[[A::b]]") is None
     assert [r[0] for r in ask.suggest(df, "position", "g").collect()] == ["GK"]
     assert ask.search(df, "gk", "id", "position").count() == 2
@@ -196,3 +200,19 @@ def test_entity_types(spark):
     df = spark.createDataFrame(rows, "c array<string>, s array<string>, d string")
     kinds = {k: [r[0] for r in df.select(wiki.is_of_type(F.col("c"), F.col("s"), F.col("d"), k)).collect()] for k in ("player", "club", "competition")}
     assert kinds == {"player": [True, True, False, False, False, False], "club": [False] * 5 + [True], "competition": [False, True, False, False, False, False]}
+
+
+def test_newest_populated(spark):
+    from almanac.operators import ordered
+
+    df = spark.createDataFrame([(2020, 20), (2021, 19), (2022, 1), (2023, 30)], "season int, n int")
+    assert ordered.newest_populated(df, "season", "n", 10) == 2021
+    with pytest.raises(ValueError):
+        ordered.newest_populated(df, "season", "n", 25)
+
+
+def test_formats(spark):
+    from almanac.functions import scalars as S
+
+    df = spark.createDataFrame([(1, 3, 1234567, ["a", None, "b"]), (0, 0, None, [])], "w int, p int, n long, xs array<string>")
+    assert [tuple(r) for r in df.select(S.percent_text("w", "p"), S.thousands("n"), S.listed("xs")).collect()] == [("33.3%", "1,234,567", "a, b"), ("—%", None, "")]
