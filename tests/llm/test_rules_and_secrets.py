@@ -153,13 +153,40 @@ def test_mixing_meets_targets(spark, monkeypatch):
                 assert abs(sums[r["value"]] - r["share"]) < 1e-8
         out = mixing.mix(df, budget=0.5).collect()
         total = sum(r["n_tokens"] for r in out)
-        assert len(out) == len(rows) and abs(sum(r["n_tokens"] * r["p"] for r in out) - 0.5 * total) < 1e-6 * total
+        drawn = sum(r["n_tokens"] * r["p"] for r in out)
+        assert len(out) == len(rows) and max(r["p"] for r in out) <= 1
+        assert abs(drawn - 0.5 * total) < 1e-6 * total or (drawn < 0.5 * total and max(r["p"] for r in out if r["n_tokens"]) > 1 - 1e-9)
+        for r in wanted.collect():  # what is drawn has the target shares, not only the raked weights
+            assert abs(sum(x["n_tokens"] * x["p"] for x in out if x[r["dim"]] == r["value"]) / drawn - r["share"]) < 1e-6
         assert all(r["kept"] for r in out if r["n_tokens"] == 0)
     assert mixing.mix(df.filter("doc_id = 999")).count() == 0
     kept = mixing.sampled(df, budget=0.5)
     assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in out)
 
 
+def test_drawn_shares_come_near_their_targets(spark):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(i, "w " * 20, rnd.choice("aaaaaab"), rnd.choice(["en", "en", "fr"])) for i in range(8000)], "doc_id long, text string, source string, lang string")
+    kept = mixing.sampled(df, budget=0.9).groupBy("source").count().collect()
+    share = {r["value"]: r["share"] for r in mixing.targets(common_cells(df)).filter("dim = 'source'").collect()}
+    total = sum(r["count"] for r in kept)
+    assert all(abs(r["count"] / total - share[r["source"]]) < 0.03 for r in kept)
+
+
+def test_targets_that_contradict_each_other(spark):
+    df = spark.createDataFrame([(1, "w " * 30, "a", "en"), (2, "w " * 10, "b", "fr")], "doc_id long, text string, source string, lang string")
+    wanted = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "en", 0.9), ("lang", "fr", 0.1), ("topic", "note", 1.0)], "dim string, value string, share double")
+    with pytest.raises(mixing.Contradiction):
+        mixing.mix(df, wanted=wanted)
+    out = {r["doc_id"]: r["p"] for r in mixing.mix(df, budget=0.5).collect()}
+    assert out[1] == pytest.approx(0.5) and out[2] == pytest.approx(0.5)
+
+
+def test_sampled_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "", "a", "en", 5, 6, 7)], "doc_id long, text string, source string, lang string, `doc` int, `_mix_text` int, `n.tokens` int")
+    assert mixing.sampled(df).columns == df.columns and mixing.sampled(df).collect() == df.collect()
+
+
 def common_cells(df):
     from pyspark.sql import functions as F
 
@@ -185,11 +212,11 @@ def test_arc_headers_by_version():
 
 def test_warc_records():
     r = warc.Record("http://a/x", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\npay\r\n\r\nWARC/1.1\r\nload")
-    data = b"\r\n\r\n".join([warc.warc_opening("f"), warc.convert(r, 7), warc.convert(r, 9, 7)]) + b"\r\n\r\n"
+    data = b"\r\n\r\n".join([warc.warc_opening("f"), warc.convert(r, 7), warc.convert(r, 9, (7, "http://a/x", "20200102030405"))]) + b"\r\n\r\n"
     info, response, revisit = warc.parse_warc(data)
     assert info[0]["warc-type"] == "warcinfo" and response[1] == r.block
     assert response[0]["warc-payload-digest"] == "sha256:" + hashlib.sha256(r.parts[1]).hexdigest()
-    assert revisit[0]["warc-type"] == "revisit" and revisit[0]["x-refers-to-page-id"] == "7" and revisit[1] == b"HTTP/1.1 200 OK\r\n\r\n"
+    assert revisit[0]["warc-type"] == "revisit" and revisit[0]["x-refers-to-page-id"] == "7" and revisit[0]["warc-refers-to"] == response[0]["warc-record-id"] and revisit[1] == b"HTTP/1.1 200 OK\r\n\r\n"
     for bad in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx", b"oops\r\n\r\n"):
         with pytest.raises(ValueError):
             list(warc.parse_warc(bad))
@@ -209,3 +236,44 @@ def test_archives_round_trip(spark, monkeypatch, few):
         want.append(tuple(map(str, (page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if first else "response", first))))
     assert got == sorted(want)
     assert warc.round_trip(df.filter("page_id = 99")).count() == 0
+
+
+def members(data):
+    """Each gzip member's content, empty ones left out."""
+    import zlib
+
+    while data:
+        d = zlib.decompressobj(31)
+        got = d.decompress(data) + d.flush()
+        assert d.eof
+        data = d.unused_data
+        if got:
+            yield got
+
+
+def test_every_file_opens_and_every_record_is_a_member(spark, tmp_path):
+    df = spark.range(400).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "concat('<p>', repeat(md5(cast(id % 300 AS string)), 20)) AS html").repartition(3)
+    warc.write_arc(df, str(tmp_path / "arc"), roll=8000)
+    warc.convert_archives(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), roll=8000)
+    for kind, opening, parse in (("arc", b"filedesc://", warc.parse_arc), ("warc", b"WARC/1.1\r\nWARC-Type: warcinfo", warc.parse_warc)):
+        paths = sorted((tmp_path / kind).glob("part-*"))
+        assert len(paths) > 6
+        found = 0
+        for path in paths:
+            first, *rest = members(path.read_bytes())
+            assert first.startswith(opening) and rest and all(len(list(parse(x))) == 1 for x in rest)
+            assert len(list(parse(path.read_bytes()))) == len(rest) + (kind == "warc")
+            found += len(rest)
+        assert found == 400
+    rows = warc.read_warc(spark, str(tmp_path / "warc"))
+    assert rows.filter("record_type = 'revisit'").count() == 100 and warc.unanswered(rows).count() == 0
+    assert warc.unanswered(rows.filter("page_id <> 7")).first()["refers_to"] == 7
+    assert rows.select("record_id").distinct().count() == 400
+
+
+def test_members_of_any_size_end_alike():
+    import gzip
+
+    for size in (0, 10, (1 << 24) - 1, 1 << 24, (1 << 24) + 5):
+        made = warc.member(b"a" * size)
+        assert made[-1] == 0 and len(gzip.decompress(made)) == size
