@@ -38,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return told
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written on the way."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder: lineage ends there and lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

@@ -6,19 +6,20 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, longest: int, id_col: str = "doc_id", text_col: str = "text", total: int = 1 << 26) -> tuple[list[str], list[int]]:
     """Texts and labels of at most `size` labelled documents outside the held-out fold.
 
     The choice is by a hash of the id, so it is the same at every run and unrelated to any
-    column.  Texts of more than `longest` characters are left to scoring; this and `size`
-    bound what reaches the driver.  Null labels and null ids are never drawn.
+    column.  Texts of more than `longest` characters are left to scoring, and drawing ends where
+    texts would pass `total` characters together, which bounds what reaches the driver.  Null
+    labels and null ids are never drawn; of rows of one id the least text is.
     """
     drawn = (
         labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -26,8 +27,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, l
         .groupBy("_id").agg(F.max("_y").alias("_y"))
     )
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).filter(F.length("_t") <= longest)
-    # The order is settled on ids alone; twice as many as needed, as some have no text here.
-    ids = drawn.join(texts.select("_id").distinct(), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(size)
+    # The order is settled on ids and lengths alone, of `size` rows at most.
+    ids = drawn.join(texts.groupBy("_id").agg(F.max(F.length("_t")).alias("_n")), "_id").orderBy(F.xxhash64("_id"), "_id").limit(size)
+    ids = ids.withColumn("_sum", F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_sum") <= total).select("_id", "_y")
     rows = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_t").alias("_t")).orderBy("_id").toArrow()
     return rows.column("_t").to_pylist(), rows.column("_y").to_pylist()
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, held_out
+from .common import free_name, held_out, WORD
 from .fold import logistic, training_sample, with_columns
 
 BITS = 18
@@ -186,9 +186,9 @@ def fit(texts: list[str], y: list[int], cost: float = 1.0) -> NbSvm:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", size: int = 6000, longest: int = 50_000) -> NbSvm:
-    """Fits on at most `size` labelled training documents of at most `longest` characters each."""
-    return fit(*training_sample(docs, labels, label, size, longest, id_col, text_col))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", size: int = 6000, longest: int = 50_000, total: int = 1 << 26) -> NbSvm:
+    """Fits on at most `size` labelled training documents of at most `longest` characters each and `total` together."""
+    return fit(*training_sample(docs, labels, label, size, longest, id_col, text_col, total))
 
 
 def with_scores(docs: DataFrame, model: NbSvm, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -216,6 +216,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
-    """The documents, all columns kept, whose score reaches the threshold."""
-    model = train(docs, labels, id_col, text_col, **how)
-    return with_scores(docs, model, text_col, "_quality_score").filter(F.col("_quality_score") >= threshold).select(*docs.columns)
+    """The documents, all columns kept, whose score reaches the threshold.
+
+    Defined cases are those of score; null ids are kept or dropped by their text like any others.
+    """
+    model, name = train(docs, labels, id_col, text_col, **how), free_name("score", docs)
+    return with_scores(docs, model, text_col, name).filter(F.col(name) >= threshold).select(*docs.columns)

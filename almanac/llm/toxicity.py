@@ -41,7 +41,7 @@ class MilModel:
     base: float = 0.5  # the score where nothing could be learnt
 
     def scorer(self, keep: int = 1 << 18):
-        """Function of a text: (score, start and stop of the worst sentence, its own score, sentences at or over one half)."""
+        """Function of a text: (score, start and stop of the worst sentence, its own score, sentences at or over one half, their spans)."""
         weights, bias = self.weights, self.bias
 
         class Words(dict):
@@ -53,17 +53,18 @@ class MilModel:
 
         value = Words().__getitem__
 
-        def score(text: str) -> tuple[float, int, int, float, int]:
+        def score(text: str) -> tuple[float, int, int, float, int, str]:
             if not weights:
-                return self.base, 0, 0, self.base, 0
-            clean, worst, at, bad = 0.0, -math.inf, (0, 0), 0
+                return self.base, 0, 0, self.base, 0, ""
+            clean, worst, at, bad = 0.0, -math.inf, (0, 0), []
             for m in _sentence.finditer(text):
                 z = bias + math.fsum(map(value, set(_word(m[0]))))  # exact, so that the order of a set is no matter
                 clean -= z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-                bad += z >= 0
+                if z >= 0:
+                    bad.append(f"{m.start()}:{m.end()}")
                 if z > worst:
                     worst, at = z, m.span()
-            return -math.expm1(clean), *at, logistic(worst) if at[1] else 0.0, bad
+            return -math.expm1(clean), *at, logistic(worst) if at[1] else 0.0, len(bad), ",".join(bad)
 
         return score
 
@@ -139,15 +140,16 @@ def fit(texts: list[str], y: list[int], min_df: int = 4, rounds: int = 250, rate
     return MilModel({f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 1e-3}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", size: int = 8000, longest: int = 50_000) -> MilModel:
-    """Fits on at most `size` labelled training documents of at most `longest` characters each."""
-    return fit(*training_sample(docs, labels, label, size, longest, id_col, text_col))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", size: int = 8000, longest: int = 50_000, total: int = 1 << 26) -> MilModel:
+    """Fits on at most `size` labelled training documents of at most `longest` characters each and `total` together."""
+    return fit(*training_sample(docs, labels, label, size, longest, id_col, text_col, total))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, held_out, score, predicted, worst_start, worst_stop, worst_score, n_toxic_sentences) of every document.
+    """(doc_id, held_out, score, predicted, worst_start, worst_stop, worst_score, n_toxic_sentences, toxic_spans) of every document.
 
-    Positions of the worst sentence count code points, the stop is exclusive.  Defined cases:
+    `toxic_spans` are start:stop of all sentences that offend by themselves, at one half or more,
+    comma-joined in order.  Positions count code points, stops are exclusive.  Defined cases:
     null texts count as empty; a text without sentences scores 0; repeated rows come back as
     often as given; a null id is not held out; an empty table gives no rows; without usable
     labels every score is one half.
@@ -155,6 +157,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, labels, id_col, text_col, **how)
     told = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fields = [("score", "double"), ("worst_start", "int"), ("worst_stop", "int"), ("worst_score", "double"), ("n_toxic_sentences", "int")]
+    fields = [("score", "double"), ("worst_start", "int"), ("worst_stop", "int"), ("worst_score", "double"), ("n_toxic_sentences", "int"), ("toxic_spans", "string")]
     scored = with_columns(rows, "text", lambda: told.value.scorer(), fields)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_stop", "worst_score", "n_toxic_sentences")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_stop", "worst_score", "n_toxic_sentences", "toxic_spans")
