@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,11 @@ def classes_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
     return rows, cut(named)
 
 
+def _block(*parts) -> Column:
+    """A block's name from all its parts, numbers after at most one text, so that no two blocks share it."""
+    return F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)).alias("block")
+
+
 def blocks(nodes: DataFrame, tables: int, size: int, seed: int) -> DataFrame:
     """(block, node): nodes of a group that lie on the same sides of random hyperplanes, `tables` times.
 
@@ -102,7 +107,7 @@ def blocks(nodes: DataFrame, tables: int, size: int, seed: int) -> DataFrame:
     key = ["grp", "t", "code"]
     crowd = coded.groupBy(*key).agg(F.count("*").alias("c"))
     part = F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.ceil(F.col("c") / (2 * size)))
-    return coded.join(crowd.filter(F.col("c") > 1), key).select(F.xxhash64(*key, part).alias("block"), "node")
+    return coded.join(crowd.filter(F.col("c") > 1), key).select(_block(*key, part), "node")
 
 
 def _sorted(rows: DataFrame, key: str) -> DataFrame:
@@ -170,7 +175,7 @@ def chunked(rows: DataFrame, key: str, size: int) -> DataFrame:
     out = rows.join(many, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     pair = F.explode(F.expr("transform(sequence(0, chunks - 1), o -> named_struct('low', least(own, o), 'high', greatest(own, o)))")).alias("p")
     out = out.select("*", pair)
-    return out.select(F.xxhash64(key, "p.low", "p.high").alias("block"), *rows.columns, (F.col("own") == F.col("p.low")).alias("first"), (F.col("p.low") == F.col("p.high")).alias("alone"))
+    return out.select(_block(key, "p.low", "p.high"), *rows.columns, (F.col("own") == F.col("p.low")).alias("first"), (F.col("p.low") == F.col("p.high")).alias("alone"))
 
 
 def count_links(parts: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -229,7 +234,7 @@ def cross_links(members: DataFrame, nodes: DataFrame, threshold: float, size: in
 
     def side(own: str, chunks: str, others: str, order: tuple[str, str], first: bool) -> DataFrame:
         mine = pairs.join(placed, F.col(own) == F.col("component")).withColumn("own", F.pmod(F.xxhash64("node"), F.col(chunks)).cast("int"))
-        return mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(F.xxhash64("ca", "cb", *order).alias("block"), "node", F.lit(first).alias("first"), "v")
+        return mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(_block("ca", "cb", *order), "node", F.lit(first).alias("first"), "v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (node, first), v in groups(batches):
