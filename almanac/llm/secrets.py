@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 #: Base patterns (fixed by the query contract): value is group 1 of assign.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -168,19 +168,23 @@ def _masked(text: str, spans: str, mark: str, block: int = 2048) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), mark: str = "[SECRET]") -> DataFrame:
     """The documents, all columns kept, with each base and linked weak span of a text replaced by a mark; null texts stay null.
 
-    All spans are those that scan finds in the untouched text; spans that overlap become one mark.
+    All spans are those that scan finds in the untouched text; spans that overlap become one
+    mark.  Texts stay where they are while the documents with weak spans are few enough to be
+    broadcast.  Repeated rows are masked alike; an empty table gives no rows; other columns may
+    have any names.
     """
-    columns = docs.columns
     weak = cut(_scan(docs, id_col, text_col, rules).filter(F.size("added") > 0).select(F.col("key").alias("_sec_key"), F.col("added").alias("_sec_added")).dropDuplicates(["_sec_key"]))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    out = docs.join(weak, _key(docs[id_col].cast("long"), text) == F.col("_sec_key"), "left").withColumn("_sec_t", text)
+    doc = lambda c: F.col("_sec_doc")[c]
+    rows = docs.select(F.struct("*").alias("_sec_doc")).withColumn("_sec_t", F.coalesce(doc(text_col).cast("string"), F.lit("")))
+    out = rows.withColumn("_sec_key", _key(doc(id_col).cast("long"), F.col("_sec_t"))).join(small_side(weak), "_sec_key", "left")
     for i, pattern in enumerate((ASSIGN, ACCESS, HEX)):
         out = out.withColumn(f"_sec_m{i}", _found("_sec_t", pattern))
         out = out.withColumn(f"_sec_b{i}", _between("_sec_t", f"_sec_m{i}", pattern))
         out = out.withColumn(f"_sec_p{i}", _places(f"_sec_m{i}", f"_sec_b{i}"))
     none = F.array().cast(f"array<{SPAN}>")
     out = out.withColumn("_sec_spans", F.concat(_base("_sec_p0", "_sec_p1", "_sec_p2", rules), F.coalesce("_sec_added", none)))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), _masked("_sec_t", "_sec_spans", mark))).select(*columns)
+    masked = F.when(doc(text_col).isNotNull(), _masked("_sec_t", "_sec_spans", mark))
+    return out.select(*((masked if c == text_col else doc(c)).alias(c) for c in docs.columns))
 
 
 def _sql(rules: Rules = Rules()) -> str:
