@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from almanac.llm import bpe, mixing, quality_model, secrets, simhash
-from almanac.llm.common import documents, labels, shared_dir
+from almanac.llm.common import documents, drop, labels, shared_dir
 from almanac.llm.queries import tokenizer
 
 
@@ -62,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{i}")
             docs = spark.read.parquet(f"{base}/{i}")
+            if i:  # what the stage before has written is read for the last time
+                drop(spark, f"{base}/{i - 1}")
     return docs
