@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_LOCAL: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -28,11 +32,18 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, where streams keep their state and log; it must be set."""
+    """The folder that driver and executors share, for what must outlive a task.
+
+    It must be set, but for sessions of one process, which get a temporary one.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not told:
+    if told:
+        return told
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return told
+    if spark not in _LOCAL:
+        _LOCAL[spark] = tempfile.mkdtemp(prefix="almanac-shared-")
+    return _LOCAL[spark]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -189,3 +189,33 @@ def test_dictionary_text_in_order(spark):
     assert text.index("Z:") < text.index("B:") and sorted(map(tuple, files.dictionary(spark, text).collect())) == sorted(map(tuple, rows.collect()))
     with pytest.raises(ValueError):
         files.dictionary_text(rows, limit=1)
+
+
+def test_batches_are_split_and_tried_again(spark):
+    from almanac.sources import backends
+
+    asked = []
+
+    def ask(batch):
+        asked.append(len(batch))
+        if len(batch) > 2 or batch == ["long"]:
+            raise backends.Truncated
+        return [x.upper() for x in batch]
+
+    assert backends.answered(["a", "b", "c", "long", "d"], ask) == ["A", "B", "C", None, "D"]
+    assert asked[0] == 5 and max(asked[1:]) < 5 and backends.answered([], ask) == []
+    left = [2]
+
+    def flaky(batch):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("busy")
+        return batch[::-1]
+
+    assert backends.answered(["x", "y"], flaky, wait=0) == ["y", "x"]
+    left[0] = 9
+    with pytest.raises(OSError):
+        backends.answered(["x"], flaky, attempts=2, wait=0)
+    keys = spark.createDataFrame([(f"k{i % 7}",) for i in range(20)] + [(None,)], "en string")
+    got = backends.translated(keys, lambda: lambda batch: [x + "!" for x in batch], size=3)
+    assert sorted(tuple(r) for r in got.collect()) == [(f"k{i}", f"k{i}!") for i in range(7)]
