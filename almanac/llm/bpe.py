@@ -403,7 +403,11 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every whole text; null and empty texts have no ids."""
+    """(doc_id, n_tokens, ids) of every whole text.
+
+    Defined cases: null and empty texts have no ids; null ids stay null; repeated rows come back
+    as often as given; an empty table gives no rows.
+    """
     codec, name = prepare(docs, tokenizer_path, size, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,12 +8,13 @@ DataFrame.  Null texts count as empty texts; null ids stay null in the result.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.plans import registry
+
 #: Words are runs of anything but ASCII white space (fixed by the query contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,13 +29,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not told:
-        told = tempfile.mkdtemp(prefix="almanac-shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(told)
+    """The folder that driver and executors share, where checkpoints go too; a temporary one only for unset local sessions."""
+    told = registry.shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(told)
     return told
 
 

@@ -192,7 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_scores(docs: DataFrame, model: NbSvm, text_col: str = "text", out: str = "score") -> DataFrame:
-    """The documents with the score of every whole text, null texts counting as empty."""
+    """The documents with the score of every whole text, null texts counting as empty; a column of that name is replaced.
+
+    Repeated rows get the same score; an empty table gives no rows.
+    """
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -126,7 +126,7 @@ def _links(budget: int, chunk: int):
     """mapInArrow: rows (path, fixed, v, fp) sorted by bucket and v -> forest edges (a, b) of fingerprints."""
 
     def solve(path, fixed, v, fp):
-        v = v.view(np.uint64)
+        v, fixed = v.view(np.uint64), fixed.astype(np.int64)
         prefix = v >> (64 - fixed).astype(np.uint64)
         new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])])
         starts = np.r_[new, len(v)]
@@ -162,29 +162,19 @@ def _links(budget: int, chunk: int):
     return work
 
 
-def _turned(value, prefix: int, at: int, size: int):
-    """The value with the bits below its first `prefix` rotated so that `size` bits from `at` come first."""
-    low = 64 - prefix
-    if at == 0:
-        return value
-    mask = (1 << low) - 1
-    signed = mask - (1 << 64) if mask >> 63 else mask
-    part = value.bitwiseAND(F.lit(signed))
-    top = value.bitwiseAND(F.lit(~signed))
-    turned = F.shiftleft(part, at).bitwiseOR(F.shiftrightunsigned(part, low - at)).bitwiseAND(F.lit(signed))
-    return top.bitwiseOR(turned)
+def _children(rows: DataFrame, n: int) -> DataFrame:
+    """Each (path, fixed, v, fp) once for each of `n` blocks of its free bits, that block turned to the front and then fixed.
 
-
-def _blocks(low: int, n: int) -> list[tuple[int, int]]:
-    edges = [round(i * low / n) for i in range(n + 1)]
-    return [(edges[i], edges[i + 1] - edges[i]) for i in range(n)]
-
-
-def _children(rows: DataFrame, prefix: int, path: int, n: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Each row once per block of its free bits, that block turned to the front and then fixed."""
-    blocks = _blocks(64 - prefix, n)
-    made = F.array(*(F.struct(F.lit(path * n + i + 1).cast("long").alias("path"), F.lit(prefix + size).cast("long").alias("fixed"), _turned(F.col("v"), prefix, at, size).alias("v")) for i, (at, size) in enumerate(blocks)))
-    return rows.select(F.explode(made).alias("x"), "fp").select("x.*", "fp"), [(path * n + i + 1, prefix + size) for i, (_, size) in enumerate(blocks)]
+    `fixed` top bits of v are settled already; the path tells which blocks were, and in what order.
+    """
+    free = "64 - fixed"
+    made = F.expr(f"""transform(sequence(0, {n - 1}), i -> named_struct('i', i, 'at', cast(i * ({free}) div {n} as int), 'next', cast((i + 1) * ({free}) div {n} as int)))""")
+    each = rows.select("path", "fixed", "v", "fp", F.explode(made).alias("x")).select("path", "fixed", "v", "fp", "x.*")
+    low = "shiftrightunsigned(-1L, fixed)"  # the free bits
+    part = f"(v & {low})"
+    # A shift by 64 is none in the engine, which is what the first block needs.
+    turned = f"((shiftleft({part}, at) | shiftrightunsigned({part}, {free} - at)) & {low}) | (v & ~{low})"
+    return each.select(F.expr(f"path * {n} + i + 1").alias("path"), F.expr("fixed + next - at").alias("fixed"), F.expr(turned).alias("v"), "fp")
 
 
 def near_edges(fps: DataFrame, budget: int = 2, hot: int = 512, levels: int = 4, chunk: int = 1 << 18) -> DataFrame:
@@ -193,32 +183,23 @@ def near_edges(fps: DataFrame, budget: int = 2, hot: int = 512, levels: int = 4,
     Of budget + 1 blocks of bits one must agree between two such fingerprints, so every
     fingerprint goes to one bucket per block, below a trie root whose path spells that block
     first.  Buckets of more than `hot` fingerprints are split in the same way on their free
-    bits, up to `levels` times (after four at most 2^13 values can share a bucket), so a
-    family of near copies of any size is dealt over many tasks and no pair is lost.
+    bits, up to `levels` times (with a budget of 2, after four at most 2^13 values can share a
+    bucket), so a family of near copies of any size is dealt over many tasks and no pair is lost.
     """
     n = budget + 1
-    rows, shapes = _children(fps.select(F.col("fp").alias("v"), "fp"), 0, 0, n)
-    ready = None
+    root = fps.select(F.lit(0).cast("long").alias("path"), F.lit(0).alias("fixed"), F.col("fp").alias("v"), "fp")
+    bucket = F.expr("shiftrightunsigned(v, 64 - fixed)")
+    rows, ready = _children(root, n).withColumn("bucket", bucket), None
     for level in range(levels):
-        bucket = F.expr("shiftrightunsigned(v, cast(64 - fixed as int))")
-        rows = rows.withColumn("bucket", bucket)
-        if level == levels - 1:
-            ready = rows if ready is None else ready.unionByName(rows)
-            break
-        rows = cut(rows)
-        heavy = cut(rows.groupBy("path", "bucket").count().filter(F.col("count") > hot).select("path", "bucket", F.lit(True).alias("heavy")))
-        if heavy.isEmpty():
+        if level < levels - 1:
+            rows = cut(rows)
+            heavy = cut(rows.groupBy("path", "bucket").count().filter(F.col("count") > hot).select("path", "bucket"))
+        if level == levels - 1 or heavy.isEmpty():
             ready = rows if ready is None else ready.unionByName(rows)
             break
-        marked = cut(rows.join(heavy, ["path", "bucket"], "left"))
-        calm = marked.filter("heavy is null").drop("heavy")
+        calm = rows.join(heavy, ["path", "bucket"], "left_anti")
         ready = calm if ready is None else ready.unionByName(calm)
-        split, more = None, []
-        for path, fixed in shapes:
-            some, next_shapes = _children(marked.filter((F.col("path") == path) & F.col("heavy")).select("v", "fp"), fixed, path, n)
-            split = some if split is None else split.unionByName(some)
-            more += next_shapes
-        rows, shapes = split, more
+        rows = _children(rows.join(heavy, ["path", "bucket"], "left_semi"), n).withColumn("bucket", bucket)
     dealt = ready.repartition("path", "bucket").sortWithinPartitions("path", "v")  # in a bucket the top bit is one, so signed order will do
     return dealt.select("path", "fixed", "v", "fp").mapInArrow(_links(budget, chunk), "a long, b long")
 

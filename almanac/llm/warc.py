@@ -280,7 +280,12 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
 
 def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """(page_id, url, date, mime, ip, version, block, payload_bytes, payload_digest) of every ARC record under a path; blocks are null where not asked for."""
+    """(page_id, url, date, mime, ip, version, block, payload_bytes, payload_digest) of every ARC record under a path.
+
+    Blocks are null where not asked for.  Records without a page's id have a null one; files
+    without records give no rows; a malformed file is an error.  A file must fit in a worker's
+    memory as it is stored; of its plain bytes one record at a time is held.
+    """
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
     names = ["page_id", "url", "date", "mime", "ip", "version", "block", "payload_bytes", "payload_digest"]
 
@@ -336,7 +341,8 @@ def convert_archives(spark: SparkSession, arc_path: str, warc_path: str, least:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, date, record_id, payload_bytes, payload_digest, record_type, refers_to, payload) of responses and revisits.
 
-    Digests of responses are computed from what was read and compared with what is declared.
+    Digests of responses are computed from what was read and compared with what is declared;
+    ValueError where they differ.  Revisits have no payload.  Files without records give no rows.
     """
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     names = ["page_id", "url", "date", "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]

@@ -50,10 +50,61 @@ def test_held_out_accuracy(spark, kind):
     assert again == {(r["doc_id"], r["score"]) for r in rows}
 
 
+@pytest.mark.parametrize("kind", ["toxic", "quality"])
+def test_held_out_labels_of_the_tables(spark, kind):
+    sf_dir = "/root/testdata/sf0.01"
+    module = toxicity if kind == "toxic" else quality_model
+    truth = {r["doc_id"]: r[kind] for r in labels(spark, sf_dir).collect() if r[kind] is not None}
+    held = [r for r in module.score(documents(spark, sf_dir), labels(spark, sf_dir)).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert len(held) > 20 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.9 * len(held)
+
+
+def test_scores_are_the_noisy_or_of_sentences():
+    model = toxicity.MilModel({"bad": 4.0, "worse": 7.0, "fine": -2.0}, -3.0)
+    text = "All fine here. A bad thing! Worse and bad\nfine, but bad and bad again."
+    sentences = [("All fine here", -5.0), (" A bad thing", 1.0), ("Worse and bad", 8.0), ("fine, but bad and bad again", -1.0)]
+    score, start, stop, worst, n, spans = model.scorer()(text)
+    assert score == pytest.approx(1 - np.prod([1 - 1 / (1 + np.exp(-z)) for _, z in sentences]))
+    places = [(text.index(s), text.index(s) + len(s)) for s, z in sentences if z >= 0]
+    assert spans == ",".join(f"{a}:{b}" for a, b in places) and n == 2
+    assert (start, stop) == places[1] and worst == pytest.approx(1 / (1 + np.exp(-8)))
+    assert model.scorer()("") == (0.0, 0, 0, 0.0, 0, "")
+
+
+def test_dual_descent_reaches_the_least_objective():
+    rng = np.random.default_rng(4)
+    y = np.array([1, 0] * 30)
+    rows = [np.sort(rng.choice(8, 3, replace=False)) + (4 if t else 0) for t in y]
+    values = [rng.random(3) + 0.5 for _ in rows]
+    w, b = quality_model.dual_descent(rows, values, y, epochs=2000, tolerance=1e-7)
+    sign = np.where(y > 0, 1.0, -1.0)
+
+    def objective(w, b):
+        return 0.5 * (w @ w + b * b) + sum(max(0.0, 1 - s * (w[r] @ v + b)) for r, v, s in zip(rows, values, sign, strict=True))
+
+    best = objective(w, b)
+    for _ in range(300):
+        step = np.zeros_like(w)
+        step[:16] = rng.standard_normal(16) * rng.choice([1e-1, 1e-2, 1e-3])
+        assert objective(w + step, b + rng.standard_normal() * 1e-2) >= best - 1e-6
+
+
+def test_samples_are_bounded_by_their_characters(spark):
+    from almanac.llm.fold import training_sample
+
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    assert len(training_sample(docs, marks, "quality", 1000, 100, total=75)[0]) == 7
+
+
 def test_offending_sentences_are_found(spark):
     docs, marks = corpus(spark, "toxic")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in toxicity.score(docs, marks).collect():
+        spans = [tuple(map(int, x.split(":"))) for x in r["toxic_spans"].split(",") if x]
+        assert len(spans) == r["n_toxic_sentences"]
+        if r["doc_id"] is not None:
+            assert all("grobble" in texts[r["doc_id"]][a:b] or "snark" in texts[r["doc_id"]][a:b] for a, b in spans)
         if r["predicted"] and r["doc_id"] is not None:
             worst = texts[r["doc_id"]][r["worst_start"] : r["worst_stop"]]
             assert "grobble" in worst or "snark" in worst

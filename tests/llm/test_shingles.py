@@ -82,3 +82,27 @@ def test_stage_finds_copies_of_the_stated_similarity(spark, small):
     assert all(len(a & b) >= 0.8 * len(a | b) for a, b in pairs)
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect()
     assert sorted(r["doc_id"] for r in kept) == list(range(0, 120, 2))
+
+
+def test_large_families_in_small_cells(spark, monkeypatch):
+    """Bands of more members than a cell holds: one family of near copies, and others that share its bands."""
+    monkeypatch.setattr(shingles.across, "__defaults__", (4,))
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    rows = [" ".join(edited(rnd, base, 1)) for _ in range(40)] + [" ".join(edited(rnd, base, 7)) for _ in range(25)]
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.keep_one(df, width=5, budget=3, similarity=0.8).collect()
+    assert sorted((False, r["doc_id"]) for r in got) == brute_kept(rows)
+
+
+def test_sketches_estimate_similarity():
+    rnd = random.Random(5)
+    of, low = shingles.shingler(), shingles.sketcher()
+    base = [f"w{i}" for i in range(400)]
+    for n in (0, 5, 20):
+        a, b = of(" ".join(base)), of(" ".join(edited(rnd, base, n)))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs((low(a) == low(b)).mean() - true) < 0.16
+    assert len(low(of(""))) == shingles.BANDS * shingles.ROWS

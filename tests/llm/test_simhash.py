@@ -75,6 +75,19 @@ def test_groups_with_hot_buckets(spark):
         assert [parts.get(v, v) for v in order] == want
 
 
+def test_children_keep_what_they_turn(spark):
+    values = [0, -1, 1, -(1 << 63), 0x0123456789ABCDEF, -0x123456789ABCDEF]
+    rows = spark.createDataFrame([(7, f, v, v) for v in values for f in (0, 16, 35)], "path long, fixed int, v long, fp long")
+    for n in (3, 4):
+        for r in simhash._children(rows, n).collect():
+            i, parent = (r["path"] - 1) % n, (r["path"] - 1) // n
+            fixed = next(f for f in (0, 16, 35) if f + (64 - f) * (i + 1) // n - (64 - f) * i // n == r["fixed"] and r["fixed"] > f)
+            bits = f"{r['fp'] & (1 << 64) - 1:064b}"
+            low = bits[fixed:]
+            at = i * (64 - fixed) // n
+            assert parent == 7 and f"{r['v'] & (1 << 64) - 1:064b}" == bits[:fixed] + low[at:] + low[:at]
+
+
 def test_documents(spark):
     rnd = random.Random(9)
     texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) for _ in range(120)) for _ in range(12)]
@@ -106,3 +119,14 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in common.connected_components(chain).collect()}
     assert {got[i] for i in range(1, 61)} == {1} and got[101] == 100 and {got[i] for i in range(200, 260)} == {200} and len(got) == 122
     assert common.connected_components(chain.filter(F.col("a") < 0)).count() == 0
+    spread = {r["node"]: r["component"] for r in common.connected_components(chain, hot=5).collect()}  # the star's centre is dealt
+    assert spread == got
+
+
+def test_spread_join(spark):
+    many = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(3000)], "k int, v int")
+    one = spark.createDataFrame([(0, "a"), (7, "h"), (9, "n")], "k int, name string")
+    want = sorted(tuple(r) for r in many.join(one, "k").select("k", "v", "name").collect())
+    assert sorted(tuple(r) for r in common.spread_join(many, one, "k", "v", hot=100).select("k", "v", "name").collect()) == want
+    assert common.spread_join(many, one, "k", "v", "left_semi", hot=100).count() == len(want)
+    assert common.spread_join(many.filter("v < 0"), one, "k", "v").count() == 0
