@@ -17,27 +17,42 @@ from almanac.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches 0.3, the model fitted on the labelled ones among them."""
+    """Documents whose quality score reaches 0.3, the model fitted on the labelled ones among them.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; no rows give none.
+    """
     return quality_model.keep_good(docs, labels(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, of Jaccard similarity 0.8 over shingles of five words."""
+    """The document of smallest id of each group of near copies, of Jaccard similarity 0.8 over shingles of five words.
+
+    Null, empty and wordless texts are copies; of repeated rows one stays; documents without id
+    stay where none of their group has one, one a group; rows of one id and unlike texts are
+    documents of their own; no rows give none.
+    """
     return simhash.keep_one(docs, width=5, budget=3, similarity=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark.
+
+    Null texts stay null; repeated rows are masked alike; no rows give none.
+    """
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with probabilities that bring sources, languages and topics to their targets."""
+    """Documents drawn with probabilities that bring sources, languages and topics to their targets.
+
+    Null sources and languages are values of their own; documents without words stay; null ids
+    are drawn by their text; repeated rows stay or go together; no rows give none.
+    """
     return mixing.sampled(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document that is left."""
+    """(doc_id, n_tokens, ids) of every document that is left; null and empty texts have no ids."""
     return bpe.encode(docs, tokenizer("byte_bpe_50k.json"))
 
 
