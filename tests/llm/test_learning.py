@@ -62,7 +62,7 @@ def test_held_out_labels_of_the_tables(spark, kind):
 def test_scores_are_the_noisy_or_of_sentences():
     model = toxicity.MilModel({"bad": 4.0, "worse": 7.0, "fine": -2.0}, -3.0)
     text = "All fine here. A bad thing! Worse and bad\nfine, but bad and bad again."
-    sentences = [("All fine here", -5.0), (" A bad thing", 1.0), ("Worse and bad", 8.0), ("fine, but bad and bad again", -1.0)]
+    sentences = [("All fine here", -5.0), (" A bad thing", 1.0), (" Worse and bad", 8.0), ("fine, but bad and bad again", -1.0)]
     score, start, stop, worst, n, spans = model.scorer()(text)
     assert score == pytest.approx(1 - np.prod([1 - 1 / (1 + np.exp(-z)) for _, z in sentences]))
     places = [(text.index(s), text.index(s) + len(s)) for s, z in sentences if z >= 0]
