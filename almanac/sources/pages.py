@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import islice
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -51,11 +52,15 @@ def extract(pages: DataFrame, name: str, html: str = "html", season: str | None
     arrow, names = to_arrow_schema(schema), schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, when, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [{"ord": i, **r} for i, r in enumerate(it.extract(text or "", when or "", url or ""))]
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=arrow)
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for text, when, url in zip(*batch.columns, strict=True):
+                    for i, r in enumerate(it.extract(text.as_py() or "", when.as_py() or "", url.as_py() or "")):
+                        yield {"ord": i, **{n: r.get(n) for n in names if n != "ord"}}
+
+        found = rows()
+        while some := list(islice(found, 4096)):  # one page's rows at a time, whatever a batch holds
+            yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
     blank = "cast(null as string)"
     return pages.selectExpr(f"`{html}`", f"`{season}`" if season else blank, f"`{base}`" if base else blank).mapInArrow(work, schema)
