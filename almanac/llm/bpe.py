@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, stamp
+from .common import cut, shared_dir, stamp, tidied, tidy
 
 #: The published pattern that splits texts before byte-level merges (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -382,11 +382,11 @@ def ship(spark: SparkSession, data: bytes, kind: str = "lexicon") -> str:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(codec, name: str) -> Encoder:
-    """The worker's encoder for a lexicon, kept from task to task with its memo."""
+def _encoder(codec, name: str, keep: int) -> Encoder:
+    """The worker's encoder for a lexicon, kept from task to task with its memo of `keep` words."""
     if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(codec.value, Lexicon.map(SparkFiles.get(name)))
+        _ENCODERS[name] = Encoder(codec.value, Lexicon.map(SparkFiles.get(name)), keep)
     return _ENCODERS[name]
 
 
@@ -395,6 +395,7 @@ def prepare(docs: DataFrame, tokenizer_path: str, size: int = LEXICON, text_col:
     spark = docs.sparkSession
     codec = Codec(tokenizer_path)
     name = ship(spark, compile_lexicon(frequent_words(docs, codec, size, text_col)), f"lexicon-{codec.key}")
+    tidy()
     return spark.sparkContext.broadcast(codec), name
 
 
@@ -402,8 +403,8 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every whole text.
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON, keep: int = 150_000) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every whole text; workers remember `keep` words, which results don't depend on.
 
     Defined cases: null and empty texts have no ids; null ids stay null; repeated rows come back
     as often as given; an empty table gives no rows.
@@ -411,13 +412,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     codec, name = prepare(docs, tokenizer_path, size, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(codec, name)
+        encoder = _encoder(codec, name, keep)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 got = list(encoder.encode(Texts(part.column(1))))
                 yield pa.record_batch([part.column(0), pa.array(map(len, got), pa.int64()), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
-    return _pairs(docs, id_col, text_col).mapInArrow(work, "doc_id long, n_tokens long, ids array<int>")
+    return _pairs(docs, id_col, text_col).mapInArrow(tidied(work), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -442,7 +443,7 @@ class Texts:
         return (x.as_py() or "" for x in self.column)
 
 
-def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON) -> DataFrame:
+def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON, keep: int = 700_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded and its ids decoded again.
 
     Defined cases: null texts count as empty (no ids, digests of nothing); special strings in a
@@ -451,7 +452,7 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     codec, name = prepare(docs, tokenizer_path, size, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sha = _encoder(codec, name), hashlib.sha256
+        encoder, sha = _encoder(codec, name, keep), hashlib.sha256
         told = encoder.codec.texts.__getitem__
         for batch in batches:
             n, a, b = [], [], []

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, tidied
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, longest: int, id_col: str = "doc_id", text_col: str = "text", total: int = 1 << 26) -> tuple[list[str], list[int]]:
@@ -52,7 +52,7 @@ def with_columns(docs: DataFrame, text_col: str, make: Callable[[], Callable[[st
             made = [pa.array([g[i] for g in got], kinds[t]) for i, (_, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *new.names])
 
-    return rest.mapInArrow(work, schema)
+    return rest.mapInArrow(tidied(work), schema)
 
 
 def logistic(z: float) -> float:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, WORD
+from .common import WORD, free_name, held_out, tidy
 from .fold import logistic, training_sample, with_columns
 
 BITS = 18
@@ -188,7 +188,9 @@ def fit(texts: list[str], y: list[int], cost: float = 1.0) -> NbSvm:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", size: int = 6000, longest: int = 50_000, total: int = 1 << 26) -> NbSvm:
     """Fits on at most `size` labelled training documents of at most `longest` characters each and `total` together."""
-    return fit(*training_sample(docs, labels, label, size, longest, id_col, text_col, total))
+    model = fit(*training_sample(docs, labels, label, size, longest, id_col, text_col, total))
+    tidy()
+    return model
 
 
 def with_scores(docs: DataFrame, model: NbSvm, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, row_key, small_side, spread_join
+from .common import connected_components, cut, row_key, small_side, spread_join, tidied
 
 #: Bands of minima, and minima in each.
 BANDS, ROWS = 32, 5
@@ -98,7 +98,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int, print_: C
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "cls", "n", "fp", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, key string, cls binary, n long, fp long, sketch binary")
+    return rows.mapInArrow(tidied(work), "doc_id long, key string, cls binary, n long, fp long, sketch binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, width: int, sim
     wanted = cut(keys.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("key", "node"))
     own = texts.join(small_side(wanted), "key").groupBy("node").agg(F.first("text").alias("text"))
     of = lambda end: own.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(tidied(work), "a long, b long")
 
 
 def _cells(live: DataFrame, size: int) -> DataFrame:
@@ -200,7 +200,7 @@ def across(live: DataFrame, classes: DataFrame, similarity: float, size: int = 5
         yield from told()
 
     rows = _cells(live, size).join(classes.select("node", "sketch"), "node").select("block", "node", "component", "sketch", "first", "alone")
-    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(work, "a long, b long")
+    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(work), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, tidy
 from .fold import logistic, training_sample, with_columns
 
 _sentence = re.compile(r"[^.!?\n。！？]+")
@@ -142,7 +142,9 @@ def fit(texts: list[str], y: list[int], min_df: int = 4, rounds: int = 250, rate
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", size: int = 8000, longest: int = 50_000, total: int = 1 << 26) -> MilModel:
     """Fits on at most `size` labelled training documents of at most `longest` characters each and `total` together."""
-    return fit(*training_sample(docs, labels, label, size, longest, id_col, text_col, total))
+    model = fit(*training_sample(docs, labels, label, size, longest, id_col, text_col, total))
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
