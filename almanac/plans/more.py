@@ -187,4 +187,4 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     told = daily.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 2).alias("total"))
     state.stream_merge(told, f"{name}/out", f"{name}/log", ["event_type", "day"], ["_batch"], mode="update")
-    return spark.read.parquet(f"{name}/out").drop("_batch")
+    return state.read_state(spark, f"{name}/out").drop("_batch")

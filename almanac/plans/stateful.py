@@ -115,5 +115,5 @@ def stream_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}").select("user_id", "ts", "event_id", "event_type")
-    state.stream_merge(source, f"{name}/state", f"{name}/log", "user_id", ["ts", "event_id"])
-    return spark.read.parquet(f"{name}/state").select("user_id", "event_id", "event_type")
+    state.stream_merge(source, f"{name}/state", f"{name}/log", "user_id", ["ts", "event_id"], buckets=8)
+    return state.read_state(spark, f"{name}/state").select("user_id", "event_id", "event_type")

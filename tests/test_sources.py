@@ -219,3 +219,26 @@ def test_batches_are_split_and_tried_again(spark):
     keys = spark.createDataFrame([(f"k{i % 7}",) for i in range(20)] + [(None,)], "en string")
     got = backends.translated(keys, lambda: lambda batch: [x + "!" for x in batch], size=3)
     assert sorted(tuple(r) for r in got.collect()) == [(f"k{i}", f"k{i}!") for i in range(7)]
+
+
+def test_buckets_of_a_state_are_swapped_alone(spark, tmp_path):
+    path, source = f"{tmp_path}/state", tmp_path / "in"
+    schema = "k int, o int, v string"
+    run = lambda: state.stream_merge(spark.readStream.schema(schema).parquet(str(source)), path, f"{tmp_path}/log", "k", ["o"], buckets=4)
+    put = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(source))
+    put([(i, 1, "a") for i in range(40)])
+    run()
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "state").iterdir()}
+    assert len(before) == 4
+    put([(3, 2, "b"), (3, 1, "late")])
+    run()
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "state").iterdir()}
+    assert sum(before[n] != after[n] for n in before) == 1
+    got = {r["k"]: r["v"] for r in state.read_state(spark, path).collect()}
+    assert got == {i: "b" if i == 3 else "a" for i in range(40)}
+    (bucket,) = (n for n in before if before[n] != after[n])
+    (tmp_path / "state.old-x").mkdir()
+    (tmp_path / "state" / bucket).rename(tmp_path / "state.old-x" / bucket)  # stopped here, between the renames
+    put([(40, 1, "c")])
+    run()
+    assert state.read_state(spark, path).count() == 41 and not list(tmp_path.glob("state.old*"))
