@@ -101,8 +101,8 @@ def small_side(df: DataFrame, most: int = 250_000) -> DataFrame:
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", hot: int = 1024, ways: int = 64) -> DataFrame:
     """Join of many rows a key with one row a key at most, rows of hot keys dealt by `by` into `ways` parts.
 
-    Keys are hot over `hot` rows and over 1/256 of all, so there are fewer than 256 of them and
-    their broadcast stays small at any size.
+    The 256 largest keys over `hot` rows are dealt so; any other holds less than 1/256 of all
+    rows.  Their broadcast is that small at any size.
     """
     counts = cut(many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot))
     top = F.broadcast(counts.orderBy(F.desc("_rows"), key).limit(256).select(key, F.lit(True).alias("_hot")))
