@@ -10,6 +10,7 @@ with these shares would ask for some cell's tokens more than once.
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,10 +101,8 @@ def rake(cells: DataFrame, wanted: DataFrame, sweeps: int = 4, most: int = 400,
                 cells = cells.join(cells.groupBy(dim).agg(F.sum("w").alias("s")), dim)
             cells = cells.withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"t_{dim}") / F.col("s")).otherwise(0.0)).drop("s")
         cells = cut(cells)
-        off = 0.0
-        for dim in DIMS:
-            sums = cells.groupBy(dim).agg(F.sum("w").alias("s"), F.first(f"t_{dim}").alias("t"), F.sum("tokens").alias("n")).filter("n > 0 AND t > 0")
-            off = max(off, sums.agg(F.max(F.abs(F.col("s") / F.col("t") - 1))).first()[0] or 0.0)
+        sums = (cells.groupBy(dim).agg(F.sum("w").alias("s"), F.first(f"t_{dim}").alias("t"), F.sum("tokens").alias("n")).drop(dim) for dim in DIMS)
+        off = reduce(DataFrame.union, sums).filter("n > 0 AND t > 0").agg(F.max(F.abs(F.col("s") / F.col("t") - 1))).first()[0] or 0.0
         if off <= tolerance:
             return cells
         offs.append(off)
