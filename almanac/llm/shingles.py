@@ -102,18 +102,26 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int, print_: C
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(band, node) of all classes (node, sketch) that share a band's minima with another."""
+    """(band, t, node, pivot) of all classes (node, sketch) that share the minima of band number t with another."""
     minima = f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {4 * ROWS} + 1, {4 * ROWS})))"
-    placed = classes.select("node", F.explode(F.expr(minima)).alias("band"))
+    placed = classes.select("node", F.posexplode(F.expr(minima)).alias("t", "band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("many"), F.min("node").alias("pivot")).filter("many > 1")
-    return placed.join(shared, "band").select("band", "node", "pivot")
+    return placed.join(shared, "band").select("band", "t", "node", "pivot")
 
 
-def checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity; texts are (key, text) and keys (key, node).
+def of_nodes(texts: DataFrame, keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text): one text of each class asked for; texts are (key, text) and keys (key, node).  Other texts stay in place."""
+    wanted = cut(keys.join(nodes.select("node").distinct(), "node", "left_semi").select("key", "node"))
+    return texts.join(small_side(wanted), "key").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= similarity * (len(p) + len(q) - both) - 1e-9
 
-    Only the texts of the pairs' own classes leave their place, one of each class.
-    """
+
+def checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, q = shingler(width), None, None
@@ -123,19 +131,17 @@ def checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, width: int, sim
                 p = shingles(x.as_py())
                 if b != last:  # rows come sorted by their second end
                     last, q = b, shingles(y.as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+                ok.append(alike(p, q, similarity))
             mask = pa.array(ok, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    wanted = cut(keys.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("key", "node"))
-    own = texts.join(small_side(wanted), "key").groupBy("node").agg(F.first("text").alias("text"))
+    own = of_nodes(texts, keys, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     of = lambda end: own.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(tidied(work), "a long, b long")
 
 
 def _cells(live: DataFrame, size: int) -> DataFrame:
-    """(band, block, first, alone, node, component): each band's members in cells, once for every pair of its cells.
+    """(block, first, alone, t, node, component): each band's members in cells, once for every pair of its cells.
 
     Components of over `size` members have cells of their own, and pairs of cells of one
     component are left out, so a family of copies of any size meets only what isn't in it.
@@ -144,64 +150,96 @@ def _cells(live: DataFrame, size: int) -> DataFrame:
     total = parts.groupBy("band").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") <= size, F.col("c")).otherwise(0)).alias("mixed"))
     parts = cut(parts.join(total, "band"))
     small = parts.filter(F.col("total") <= size).select("band").distinct()
-    few = live.join(small, "band", "left_semi").select("band", F.xxhash64("band").alias("block"), F.lit(True).alias("first"), F.lit(True).alias("alone"), "node", "component")
+    few = live.join(small, "band", "left_semi").select(F.xxhash64("band").alias("block"), F.lit(True).alias("first"), F.lit(True).alias("alone"), "t", "node", "component")
     big = parts.filter(F.col("total") > size)
     whose = F.when(F.col("c") > size, F.col("component"))
     room = F.when(F.col("c") > size, F.ceil(F.col("c") / size)).otherwise(F.ceil(F.col("mixed") / size)).cast("int")
     dealt = live.join(big, ["band", "component"]).withColumn("whose", whose)
     dealt = dealt.withColumn("cell", F.struct(F.coalesce("whose", F.lit(-1)).alias("whose"), F.pmod(F.xxhash64(F.when(F.col("whose").isNull(), F.col("component")).otherwise(F.col("node"))), room).cast("int").alias("part")))
-    dealt = cut(dealt.select("band", "cell", "node", "component"))
+    dealt = cut(dealt.select("band", "cell", "t", "node", "component"))
     cells = dealt.select("band", "cell").distinct()
     pairs = cells.join(cells.withColumnRenamed("cell", "other"), "band").filter("cell <= other AND NOT (cell.whose >= 0 AND cell.whose = other.whose)")
     pairs = cut(pairs.withColumn("block", F.xxhash64("band", "cell", "other")))
     alone = F.col("cell") == F.col("other")
-    one = dealt.join(pairs, ["band", "cell"]).select("band", "block", F.lit(True).alias("first"), alone.alias("alone"), "node", "component")
-    two = dealt.withColumnRenamed("cell", "other").join(pairs.filter(~alone), ["band", "other"]).select("band", "block", F.lit(False).alias("first"), F.lit(False).alias("alone"), "node", "component")
+    one = dealt.join(pairs, ["band", "cell"]).select("block", F.lit(True).alias("first"), alone.alias("alone"), "t", "node", "component")
+    two = dealt.withColumnRenamed("cell", "other").join(pairs.filter(~alone), ["band", "other"]).select("block", F.lit(False).alias("first"), F.lit(False).alias("alone"), "t", "node", "component")
     return few.unionByName(one).unionByName(two)
 
 
-def across(live: DataFrame, classes: DataFrame, similarity: float, size: int = 512) -> DataFrame:
-    """(a, b): pairs of a band and of different components whose minima don't rule the similarity out.
+def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size: int = 512) -> DataFrame:
+    """(a, b): a forest, block by block, over the links between classes of a band and of different components.
 
-    Minima that agree in a share lower by four standard errors and more rule it out.
+    A pair counts in the first band that it shares.  Minima that agree in a share lower by 4.7
+    standard errors and more rule it out; what is left is checked on whole sets, likely pairs
+    first, and not where links found before have joined the two already.  So no pair leaves a
+    worker that isn't needed, however many there are.
     """
     least = similarity - 4.7 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
 
-    def solve(node, component, sketch, first, alone):
-        i, j = (np.triu_indices(len(node), 1)) if alone[0] else (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
-        ok = component[i] != component[j]
-        i, j = i[ok], j[ok]
-        out = []
-        for k in range(0, len(i), 1 << 14):
-            p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-            near = (sketch[p] == sketch[q]).mean(axis=1) >= least
-            out.append((p[near], q[near]))
-        return node[np.concatenate([x[0] for x in out])] if out else node[:0], node[np.concatenate([x[1] for x in out])] if out else node[:0]
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, sketch = shingler(width), sketcher()
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                sets = [shingles(x.as_py()) for x in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array([sketch(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "sketch", "grams"])
+
+    def likely(component: np.ndarray, t: np.ndarray, sketch: np.ndarray, first: np.ndarray, alone: np.ndarray) -> list[tuple[float, int, int]]:
+        i, j = np.triu_indices(len(t), 1) if alone[0] else (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
+        ok = (component[i] != component[j]) & (t[i] == t[j])
+        i, j, found = i[ok], j[ok], []
+        for k in range(0, len(i), 1 << 13):
+            p, q = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
+            same = sketch[p] == sketch[q]
+            share, here = same.mean(axis=1), same.reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == t[p]
+            near = (share >= least) & here
+            found += zip(share[near].tolist(), p[near].tolist(), q[near].tolist(), strict=True)
+        return sorted(found, key=lambda x: -x[0])
+
+    def solve(node, component, t, first, alone, sketch, grams) -> list[tuple[int, int]]:
+        root = {c: c for c in component.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links, sets = [], [np.frombuffer(x, np.uint64) for x in grams]
+        for _, i, j in likely(component, t, sketch, first, alone):
+            a, b = top(int(component[i])), top(int(component[j]))
+            if a != b and alike(sets[i], sets[j], similarity):
+                root[a] = b
+                links.append((int(node[i]), int(node[j])))
+        return links
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
+        last = None
 
         def told() -> Iterator[pa.RecordBatch]:
-            if held and sum(len(h[0]) for h in held) > 1:
-                a, b = solve(*(np.concatenate(x) for x in zip(*(h[1:] for h in held), strict=True)))
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            if sum(len(h[0]) for h in held) > 1:
+                *arrays, grams = zip(*held, strict=True)
+                if links := solve(*map(np.concatenate, arrays), [x for part in grams for x in part]):
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block, node, component, first, alone = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
-            sketch = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), "<u4").reshape(len(block), -1)
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)]
             edges = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                if held and held[0][0][0] != block[x]:
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and block[x] != last:
                     yield from told()
                     held = []
-                held.append([c[x:y] for c in (block, node, component, sketch, first, alone)])
-        yield from told()
+                last = block[x]
+                sketch = np.frombuffer(b"".join(v.as_py() for v in batch.column(6)[x:y]), "<u4").reshape(y - x, -1)
+                held.append((*(c[x:y] for c in columns), sketch, [v.as_py() for v in batch.column(7)[x:y]]))
+        if held:
+            yield from told()
 
-    rows = _cells(live, size).join(classes.select("node", "sketch"), "node").select("block", "node", "component", "sketch", "first", "alone")
-    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(work), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = cut(own.mapInArrow(tidied(made), "node long, sketch binary, grams binary"))
+    rows = _cells(live, size).join(sets, "node").select("block", "node", "component", "t", "first", "alone", "sketch", "grams")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(work), "a long, b long")
 
 
 def grouped(classes: DataFrame, hints: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -218,9 +256,8 @@ def grouped(classes: DataFrame, hints: DataFrame, texts: DataFrame, width: int,
     first = cut(first)
     links = cut(checked(first, texts, keys, width, similarity))
     parts = cut(connected_components(links))
-    live = shared.select("band", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    live = shared.select("band", "t", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     live = cut(spread_join(live, mixed, "band", "node", "left_semi"))
-    rest = cut(across(live, classes, similarity).join(first, ["a", "b"], "left_anti"))
-    found = cut(checked(rest, texts, keys, width, similarity))
+    found = cut(across(live, of_nodes(texts, keys, live), width, similarity))
     return parts if found.isEmpty() else cut(connected_components(links.unionByName(found)))
