@@ -3,6 +3,7 @@
 Minima of a set's members under random orders estimate the similarity of sets (Broder 1997), and
 sets that agree in all minima of a band are candidates.  With the default bands a pair at
 similarity 0.8 shares none with probability 0.000003; each candidate is checked on whole sets.
+Likely pairs are checked first, by joins; all others of a band inside the block that holds them.
 """
 
 from __future__ import annotations
@@ -166,7 +167,7 @@ def _cells(live: DataFrame, size: int) -> DataFrame:
     return few.unionByName(one).unionByName(two)
 
 
-def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size: int = 512) -> DataFrame:
+def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size: int = 4096) -> DataFrame:
     """(a, b): a forest, block by block, over the links between classes of a band and of different components.
 
     A pair counts in the first band that it shares.  Minima that agree in a share lower by 4.7
@@ -183,17 +184,25 @@ def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size:
                 sets = [shingles(x.as_py()) for x in part.column(1)]
                 yield pa.record_batch([part.column(0), pa.array([sketch(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "sketch", "grams"])
 
-    def likely(component: np.ndarray, t: np.ndarray, sketch: np.ndarray, first: np.ndarray, alone: np.ndarray) -> list[tuple[float, int, int]]:
-        i, j = np.triu_indices(len(t), 1) if alone[0] else (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
-        ok = (component[i] != component[j]) & (t[i] == t[j])
-        i, j, found = i[ok], j[ok], []
-        for k in range(0, len(i), 1 << 13):
-            p, q = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
+    def likely(component: np.ndarray, t: np.ndarray, sketch: np.ndarray, first: np.ndarray, alone: np.ndarray) -> Iterator[tuple[int, int]]:
+        rows, others = (np.arange(len(t)),) * 2 if alone[0] else (np.flatnonzero(first), np.flatnonzero(~first))
+        found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, (1 << 13) // max(1, len(others)))
+        for k in range(0, len(rows), step):
+            p, q = (x.ravel() for x in np.meshgrid(rows[k : k + step], others, indexing="ij"))
+            ok = (component[p] != component[q]) & (t[p] == t[q])
+            if alone[0]:
+                ok &= p < q
+            p, q = p[ok], q[ok]
             same = sketch[p] == sketch[q]
-            share, here = same.mean(axis=1), same.reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == t[p]
-            near = (share >= least) & here
-            found += zip(share[near].tolist(), p[near].tolist(), q[near].tolist(), strict=True)
-        return sorted(found, key=lambda x: -x[0])
+            share = same.mean(axis=1)
+            near = share >= least
+            p, q, share, same = p[near], q[near], share[near], same[near]
+            here = same.reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == t[p]
+            found.append((share[here], p[here], q[here]))
+        share, p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+        for k in np.argsort(-share, kind="stable"):
+            yield int(p[k]), int(q[k])
 
     def solve(node, component, t, first, alone, sketch, grams) -> list[tuple[int, int]]:
         root = {c: c for c in component.tolist()}
@@ -204,7 +213,7 @@ def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size:
             return x
 
         links, sets = [], [np.frombuffer(x, np.uint64) for x in grams]
-        for _, i, j in likely(component, t, sketch, first, alone):
+        for i, j in likely(component, t, sketch, first, alone):
             a, b = top(int(component[i])), top(int(component[j]))
             if a != b and alike(sets[i], sets[j], similarity):
                 root[a] = b
