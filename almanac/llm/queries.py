@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL; each applies its operator to its whole table."""
+"""The queries op1 to op13 and their SQL; each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, nn_descent, quality_model, quality_rules, secrets, simhash, token_counts, toxicity, warc
+from . import bpe, mixing, nn_descent, quality_model, quality_rules, rolling_median, secrets, simhash, token_counts, toxicity, warc
 from .common import documents, labels
 
 
@@ -59,6 +59,10 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_median.rolling(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_transducer": op1_bpe_transducer,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rule_ledger": op8_rule_ledger,
         "op9_nbsvm_quality": op9_nbsvm_quality,
         "op10_arc_to_warc": op10_arc_to_warc,
+        "op12_rolling_median": op12_rolling_median,
     }
 
 
@@ -81,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_secret_linking": secrets.SQL,
         "op8_rule_ledger": quality_rules.SQL,
         "op10_arc_to_warc": warc.SQL,
+        "op12_rolling_median": rolling_median.SQL,
     }
