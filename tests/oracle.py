@@ -19,7 +19,7 @@ def connect(sf_dir):
 def _plain(x):
     if x is None or x is pd.NA or x != x:
         return "null"
-    if isinstance(x, bool) or type(x).__name__ == "bool_":
+    if isinstance(x, bool) or type(x).__name__ in ("bool", "bool_"):
         return str(bool(x))
     if isinstance(x, (int, float)) or hasattr(x, "dtype"):
         return f"{float(x):.4f}"
