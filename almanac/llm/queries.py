@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, nn_descent, quality_model, quality_rules, rolling_median, secrets, simhash, token_counts, toxicity, warc
+from . import alignment, bpe, mixing, nn_descent, quality_model, quality_rules, rolling_median, secrets, simhash, token_counts, toxicity, warc
 from .common import documents, labels
 
 
@@ -59,6 +59,10 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_median.rolling(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rule_ledger": op8_rule_ledger,
         "op9_nbsvm_quality": op9_nbsvm_quality,
         "op10_arc_to_warc": op10_arc_to_warc,
+        "op11_alignment": op11_alignment,
         "op12_rolling_median": op12_rolling_median,
     }
 
