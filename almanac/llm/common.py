@@ -98,13 +98,15 @@ def small_side(df: DataFrame, most: int = 250_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", hot: int = 1024, ways: int = 64) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", hot: int = 1024, ways: int = 64, counts: DataFrame | None = None) -> DataFrame:
     """Join of many rows a key with one row a key at most, rows of hot keys dealt by `by` into `ways` parts.
 
     The 256 largest keys over `hot` rows are dealt so; any other holds less than 1/256 of all
-    rows.  Their broadcast is that small at any size.
+    rows.  Their broadcast is that small at any size.  `counts` may tell (key, _rows) where they
+    are known.
     """
-    counts = cut(many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot))
+    counts = many.groupBy(key).agg(F.count("*").alias("_rows")) if counts is None else counts
+    counts = cut(counts.filter(F.col("_rows") > hot))
     top = F.broadcast(counts.orderBy(F.desc("_rows"), key).limit(256).select(key, F.lit(True).alias("_hot")))
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(F.lit(0)).cast("int")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, mixing, nn_descent, quality_model, quality_rules, rolling_median, secrets, simhash, token_counts, toxicity, warc
+from . import alignment, bpe, mixing, nn_descent, quality_model, quality_rules, rolling_median, secrets, simhash, substrings, token_counts, toxicity, warc
 from .common import documents, labels
 
 
@@ -67,6 +67,10 @@ def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_median.rolling(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_transducer": op1_bpe_transducer,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_arc_to_warc": op10_arc_to_warc,
         "op11_alignment": op11_alignment,
         "op12_rolling_median": op12_rolling_median,
+        "op13_substrings": op13_substrings,
     }
 
 
@@ -92,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_rule_ledger": quality_rules.SQL,
         "op10_arc_to_warc": warc.SQL,
         "op12_rolling_median": rolling_median.SQL,
+        "op13_substrings": substrings.SQL,
     }
