@@ -78,7 +78,7 @@ def leaderboard_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from almanac.plans import analogues, archive, more, stateful  # noqa: F401  they register on import
+    from almanac.plans import analogues, archive, more, shop, stateful  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
