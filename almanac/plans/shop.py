@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.operators import translation
 from almanac.operators.translation import Rule
-from almanac.plans.registry import query, table
+from almanac.plans.registry import query, shared_dir, table
+from almanac.streaming import runs, state
 
 #: A dictionary made of the items' and vendors' words: some reviewed, some empty, some unknown, words repeated.
 _DICTIONARY = """
@@ -80,3 +84,62 @@ def reviewed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reviewer's name wins over the one that is there, any other fills blanks only."""
     items = table(spark, sf_dir, "items").select("item_id", F.col("name").alias("name_english"), F.when(F.col("item_id") % 3 == 0, F.col("brand")).when(F.col("item_id") % 3 == 1, "").alias("name_hebrew"))
     return translation.rewrite(items, dictionary(spark, sf_dir), [Rule("name_english", "names", into="name_hebrew")])
+
+
+def _month(column: str):
+    return F.date_format(column, "yyyy-MM").alias("period")
+
+
+def sales_steps() -> list[runs.Step]:
+    """Monthly tables of sales and shipments, and answers over all months made of them."""
+    months = runs.Step("months", ("sales",), lambda t: t["sales"].groupBy("period").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total"), F.count_if(F.col("status") == "done").alias("done")))
+    shipped = runs.Step("shipped", ("lines",), lambda t: t["lines"].groupBy("period").agg(F.sum("quantity").alias("quantity"), F.count_if(F.col("flag") == "returned").alias("returned")))
+    by_client = runs.Step("by_client", ("sales",), lambda t: t["sales"].groupBy("period", "client_id").agg(F.count("*").alias("n")))
+    overview = runs.Step("overview", ("months", "shipped"), lambda t: t["months"].join(t["shipped"], "period", "full"))
+    leaders = runs.Step("leaders", ("by_client",), lambda t: t["by_client"].filter("client_id IS NOT NULL").groupBy("client_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "client_id").limit(20), whole=True)
+    return [months, shipped, by_client, overview, leaders]
+
+
+@query(
+    """
+    WITH s AS (SELECT *, coalesce(strftime(sold_at, '%Y-%m'), 'none') AS period FROM sales WHERE sold_at IS NULL OR sold_at >= TIMESTAMP '2024-02-01'),
+    l AS (SELECT *, coalesce(strftime(shipped_at, '%Y-%m'), 'none') AS period FROM sale_lines WHERE sale_id IS NULL OR sale_id % 7 <> 5 OR shipped_at < TIMESTAMP '2024-03-01'),
+    m AS (SELECT period, count(*) AS n, round(sum(total), 2) AS total, count(*) FILTER (status = 'done') AS done FROM s GROUP BY period),
+    h AS (SELECT period, sum(quantity) AS quantity, count(*) FILTER (flag = 'returned') AS returned FROM l GROUP BY period),
+    c AS (SELECT client_id, count(*) AS n FROM s WHERE client_id IS NOT NULL GROUP BY client_id ORDER BY n DESC, client_id LIMIT 20)
+    SELECT coalesce(m.period, h.period) AS period, CAST(NULL AS bigint) AS client_id, n, total, done, CAST(quantity AS bigint) AS quantity, returned FROM m FULL JOIN h USING (period)
+    UNION ALL SELECT 'all', client_id, n, NULL, NULL, NULL, NULL FROM c"""
+)
+def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots one after the other leave the answers that the second alone would give (T1-T4, Q1-Q16's recomputation)."""
+    root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    sales, lines = table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines")
+    keep = F.col("sale_id").isNull() | (F.col("sale_id") % 7 != 5) | F.coalesce(F.col("shipped_at") < F.lit("2024-03-01").cast("timestamp_ntz"), F.lit(False))
+    first = {"sales": sales.filter("sale_id % 10 <> 3 OR month(sold_at) <> 3"), "lines": lines.filter("month(shipped_at) < 4")}
+    second = {"sales": sales.filter("sold_at IS NULL OR month(sold_at) >= 2"), "lines": lines.filter(keep)}
+    for i, snapshot in enumerate((first, second)):
+        given = {"sales": snapshot["sales"].withColumn("period", _month("sold_at")), "lines": snapshot["lines"].withColumn("period", _month("shipped_at"))}
+        runs.run(spark, root, given, sales_steps(), f"2024-06-0{i + 1}")
+    overview, leaders = runs.read(spark, root, "overview"), runs.read(spark, root, "leaders")
+    return overview.withColumn("client_id", F.lit(None).cast("long")).select("period", "client_id", "n", "total", "done", "quantity", "returned").unionByName(leaders, allowMissingColumns=True)
+
+
+@query(
+    """
+    WITH s AS (SELECT coalesce(strftime(sold_at, '%Y-%m-%d'), 'none') AS period, count(*) AS n, count(*) FILTER (sale_id % 50 = 7) AS touched FROM sales GROUP BY 1),
+    l AS (SELECT coalesce(strftime(shipped_at, '%Y-%m-%d'), 'none') AS period, count(*) AS n, count(*) FILTER (quantity = 49) AS touched FROM sale_lines GROUP BY 1),
+    c AS (SELECT coalesce(strftime(ts, '%Y-%m-%d'), 'none') AS period, count(*) AS n, count(*) FILTER (click_id % 400 = 1) AS touched FROM clicks GROUP BY 1)
+    SELECT period, coalesce(s.n, 0) + coalesce(l.n, 0) + coalesce(c.n, 0) AS n, coalesce(s.touched, 0) + coalesce(l.touched, 0) + coalesce(c.touched, 0) > 0 AS changed
+    FROM s FULL JOIN l USING (period) FULL JOIN c USING (period)"""
+)
+def changed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which any of three tables differs from an earlier reading, told by fingerprints alone (T1 over all sources)."""
+    day = lambda df, c: df.withColumn("period", F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("none")))
+    sales, lines, clicks = day(table(spark, sf_dir, "sales"), "sold_at"), day(table(spark, sf_dir, "sale_lines"), "shipped_at"), day(table(spark, sf_dir, "clicks"), "ts")
+    old = (
+        sales.withColumn("status", F.when(F.col("sale_id") % 50 == 7, F.concat(F.coalesce("status", F.lit("")), F.lit("?"))).otherwise(F.col("status"))),
+        lines.filter("quantity IS NULL OR quantity <> 49"), clicks.filter("click_id IS NULL OR click_id % 400 <> 1").repartition(7),
+    )
+    sizes = reduce(DataFrame.unionByName, (df.groupBy("period").count() for df in (sales, lines, clicks))).groupBy("period").agg(F.sum("count").alias("n"))
+    gate = state.change_gate(*(runs.fingerprint(*x).withColumnRenamed("period", "key") for x in ((sales, lines, clicks), old)))
+    return sizes.join(gate.select(F.col("key").alias("period"), "changed"), "period").select("period", "n", "changed")
