@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from almanac.operators import translation
 from almanac.operators.translation import Rule
 from almanac.plans.registry import query, shared_dir, table
-from almanac.streaming import runs, state
+from almanac.streaming import keyed, runs, state
 
 #: A dictionary made of the items' and vendors' words: some reviewed, some empty, some unknown, words repeated.
 _DICTIONARY = """
@@ -143,3 +143,31 @@ def changed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = reduce(DataFrame.unionByName, (df.groupBy("period").count() for df in (sales, lines, clicks))).groupBy("period").agg(F.sum("count").alias("n"))
     gate = state.change_gate(*(runs.fingerprint(*x).withColumnRenamed("period", "key") for x in ((sales, lines, clicks), old)))
     return sizes.join(gate.select(F.col("key").alias("period"), "changed"), "period").select("period", "n", "changed")
+
+
+@query(
+    """
+    WITH c AS (
+      SELECT *, CASE WHEN valid_at < TIMESTAMP '2024-02-15' THEN 0 WHEN valid_at < TIMESTAMP '2024-04-01' THEN 1 ELSE 2 END AS slice
+      FROM client_changes WHERE client_id IS NOT NULL AND seq IS NOT NULL AND change_id IS NOT NULL),
+    b AS (SELECT client_id, slice, max({'seq': seq, 'id': change_id, 'gone': coalesce(op = 'D', false), 'segment': segment, 'city': city, 'at': valid_at}) AS x FROM c GROUP BY client_id, slice),
+    h AS (SELECT *, max(x) OVER (PARTITION BY client_id ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b),
+    n AS (SELECT *, p IS NOT NULL AND NOT p.gone AS alive FROM h WHERE p IS NULL OR x.seq > p.seq OR x.seq = p.seq AND x.id > p.id)
+    SELECT client_id, x.id AS change_id,
+           CASE WHEN x.gone THEN 'removed' WHEN NOT alive THEN 'created' WHEN x.segment IS NOT DISTINCT FROM p.segment AND x.city IS NOT DISTINCT FROM p.city THEN 'same' ELSE 'updated' END AS action,
+           CASE WHEN NOT x.gone THEN x.segment END AS segment, CASE WHEN NOT x.gone THEN x.city END AS city, CASE WHEN alive THEN p.segment END AS old_segment, CASE WHEN alive THEN p.city END AS old_city,
+           strftime(x.at, '%Y-%m-%d %H:%M:%S') AS last_checked
+    FROM n WHERE alive OR NOT x.gone"""
+)
+def client_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of changes in three parts, started again for each on one checkpoint; each upsert with the row before it."""
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    changes = table(spark, sf_dir, "client_changes")
+    day = lambda d: F.col("valid_at") < F.lit(d).cast("timestamp_ntz")
+    part = F.when(day("2024-02-15"), 0).when(day("2024-04-01"), 1).otherwise(2)
+    for i in range(3):
+        changes.filter(part == i).write.mode("append").parquet(f"{name}/in")
+        source = spark.readStream.schema(changes.schema).parquet(f"{name}/in").withColumn("gone", F.col("op") == "D")
+        keyed.run(keyed.upserts(source, "client_id", ["seq", "change_id"], ["segment", "city"], "gone", "valid_at"), f"{name}/out", f"{name}/log")
+    told = spark.read.parquet(f"{name}/out").drop("batch")
+    return told.select("client_id", "change_id", "action", "segment", "city", "old_segment", "old_city", F.date_format("last_checked", "yyyy-MM-dd HH:mm:ss").alias("last_checked"))

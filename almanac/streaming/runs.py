@@ -58,12 +58,14 @@ def fingerprint(*sources: DataFrame, by: str = "period") -> DataFrame:
     return reduce(DataFrame.unionByName, marked).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda x: F.concat_ws("=", x["i"], x["f"])), " ").alias("fingerprint"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _list(spark: SparkSession, path: str) -> list[str]:
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
@@ -71,8 +73,8 @@ def _list(spark: SparkSession, path: str) -> list[str]:
 
 def last_run(spark: SparkSession, root: str) -> int:
     """The number of the last run that was committed, 0 before the first."""
-    runs = [int(n[4:]) for n in _list(spark, f"{root}/_state") if n.startswith("run=")]
-    return max((r for r in runs if _exists(spark, f"{root}/_state/run={r}/_SUCCESS")), default=0)
+    runs = [int(n[4:]) for n in listed(spark, f"{root}/_state") if n.startswith("run=")]
+    return max((r for r in runs if exists(spark, f"{root}/_state/run={r}/_SUCCESS")), default=0)
 
 
 def state(spark: SparkSession, root: str) -> DataFrame:
@@ -136,7 +138,7 @@ def run(spark: SparkSession, root: str, sources: dict[str, DataFrame], steps: Se
         path = f"{root}/{step.name}/run={number}"
         out.withColumn(_FOLDER, F.concat(F.lit("p_"), "period")).write.mode("overwrite").partitionBy(_FOLDER).parquet(path)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-        written = [n[len(_FOLDER) + 3 :] for n in _list(spark, path) if n.startswith(f"{_FOLDER}=")]  # by folders, no more than periods
+        written = [n[len(_FOLDER) + 3 :] for n in listed(spark, path) if n.startswith(f"{_FOLDER}=")]  # by folders, no more than periods
         made = spark.createDataFrame([("step", step.name, unescaped(spark, p), None, number) for p in written] + [("schema", step.name, None, schema, number)], "kind string, name string, period string, fingerprint string, run long")
         mine = F.col("name") == step.name
         kept = held.filter(mine & (F.col("kind") == "step")).join(reach, "period", "left_anti")
@@ -162,10 +164,10 @@ def vacuum(spark: SparkSession, root: str, steps: Sequence[str]) -> int:
     """
     last = last_run(spark, root)
     held = {(r["name"], r["run"], r["period"]) for r in state(spark, root).filter("kind = 'step'").collect()}  # as many as there are periods
-    doomed = [f"{root}/{kind}/{n}" for kind in ("_state", "_gate") for n in _list(spark, f"{root}/{kind}") if n.startswith("run=") and int(n[4:]) != last]
+    doomed = [f"{root}/{kind}/{n}" for kind in ("_state", "_gate") for n in listed(spark, f"{root}/{kind}") if n.startswith("run=") and int(n[4:]) != last]
     for step in steps:
-        for run_ in (n for n in _list(spark, f"{root}/{step}") if n.startswith("run=")):
-            inside = [n for n in _list(spark, f"{root}/{step}/{run_}") if n.startswith(f"{_FOLDER}=")]
+        for run_ in (n for n in listed(spark, f"{root}/{step}") if n.startswith("run=")):
+            inside = [n for n in listed(spark, f"{root}/{step}/{run_}") if n.startswith(f"{_FOLDER}=")]
             doomed += [f"{root}/{step}/{run_}/{n}" for n in inside if (step, int(run_[4:]), unescaped(spark, n[len(_FOLDER) + 3 :])) not in held]
     for path in doomed:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

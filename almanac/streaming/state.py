@@ -6,13 +6,12 @@ state.  The streaming form applies the same function to each micro-batch.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions import scalars as S
 from almanac.operators.ordered import pick
+from almanac.streaming.runs import exists, listed
 
 
 def change_gate(snapshot: DataFrame, state: DataFrame) -> DataFrame:
@@ -111,100 +110,51 @@ def seed_plan(seeds: DataFrame, existing: DataFrame, forced: bool) -> DataFrame:
     return seeds.select("title").join(side, "title", "left").select("title", action.alias("action"))
 
 
-def _siblings(spark: SparkSession, path: str, mark: str) -> list:
-    """Paths beside a state's folder that an unfinished swap has left."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{mark}-*")
-    return sorted((s.getPath() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or ()), key=lambda x: x.getName())
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a state, oldest first."""
+    numbers = sorted(int(n[8:]) for n in listed(spark, path) if n.startswith("version="))
+    return [n for n in numbers if exists(spark, f"{path}/version={n}/_SUCCESS")]
 
 
-#: The partition column of states that are kept in buckets of keys.
-BUCKET = "state_bucket"
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last complete version of a state, None where there is none yet."""
+    complete = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={complete[-1]}") if complete else None
 
 
-def recover(spark: SparkSession, path: str) -> bool:
-    """Undoes a swap that was cut short, and tells whether there is a state at `path`.
+def write_state(df: DataFrame, path: str) -> None:
+    """Writes a state's next version; it counts once it is complete, so stopping anywhere leaves the one before (K5).
 
-    A swap cut between its two renames has left the old state, or a bucket of it, aside: it is
-    moved back, so the next batch is merged into it and no key is lost.  Whatever else is
-    beside the state goes.
+    The version before the new one stays for those who are reading it, earlier ones go.
     """
+    spark = df.sparkSession
+    complete = _versions(spark, path)
+    number = complete[-1] + 1 if complete else 0
+    df.write.mode("overwrite").parquet(f"{path}/version={number}")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    at = fs_path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def back(old, new) -> None:
-        if not fs.rename(old, new):
-            raise OSError(f"could not move {old} back to {new}")
-
-    old = _siblings(spark, path, "old")
-    if not fs.exists(at) and old:
-        back(old.pop(), at)
-    for rest in old:
-        for bucket in (x.getPath() for x in fs.listStatus(rest)):
-            if bucket.getName().startswith(f"{BUCKET}=") and not fs.exists(fs_path(at, bucket.getName())):
-                back(bucket, fs_path(at, bucket.getName()))
-    for rest in [*old, *_siblings(spark, path, "new")]:
-        fs.delete(rest, True)
-    return fs.exists(at)
-
+    for n in listed(spark, path):
+        if n.startswith("version=") and int(n[8:]) < number - 1:
+            old = fs_path(f"{path}/{n}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-def swap_in(spark: SparkSession, df: DataFrame, path: str, buckets: list[int] | None = None) -> None:
-    """Writes a state table beside the old one, then swaps by rename; a failure at any point leaves a state for `recover` (K5).
 
-    With `buckets`, only these of a state kept in buckets are written and swapped, one by one.
-    """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    side, old, at = fs_path(f"{path}.new-{uuid.uuid4().hex}"), fs_path(f"{path}.old-{uuid.uuid4().hex}"), fs_path(path)
-    (df.write if buckets is None else df.write.partitionBy(BUCKET)).parquet(side.toString())
-    fs = side.getFileSystem(spark._jsc.hadoopConfiguration())
-    if buckets is None:
-        moves = [(at, old, side)]
-    else:
-        fs.mkdirs(at)
-        fs.mkdirs(old)
-        moves = [tuple(fs_path(x, f"{BUCKET}={b}") for x in (at, old, side)) for b in buckets]
-    for now, aside, new in moves:
-        if fs.exists(now) and not fs.rename(now, aside):
-            raise OSError(f"could not move {now} aside")
-        if not fs.rename(new, now):
-            raise OSError(f"could not move {new} to {now}")
-    for rest in (old, side):
-        fs.delete(rest, True)
-
-
-def stream_merge(source: DataFrame, path: str, checkpoint: str, key: str | list[str], order: list[str], mode: str = "append", buckets: int = 1) -> None:
+def stream_merge(source: DataFrame, path: str, checkpoint: str, key: str | list[str], order: list[str], mode: str = "append") -> None:
     """Runs a stream to its present end, keeping at `path` the latest row of each key by an order that must be total.
 
-    Streams of updated aggregates (mode 'update') may order by _batch, the batch's number.  A
-    state in `buckets` of keys is rewritten only where a batch has keys; read_state leaves
-    their column out.  Batches are idempotent: merging one again after a failure, whole or in
-    some buckets, changes nothing.
+    Streams of updated aggregates (mode 'update') may order by _batch, the batch's number.
+    Each batch writes the whole state anew, so it is for states that are small beside a batch;
+    `keyed.upserts` holds larger ones.  Batches are idempotent: merging one again changes nothing.
     """
     keys = [key] if isinstance(key, str) else key
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         new = batch.withColumn("_batch", F.lit(number).cast("long")) if "_batch" in order else batch
-        there, touched = recover(spark, path), None
-        if buckets > 1:
-            new = new.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-            touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())  # `buckets` rows at most
-            if not touched:
-                return
-        old = spark.read.parquet(path) if there else None
-        if old is not None and touched:
-            old = old.filter(F.col(BUCKET).isin(touched))
-        whole = old.unionByName(new) if old is not None else new
-        swap_in(spark, pick(whole, [*keys, BUCKET] if touched else keys, [F.col(c) for c in order]), path, touched)
+        old = read_state(batch.sparkSession, path)
+        write_state(pick(new if old is None else old.unionByName(new), keys, [F.col(c) for c in order]), path)
 
     source.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """A state that stream_merge keeps."""
-    return spark.read.parquet(path).drop(BUCKET)
-
-
 def publish(entities: DataFrame, state: DataFrame, pages: DataFrame, key: str = "tm_id") -> DataFrame:
     """(key, title, route, action) of entities with their content: routed, then written, merged or skipped (Q16, K6, K7).
 
