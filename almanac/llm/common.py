@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +53,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables on the way, as compressed Parquet in the shared folder, each dropped as soon as it has been used."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        del df
+        self.release()
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        drop(self.spark, self.path)
+        self.release()
+
+    def release(self) -> None:
+        """Has the driver give back shuffle files that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def tidy() -> None:
     """Gives memory that is free again back to the system; workers and drivers live on after a task."""
     gc.collect()

@@ -10,9 +10,7 @@ branch; the earliest occurrence of each is taken apart into its edges again.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -22,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, shared_dir, spread_join, tidied
+from .common import Scratch, cut, spread_join, tidied
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,12 +112,14 @@ def found_paths(rows: DataFrame, width: int, seed: int, bits: int = 64) -> DataF
 
 
 def spelled(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(id, tie, start, edges, name, first, whole, high, low): digests of the words of paths, and of the edges of those to be taken apart.
+    """(id, tie, start, edges, key, first, whole, digest): 64-bit digests of words at their coordinates.
 
-    `asked` holds (id, tie, start, edges, name, first, apart); digests are 128 bits of the words' own bytes.
+    `asked` holds (id, tie, start, edges, minimizer, name, first, shared, apart).  A path that is
+    shared gives one row with its name as the key, one that is taken apart a row for each edge
+    with its minimizer as the key: either key is 64 bits that the digest doesn't depend on.
     """
-    lists = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "edges", "name", "first", "apart")).alias("asked"))
-    names = ["id", "tie", "start", "edges", "name", "first", "whole", "high", "low"]
+    lists = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "edges", "minimizer", "name", "first", "shared", "apart")).alias("asked"))
+    names = ["id", "tie", "start", "edges", "key", "first", "whole", "digest"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blake = hashlib.blake2b
@@ -130,65 +130,59 @@ def spelled(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 begins = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)].tolist()
                 asked = batch.column(3).slice(k, 1).flatten()
                 out, sums = [], []
-                for s, n, name, first, apart in zip(*(asked.field(c).to_pylist() for c in range(5)), strict=True):
-                    out.append((s, n, name, first, True))
-                    sums.append(blake(text[begins[s] : begins[s + n + width - 1] - 1], digest_size=16).digest())
+                for s, n, minimizer, name, first, shared, apart in zip(*(asked.field(c).to_pylist() for c in range(7)), strict=True):
+                    if shared:
+                        out.append((s, n, name, first, True))
+                        sums.append(blake(text[begins[s] : begins[s + n + width - 1] - 1], digest_size=8).digest())
                     if apart:
-                        out += [(x, 1, name, first, False) for x in range(s, s + n)]
-                        sums += [blake(text[begins[x] : begins[x + width] - 1], digest_size=16).digest() for x in range(s, s + n)]
-                digest = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
-                made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.record_batch([pa.repeat(batch.column(0)[k], len(out)), pa.repeat(batch.column(1)[k], len(out)), *made, pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=names)
+                        out += [(x, 1, minimizer, first, False) for x in range(s, s + n)]
+                        sums += [blake(text[begins[x] : begins[x + width] - 1], digest_size=8).digest() for x in range(s, s + n)]
+                if out:
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
+                    made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.record_batch([pa.repeat(batch.column(0)[k], len(out)), pa.repeat(batch.column(1)[k], len(out)), *made, pa.array(np.frombuffer(b"".join(sums), np.int64))], names=names)
 
     texts = rows.select("id", "tie", "text").join(lists, ["id", "tie"])
-    return texts.select("id", "tie", "text", "asked").mapInArrow(tidied(work), "id long, tie long, start int, edges int, name long, first boolean, whole boolean, high long, low long")
+    return texts.select("id", "tie", "text", "asked").mapInArrow(tidied(work), "id long, tie long, start int, edges int, key long, first boolean, whole boolean, digest long")
 
 
 def _place() -> Column:
     return F.struct("id", "tie", "start")
 
 
-def _release(spark) -> None:
-    """Asks the driver to give back shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def repeats(rows: DataFrame, width: int, seed: int, bits: int = 64) -> DataFrame:
+def repeats(rows: DataFrame, width: int, seed: int, scratch: Scratch, bits: int = 64) -> DataFrame:
     """(id, tie, start, edges, source): edges and whole paths whose words begin earlier too, at `source`, the earliest place."""
-    spark = rows.sparkSession
-    at = f"{shared_dir(spark)}/paths-{uuid.uuid4().hex}"
-    found_paths(rows, width, seed, bits).write.parquet(at)
-    every = spark.read.parquet(at)
-    met = cut(every.groupBy("minimizer").agg(F.count("*").alias("met"), F.min("name").alias("least"), F.max("name").alias("greatest")).filter("met > 1"))
+    every = scratch.put("paths", found_paths(rows, width, seed, bits))
+    met = cut(every.groupBy("minimizer").agg(F.count("*").alias("_rows")).filter("_rows > 1"))
     # Of a minimizer that is met once, no edge repeats.
-    live = spread_join(every, met, "minimizer", "name", counts=met.select("minimizer", F.col("met").alias("_rows")))
-    live = cut(live.select("name", "id", "tie", "start", "edges", (F.col("least") != F.col("greatest")).alias("branching")))
-    drop(spark, at)
-    _release(spark)
-    named = cut(live.groupBy("name").agg(F.count("*").alias("many"), F.min(_place()).alias("source")))
-    live = spread_join(live, named, "name", "id", counts=named.select("name", F.col("many").alias("_rows")))
-    live = cut(live.withColumn("first", _place() == F.col("source")))
-    asked = live.filter("many > 1 OR branching").select("id", "tie", "start", "edges", "name", "first", (F.col("first") & F.col("branching")).alias("apart"))
-    told = cut(spelled(asked, rows, width))
-    _release(spark)
+    live = scratch.put("live", spread_join(every, met.select("minimizer"), "minimizer", "name", counts=met))
+    scratch.drop("paths")
+    key = F.struct("minimizer", "name").alias("path")
+    names = scratch.put("names", live.groupBy("minimizer", "name").agg(F.count("*").alias("many"), F.min(_place()).alias("source")))
+    forks = cut(names.groupBy("minimizer").agg(F.count("*").alias("_rows")).filter("_rows > 1"))
+    named = spread_join(names, forks.select("minimizer", F.lit(True).alias("fork")), "minimizer", "name", "left", counts=forks)
+    named = scratch.put("named", named.select(key, "many", "source", F.coalesce("fork", F.lit(False)).alias("fork")))
+    scratch.drop("names")
+    # A path without branches is its name; the earliest occurrence of one with branches is taken apart into edges.
+    asked = spread_join(live.withColumn("path", key), named, "path", "id", counts=named.select("path", F.col("many").alias("_rows")))
+    first = _place() == F.col("source")
+    asked = asked.select("id", "tie", "start", "edges", "path.minimizer", "path.name", first.alias("first"), (F.col("many") > 1).alias("shared"), (first & F.col("fork")).alias("apart"))
+    told = scratch.put("told", spelled(asked, rows, width))
     # The words at the source's coordinates verify the other occurrences of a path.
-    first = told.filter("whole AND first").groupBy("name").agg(F.min("high").alias("h"), F.min("low").alias("l"), F.first("id").alias("source_id"), F.first("tie").alias("source_tie"), F.first("start").alias("source_start"))
-    later = cut(spread_join(told.filter("whole AND NOT first"), first, "name", "id", counts=named.select("name", F.col("many").alias("_rows"))))
-    proven = (F.col("high") == F.col("h")) & (F.col("low") == F.col("l"))
-    source = F.struct(F.col("source_id").alias("id"), F.col("source_tie").alias("tie"), F.col("source_start").alias("start"))
-    covered = later.filter(proven).select("id", "tie", "start", "edges", source.alias("source"))
-    edges = told.filter(~F.col("whole")).select("id", "tie", "start", "high", "low")
-    wrong = later.filter(~proven).select("name").distinct()
+    source = told.filter("whole AND first").groupBy("key").agg(F.min(F.struct("digest", "id", "tie", "start")).alias("x"))
+    source = source.select("key", F.col("x.digest").alias("words"), F.struct("x.id", "x.tie", "x.start").alias("source"))
+    later = scratch.put("later", spread_join(told.filter("whole AND NOT first"), source, "key", "id").select("id", "tie", "start", "edges", "source", "key", (F.col("digest") == F.col("words")).alias("proven")))
+    edges = told.filter(~F.col("whole")).select("id", "tie", "start", F.struct("key", "digest").alias("edge"))
+    wrong = later.filter(~F.col("proven")).select(F.col("key").alias("name")).distinct()
     if not wrong.isEmpty():  # names that different words share: all their paths are taken apart
-        again = live.join(wrong, "name", "left_semi").select("id", "tie", "start", "edges", "name", "first", F.lit(True).alias("apart"))
-        edges = edges.unionByName(spelled(again, rows, width).filter(~F.col("whole")).select("id", "tie", "start", "high", "low")).distinct()
-    edges = cut(edges.withColumn("edge", F.struct("high", "low")).drop("high", "low"))
-    one = cut(edges.groupBy("edge").agg(F.count("*").alias("many"), F.min(_place()).alias("source")).filter("many > 1"))
-    more = spread_join(edges, one.select("edge", "source"), "edge", "id", counts=one.select("edge", F.col("many").alias("_rows")))
-    more = more.filter(_place() != F.col("source")).select("id", "tie", "start", F.lit(1).alias("edges"), "source")
-    return cut(covered.unionByName(more).distinct())
+        again = live.join(wrong, "name", "left_semi").withColumns({"first": F.lit(False), "shared": F.lit(False), "apart": F.lit(True)})
+        edges = scratch.put("edges", edges.unionByName(spelled(again, rows, width).select("id", "tie", "start", F.struct("key", "digest").alias("edge"))).distinct())
+    one = cut(edges.groupBy("edge").agg(F.count("*").alias("_rows"), F.min(_place()).alias("source")).filter("_rows > 1"))
+    more = spread_join(edges, one.select("edge", "source"), "edge", "id", counts=one.select("edge", "_rows")).filter(_place() != F.col("source"))
+    columns = ("id", "tie", "start", "edges", "source")
+    found = scratch.put("covered", later.filter("proven").select(*columns).unionByName(more.withColumn("edges", F.lit(1)).select(*columns)).distinct())
+    scratch.drop("live", "named", "told", "later", "edges")
+    return found
 
 
 def spans(found: DataFrame, width: int) -> DataFrame:
@@ -213,10 +207,10 @@ def removed(docs: DataFrame, width: int = 20, seed: int = 5, id_col: str = "doc_
     their text, and rows that repeat both id and text are one document, given back as often as
     they came; texts of any length are taken whole; an empty table gives no rows.
     """
-    rows = _documents(docs, id_col, text_col)
-    found = repeats(rows, width, seed, bits)
+    rows, scratch = _documents(docs, id_col, text_col), Scratch(docs.sparkSession)
+    found = repeats(rows, width, seed, scratch, bits)
     lists = cut(spans(found, width).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    _release(docs.sparkSession)
+    scratch.close()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

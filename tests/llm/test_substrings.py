@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from almanac.llm import queries, substrings
+from almanac.llm import common, queries, substrings
 from tests.oracle import check
 
 
@@ -69,6 +69,6 @@ def test_defined_cases(spark):
 def test_spans_tell_their_sources(spark):
     text = " ".join(map(str, range(60)))
     df = spark.createDataFrame([(1, "head " + text), (2, text + " tail"), (3, "x " + text[: text.index(" 40")])], "doc_id long, text string")
-    found = substrings.repeats(substrings._documents(df, "doc_id", "text"), 20, 5)
+    found = substrings.repeats(substrings._documents(df, "doc_id", "text"), 20, 5, common.Scratch(spark))
     got = sorted((r["id"], r["start"], r["stop"], r["source"]["id"], r["source"]["start"]) for r in substrings.spans(found, 20).collect())
     assert got == [(2, 0, 60, 1, 1), (3, 1, 41, 1, 1)]
