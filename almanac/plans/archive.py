@@ -555,8 +555,7 @@ def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in a language's own order, in which case comes last."""
     names = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("n_name"))
-    listed = ordered.by_locale(names, "n_name", "n_name").coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
-    return listed.select("n_name", "place")
+    return ordered.total_rank(names, [F.collate("n_name", "he"), "n_name"], "place")
 
 
 @query("SELECT cast(s_suppkey AS VARCHAR) AS value FROM supplier WHERE starts_with(cast(s_suppkey AS VARCHAR), '1') OR starts_with(cast(s_nationkey AS VARCHAR), '1') ORDER BY 1 LIMIT 10")

@@ -138,8 +138,7 @@ def derbies(head_to_head: DataFrame) -> tuple[DataFrame, DataFrame]:
     rivals = joins.alias_pick(wanted, head_to_head, "opponent", ["played", "opponent_tm_id"]).withColumn("win_pct", S.win_rate("wins", "played"))
     aliases = wanted.select(F.explode("aliases").alias("opponent"))
     others = joins.unknown(head_to_head, aliases, ["opponent"]).withColumn("win_pct", S.win_rate("wins", "played"))
-    ranked = others.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("played"), "opponent")))  # opponents are few
-    return rivals, ranked.orderBy("rank")
+    return rivals, ordered.total_rank(others, [F.desc("played"), "opponent"])
 
 
 def campaigns(fixtures: DataFrame) -> DataFrame:

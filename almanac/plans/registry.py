@@ -46,6 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[spark]
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder, so that rows and their places stay the same however often they are read."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

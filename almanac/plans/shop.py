@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.operators import translation
+from almanac.functions import terms
+from almanac.operators import ordered, translation
 from almanac.operators.translation import Rule
 from almanac.plans.registry import query, shared_dir, table
 from almanac.streaming import keyed, runs, state
@@ -171,3 +172,54 @@ def client_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         keyed.run(keyed.upserts(source, "client_id", ["seq", "change_id"], ["segment", "city"], "gone", "valid_at"), f"{name}/out", f"{name}/log")
     told = spark.read.parquet(f"{name}/out").drop("batch")
     return told.select("client_id", "change_id", "action", "segment", "city", "old_segment", "old_city", F.date_format("last_checked", "yyyy-MM-dd HH:mm:ss").alias("last_checked"))
+
+
+@query("SELECT sale_id, total, row_number() OVER (ORDER BY total DESC NULLS LAST, sale_id NULLS LAST) AS rank FROM sales")
+def sales_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sale's rank by its total, without one task that sees them all."""
+    return ordered.total_rank(table(spark, sf_dir, "sales").select("sale_id", "total"), [F.desc_nulls_last("total"), F.asc_nulls_last("sale_id")])
+
+
+@query(
+    """
+    WITH c AS (SELECT client_id, valid_at, arg_max({'segment': segment, 'city': city, 'seq': seq}, {'s': seq, 'i': change_id}) AS x FROM client_changes WHERE client_id IS NOT NULL AND valid_at IS NOT NULL GROUP BY 1, 2)
+    SELECT s.sale_id, s.client_id, c.x.segment AS segment, c.x.city AS city, c.x.seq AS seq, strftime(c.valid_at, '%Y-%m-%d %H:%M:%S') AS since
+    FROM sales s ASOF LEFT JOIN c ON s.client_id = c.client_id AND s.sold_at >= c.valid_at"""
+)
+def sale_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sale with its client's segment as it was then: the last change that isn't later (the latest line-up's captain)."""
+    sales, changes = table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at"), table(spark, sf_dir, "client_changes")
+    found = ordered.as_of(sales, changes, "client_id", "sold_at", "valid_at", ["segment", "city", "seq"], ["seq", "change_id"], time="since")
+    return found.select("sale_id", "client_id", "segment", "city", "seq", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query(
+    r"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS w FROM documents),
+    terms AS (SELECT w FROM t WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY w ORDER BY count(*) DESC, w LIMIT 250),
+    hits AS (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS kinds FROM t SEMI JOIN terms USING (w) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_terms, coalesce(kinds, 0) AS n_kinds FROM documents LEFT JOIN hits USING (doc_id)"""
+)
+def many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 250 most frequent words found in whole texts by one automaton."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.expr(r"regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+', 0)")).alias("w")).filter(F.col("w").rlike("^[a-z]{4,}$"))
+    frequent = [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(250).collect()]
+    found = docs.select("doc_id", terms.find({w: w for w in frequent})(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_kinds"))
+
+
+@query(
+    """
+    SELECT c.client_id, concat_ws(',', CASE WHEN n.n_name IS NOT NULL THEN n.n_name || '!' END, CASE c.client_id % 3 WHEN 0 THEN 'United States' WHEN 1 THEN 'Côte d''Ivoire' END) AS countries
+    FROM clients c LEFT JOIN nation n ON n.n_nationkey = c.nation_id"""
+)
+def client_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries in a text by a list of names and the usual aliases."""
+    nations = table(spark, sf_dir, "nation")
+    names = {r["n_name"]: f"{r['n_name']}!" for r in nations.select("n_name").collect()}  # the nations of the world
+    alias = F.when(F.col("client_id") % 3 == 0, " usa;").when(F.col("client_id") % 3 == 1, "/ COTE  D'IVOIRE, ").otherwise("Usaland")
+    side = nations.select(F.col("n_nationkey").alias("nation_id"), F.lower("n_name").alias("nation"))
+    text = F.concat_ws(" ", F.lit("from"), "nation", F.lit(","), alias, F.lit("xusa"))
+    rows = table(spark, sf_dir, "clients").select("client_id", "nation_id").join(side, "nation_id", "left")
+    return rows.select("client_id", F.array_join(terms.countries(names)(text), ",").alias("countries"))

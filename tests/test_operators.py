@@ -216,3 +216,34 @@ def test_formats(spark):
 
     df = spark.createDataFrame([(1, 3, 1234567, ["a", None, "b"]), (0, 0, None, [])], "w int, p int, n long, xs array<string>")
     assert [tuple(r) for r in df.select(S.percent_text("w", "p"), S.thousands("n"), S.listed("xs")).collect()] == [("33.3%", "1,234,567", "a, b"), ("—%", None, "")]
+
+
+def test_total_rank_over_many_tasks(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 1009).alias("v"), "id", F.when(F.col("id") % 9 == 0, None).otherwise(1).alias("_id"))
+    ranked = ordered.total_rank(df.repartition(7), [F.desc("v"), "id"], "place")
+    assert ranked.columns == ["v", "id", "_id", "place"]
+    want = sorted(((r["v"], r["id"]) for r in df.collect()), key=lambda x: (-x[0], x[1]))
+    assert [(r["v"], r["id"]) for r in ranked.orderBy("place").collect()] == want
+    assert sorted(r["place"] for r in ranked.collect()) == list(range(1, 3001))
+    assert ordered.total_rank(df.limit(0), ["id"]).count() == 0
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.7])
+def test_as_of_hands_rows_on_between_tasks(spark, hot):
+    import random
+
+    rng = random.Random(3)
+    key = lambda: "hot" if rng.random() < hot else rng.choice(["a", "b", "c", None])
+    time = lambda: rng.choice([None, *range(40)])
+    left = [(i, key(), time()) for i in range(600)]
+    right = [(i, key(), time(), rng.choice([None, f"v{i}"])) for i in range(150)]
+    l, r = spark.createDataFrame(left, "i int, k string, t int"), spark.createDataFrame(right, "n int, k string, t int, v string")
+    got = {x["i"]: (x["v"], x["n"], x["since"]) for x in ordered.as_of(l.repartition(5), r, "k", "t", "t", ["v", "n"], ["n"], time="since").collect()}
+    want = {}
+    for i, k, t in left:
+        found = max(((u, n, v) for n, j, u, v in right if k is not None and j == k and t is not None and u is not None and u <= t), default=None, key=lambda x: x[:2])
+        want[i] = (found[2], found[1], found[0]) if found else (None, None, None)
+    assert got == want
+    assert ordered.as_of(l, r.limit(0), "k", "t", "t", ["v"], ["n"]).filter("v IS NULL").count() == 600 and ordered.as_of(l.limit(0), r, "k", "t", "t", ["v"], ["n"]).count() == 0

@@ -1,13 +1,15 @@
 """Scalar rules on their boundary cases."""
 
 import datetime
+import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from almanac.functions import scalars as S
-from almanac.functions.terms import countries, greedy
+from almanac.functions.terms import Matcher, countries
 
 
 def over(spark, column, values, schema="a string"):
@@ -89,6 +91,38 @@ def test_countries(spark):
     assert found == [["Israel", "Côte d'Ivoire"], ["Nigeria", "Niger"], ["United States"], [], [], []]
 
 
+def slow_terms(text, vocabulary):
+    """Each term searched by itself: longer ones first, then in order, from left to right."""
+    low = " ".join(text.translate(str.maketrans(",;|/", "    ")).split()).lower()
+    taken, found = [False] * len(low), []
+    for term in sorted(vocabulary, key=lambda t: (-len(t), t)):
+        for at in range(len(low) - len(term) + 1):
+            end = at + len(term)
+            whole = not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum())
+            if low[at:end] == term and whole and not any(taken[at:end]):
+                taken[at:end] = [True] * len(term)
+                found.append((at, vocabulary[term]))
+    return [n for _, n in sorted(found)]
+
+
 def test_greedy_takes_the_longer_term():
-    assert greedy("the United States of America", {"united states of america": "A", "united states": "B", "america": "C"}, ["united states of america", "united states", "america"]) == ["A"]
-    assert greedy("aa aa aa", {"aa aa": "P", "aa": "S"}, ["aa aa", "aa"]) == ["P", "S"]
+    assert Matcher({"United States of America": "A", "united states": "B", "america": "C"}).find("the United States of America") == ["A"]
+    assert Matcher({"aa aa": "P", "aa": "S"}).find("aa aa aa") == ["P", "S"]
+    assert Matcher({}).find("aa") == Matcher({"": "x", "aa": "S"}).find(None) == []
+    rng = random.Random(4)
+    for _ in range(300):
+        terms = {"".join(rng.choice("ab é-") for _ in range(rng.randrange(1, 5))).strip() or "a": str(i) for i in range(rng.randrange(1, 12))}
+        text = "".join(rng.choice("aabB é,-  /") for _ in range(rng.randrange(0, 40)))
+        assert Matcher(terms).find(text) == slow_terms(text, terms)
+
+
+def test_many_terms_cost_no_more_than_few():
+    text = " ".join(f"word{i % 97} other" for i in range(3000))
+    few, many = Matcher({"word1": "x"}), Matcher({f"word{i}x{j}": "x" for i in range(100) for j in range(200)} | {"word1": "x"})
+    took = []
+    for m in (few, many, few, many):
+        began = time.process_time()
+        for _ in range(20):
+            assert len(m.find(text)) == 31
+        took.append(time.process_time() - began)
+    assert min(took[1::2]) < 5 * min(took[::2])  # twenty thousand terms
