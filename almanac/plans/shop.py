@@ -12,7 +12,7 @@ from almanac.functions import terms
 from almanac.operators import ordered, translation
 from almanac.operators.translation import Rule
 from almanac.plans.registry import query, shared_dir, table
-from almanac.streaming import keyed, runs, state
+from almanac.streaming import keyed, runs, state, windows
 
 #: A dictionary made of the items' and vendors' words: some reviewed, some empty, some unknown, words repeated.
 _DICTIONARY = """
@@ -223,3 +223,26 @@ def client_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(" ", F.lit("from"), "nation", F.lit(","), alias, F.lit("xusa"))
     rows = table(spark, sf_dir, "clients").select("client_id", "nation_id").join(side, "nation_id", "left")
     return rows.select("client_id", F.array_join(terms.countries(names)(text), ",").alias("countries"))
+
+
+@query(
+    """
+    WITH e AS (SELECT DISTINCT click_id, ts, kind, value FROM clicks WHERE ts IS NOT NULL AND click_id IS NOT NULL),
+    w AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, sum(CAST(round(value * 100) AS bigint)) AS total FROM e WHERE kind = 'view' GROUP BY 1),
+    b AS (SELECT start, total, epoch(start)::BIGINT // 300 AS slot FROM w WHERE total > 2500),
+    r AS (SELECT *, lag(slot, 2) OVER (ORDER BY slot) AS before FROM b)
+    SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, CAST(total AS bigint) AS total FROM r WHERE slot - before = 2"""
+)
+def streamed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three breaching periods in a row, told by a stream of late and repeated clicks in the order of their arrival."""
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    clicks = table(spark, sf_dir, "clicks").filter("ts IS NOT NULL AND click_id IS NOT NULL").select("click_id", "ts", "arrived_at", F.when(F.col("kind") == "view", F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    # No click comes sixty days late, so none is dropped; the last row only moves the watermark behind all others.
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("click_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), F.lit(None).cast("timestamp_ntz").alias("arrived_at"), F.lit(None).cast("long").alias("cents"))
+    arrived = F.col("arrived_at") < F.lit("2024-03-01").cast("timestamp_ntz")
+    for part in (clicks.filter(arrived), clicks.filter(~F.coalesce(arrived, F.lit(False))), end):
+        part.write.mode("append").parquet(f"{name}/in")
+        source = spark.readStream.schema(clicks.schema).parquet(f"{name}/in")
+        alarms = windows.stream_alarms(source, "ts", F.col("cents"), 2500, 5, "60 days", "click_id")
+        alarms.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{name}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "total")

@@ -99,7 +99,7 @@ def upserts(changes: DataFrame, key: str, order: Sequence[str], values: Sequence
     names = _columns(len(order), len(values))
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     columns = [F.col(key), *(F.col(c).cast("long") for c in order), F.coalesce(F.col(gone), F.lit(False)), micros, *(F.col(v).cast("string") for v in values)]
-    own = changes.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), *([F.col(at).alias("ts")] if delay else []))
+    own = changes.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), *([F.col(at).cast("timestamp").alias("ts")] if delay else []))
     own = own.filter(" AND ".join(f"{c} IS NOT NULL" for c in names[: len(order) + 1]))
     kind = own.schema["k"].dataType
 

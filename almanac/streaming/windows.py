@@ -41,3 +41,23 @@ def sessions(df: DataFrame, ts: str, key: str, gap: str, late: str | None = None
     """(key, start, stop, n) of runs of events with no pause as long as the gap."""
     rows = df.withWatermark(ts, late) if late else df
     return rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+
+
+def stream_alarms(events: DataFrame, ts: str, measure: Column, threshold: float, minutes: int, delay: str, id_col: str | None = None, consecutive: int = 3) -> DataFrame:
+    """(start, total): the periods of a stream that end `consecutive` adjoining ones whose sum breaches the threshold.
+
+    Windows over windows: the sums of periods are final once the watermark has passed them, and
+    go as events of their own time into longer sliding windows that count breaches.  Rows later
+    than `delay` are dropped, and so are rows whose `id_col` has come within it already; rows
+    without a time have no period, rows without a measure add nothing.  Append mode tells each
+    alarm once, when no row that counts can change it any more.
+    """
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)  # watermarks know no times without a zone
+    if id_col:
+        rows = rows.dropDuplicatesWithinWatermark([id_col])
+    period, reach = f"{minutes} minutes", f"{minutes * consecutive} minutes"
+    sums = rows.groupBy(F.window(ts, period)).agg(F.sum(measure).alias("total"))
+    breaches = sums.filter(F.col("total") > threshold).select(F.window_time("window").alias("at"), F.col("window.start").alias("start"), "total")
+    last = F.max(F.struct("start", "total")).alias("last")
+    runs = breaches.groupBy(F.window("at", reach, period).alias("run")).agg(F.count("*").alias("n"), last)
+    return runs.filter(F.col("n") == consecutive).select("last.start", "last.total")

@@ -36,3 +36,34 @@ def test_tombstones_expire(spark, tmp_path):
     ran(spark, tmp_path, [("a", 9, True, 1, None, None)], **more)
     ran(spark, tmp_path, [("z", 1, False, 50, "later", "0")], **more)  # moves the watermark over the tombstone's time
     assert ran(spark, tmp_path, [("z", 2, False, 55, "later", "0"), ("a", 1, False, 56, "back", "0")], **more)["a"][:2] == ("created", "back")
+
+
+def test_alarms_of_a_stream(spark, tmp_path):
+    """Late rows within the delay count, later ones don't; repeated ones count once; an alarm is told once."""
+    from pyspark.sql import functions as F
+
+    from almanac.streaming import windows
+
+    schema, source = "id int, ts timestamp, v int", tmp_path / "in"
+    at = lambda m: None if m is None else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+
+    def run(*rows):
+        spark.createDataFrame([(i, at(m), v) for i, m, v in rows], schema).write.mode("append").parquet(str(source))
+        alarms = windows.stream_alarms(spark.readStream.schema(schema).parquet(str(source)), "ts", F.col("v"), 5, 5, "20 minutes", "id")
+        alarms.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/out").collect() if list((tmp_path / "out").glob("*.parquet")) else []
+        return sorted((int((r["start"] - at(0)).total_seconds()) // 60, r["total"]) for r in got)
+
+    assert run((1, 0, 9), (2, 6, 9), (3, 11, 3), (3, 12, 3), (4, None, 9), (5, 13, None)) == []
+    assert run((6, 11, 4), (7, 25, 9), (8, 16, 6)) == []  # late, but in time: the third period breaches too
+    assert run((9, 100, 1)) == [(10, 7), (15, 6)]
+    assert run((10, 3, 99), (11, 30, 99), (12, 200, 1)) == [(10, 7), (15, 6)]  # too late
+
+
+def test_clashing_names(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, False, "x")], "gone string, k long, flag boolean, ts string")
+    rows.withColumn("micros", rows["k"].cast("timestamp")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("gone string, k long, flag boolean, ts string, micros timestamp").parquet(f"{tmp_path}/in")
+    keyed.run(keyed.upserts(stream, "gone", ["k"], ["ts"], "flag", "micros"), f"{tmp_path}/out", f"{tmp_path}/log")
+    (row,) = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert (row["gone"], row["k"], row["action"], row["ts"], row["old_ts"]) == ("a", 1, "created", "x", None)
