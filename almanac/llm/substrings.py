@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,16 +53,17 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def paths(words: np.ndarray, width: int, seed: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, edges, minimizer, name) of a document's paths; every window is an edge of exactly one.
+def paths(words: np.ndarray, sizes: np.ndarray, width: int, seed: int, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """(document, start, edges, minimizer, name) of the paths of documents laid one behind the other, `sizes` words each.
 
-    A window's minimizer is the leftmost smallest hash of `seed` words in it.  It depends on the
-    window's words alone, so equal windows have equal minimizers at equal places.  The name
-    covers all words of the path and the place of the minimizer, in so many `bits`.
+    Every window within a document is an edge of exactly one path.  A window's minimizer is the
+    leftmost smallest hash of `seed` words in it.  It depends on the window's words alone, so
+    equal windows have equal minimizers at equal places.  The name covers all words of the path
+    and the place of the minimizer, in so many `bits`.
     """
-    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    ends = np.cumsum(sizes)
     if len(words) < width:
-        return none
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     h, w = grams(words, seed), grams(words, width)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     span, reach = width - seed + 1, 1
@@ -70,14 +72,19 @@ def paths(words: np.ndarray, width: int, seed: int, bits: int = 64) -> tuple[np.
     if reach < span:
         low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
     at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    edges = np.diff(np.r_[start, len(at)])
+    document = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+    inside = np.flatnonzero(np.arange(len(at)) + width <= ends[document])
+    at, document = at[inside], document[inside]
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (document[1:] != document[:-1])]) if len(at) else np.zeros(0, np.int64)
+    edges = np.diff(np.r_[first, len(at)])
+    start = inside[first]
     # A path has no more edges than a window has words, so its first and last window hold all its words.
     name = np.zeros(len(start), np.uint64)
-    for part in (w[start], w[start + edges - 1], edges.astype(np.uint64), (at[start] - start).astype(np.uint64)):
+    for part in (w[start], w[start + edges - 1], edges.astype(np.uint64), (at[first] - start).astype(np.uint64)):
         name = (name ^ part) * _A
         name ^= name >> np.uint64(32)
-    return start, edges, h[at[start]], name >> np.uint64(64 - bits)
+    document = document[first]
+    return document, start - (ends - sizes)[document], edges, h[at[first]], name >> np.uint64(64 - bits)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,6 +99,16 @@ def _cut_words(text: str) -> list[bytes]:
     return text.encode().split()  # of bytes: ASCII white space only
 
 
+def _parts(batch: pa.RecordBatch, column: int = 2, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of texts of about `size` bytes together, a longer text by itself."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def found_paths(rows: DataFrame, width: int, seed: int, bits: int = 64) -> DataFrame:
     """(minimizer, name, id, tie, start, edges) of all paths of all documents."""
     names = ["minimizer", "name", "id", "tie", "start", "edges"]
@@ -99,13 +116,12 @@ def found_paths(rows: DataFrame, width: int, seed: int, bits: int = 64) -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Hashes()
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                got = []
-                for text in part.column(2):
-                    words = _cut_words(text.as_py())
-                    got.append(paths(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), width, seed, bits))
-                start, edges, minimizer, name = (np.concatenate(x) for x in zip(*got, strict=True))
-                of = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
+            for part in _parts(batch):
+                texts = [_cut_words(x.as_py()) for x in part.column(2)]
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                words = np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
+                document, start, edges, minimizer, name = paths(words, sizes, width, seed, bits)
+                of = pa.array(document)
                 yield pa.record_batch([pa.array(minimizer.view(np.int64)), pa.array(name.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(edges.astype(np.int32))], names=names)
 
     return rows.select("id", "tie", "text").mapInArrow(tidied(work), "minimizer long, name long, id long, tie long, start int, edges int")
@@ -121,26 +137,31 @@ def spelled(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     lists = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "edges", "minimizer", "name", "first", "shared", "apart")).alias("asked"))
     names = ["id", "tie", "start", "edges", "key", "first", "whole", "digest"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(text: bytes, begins: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
         blake = hashlib.blake2b
+        return [blake(text[a:b], digest_size=8).digest() for a, b in zip(begins[start].tolist(), (begins[stop] - 1).tolist(), strict=True)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                words = _cut_words(batch.column(2)[k].as_py())
-                text = b" ".join(words)
-                begins = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)].tolist()
-                asked = batch.column(3).slice(k, 1).flatten()
-                out, sums = [], []
-                for s, n, minimizer, name, first, shared, apart in zip(*(asked.field(c).to_pylist() for c in range(7)), strict=True):
-                    if shared:
-                        out.append((s, n, name, first, True))
-                        sums.append(blake(text[begins[s] : begins[s + n + width - 1] - 1], digest_size=8).digest())
-                    if apart:
-                        out += [(x, 1, minimizer, first, False) for x in range(s, s + n)]
-                        sums += [blake(text[begins[x] : begins[x + width] - 1], digest_size=8).digest() for x in range(s, s + n)]
-                if out:
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
-                    made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.record_batch([pa.repeat(batch.column(0)[k], len(out)), pa.repeat(batch.column(1)[k], len(out)), *made, pa.array(np.frombuffer(b"".join(sums), np.int64))], names=names)
+            for part in _parts(batch):
+                rows, out, sums = [], [], []
+                for k in range(part.num_rows):
+                    words = _cut_words(part.column(2)[k].as_py())
+                    text = b" ".join(words)
+                    begins = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
+                    asked = part.column(3).slice(k, 1).flatten()
+                    start, edges, minimizer, name, first, shared, apart = (asked.field(c).to_numpy(zero_copy_only=False) for c in range(7))
+                    own = np.flatnonzero(shared)
+                    sums += digests(text, begins, start[own], start[own] + edges[own] + width - 1)
+                    each = np.repeat(np.flatnonzero(apart), edges[apart])
+                    at = start[each] + np.arange(len(each)) - np.searchsorted(each, each, "left")
+                    sums += digests(text, begins, at, at + width)
+                    rows.append(len(own) + len(each))
+                    out.append((np.r_[start[own], at], np.r_[edges[own], np.ones(len(each), np.int32)], np.r_[name[own], minimizer[each]], np.r_[first[own], first[each]], np.arange(rows[-1]) < len(own)))
+                of = pa.array(np.repeat(np.arange(len(rows)), rows))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
+                made = [pa.array(np.concatenate(x).astype(t.to_pandas_dtype()), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.record_batch([part.column(0).take(of), part.column(1).take(of), *made, pa.array(np.frombuffer(b"".join(sums), np.int64))], names=names)
 
     texts = rows.select("id", "tie", "text").join(lists, ["id", "tie"])
     return texts.select("id", "tie", "text", "asked").mapInArrow(tidied(work), "id long, tie long, start int, edges int, key long, first boolean, whole boolean, digest long")
