@@ -273,7 +273,7 @@ def filled_dictionary(mapping: DataFrame, backends: list[tuple[str, DataFrame]])
     """Q14: empty entries, or ones without origin, filled by the first backend (category, en, he) that knows them; the last resort spells out."""
     needs = (F.coalesce("he", F.lit("")) == "") | F.col("src").isNull()
     for name, table in backends:
-        side = table.filter("he <> ''").select("category", "en", F.col("he").alias("_he")).dropDuplicates(["category", "en"])
+        side = table.filter("he <> ''").groupBy("category", "en").agg(F.max("he").alias("_he"))  # of repeated keys the greatest, as in a fallback chain
         hit = needs & F.col("_he").isNotNull()
         mapping = mapping.join(side, ["category", "en"], "left").withColumns({"he": F.when(hit, F.col("_he")).otherwise(F.col("he")), "src": F.when(hit, F.lit(name)).otherwise(F.col("src"))}).drop("_he")
     spell = needs & S.is_latin("en")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from almanac.functions import terms
 from almanac.operators import ordered, translation
 from almanac.operators.translation import Rule
+from almanac.plans import ask
 from almanac.plans.registry import query, shared_dir, table
+from almanac.sources import files
 from almanac.streaming import keyed, runs, state, windows
 
 #: A dictionary made of the items' and vendors' words: some reviewed, some empty, some unknown, words repeated.
@@ -246,3 +248,28 @@ def streamed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
         alarms = windows.stream_alarms(source, "ts", F.col("cents"), 2500, 5, "60 days", "click_id")
         alarms.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{name}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "total")
+
+
+@query("SELECT brand, kinds FROM (SELECT brand, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds, count(*) FILTER (kind = 'toys') AS toys FROM items WHERE brand IS NOT NULL GROUP BY brand) WHERE toys > 0 ORDER BY brand LIMIT 10")
+def listed_printouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on members of lists, and lists shown with commas."""
+    brands = table(spark, sf_dir, "items").filter("brand IS NOT NULL").groupBy("brand").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return ask.execute(brands, "[[kinds::toys]] |?brand |?kinds", ["brand"], "brand")
+
+
+@query("SELECT m.month, count(s.sale_id) > 0 AS there FROM (SELECT unnest(['2023-12', '2024-01', '2024-02', '2024-03', '2024-04', '2024-05']) AS month) m LEFT JOIN sales s ON strftime(s.sold_at, '%Y-%m') = m.month GROUP BY m.month")
+def month_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which months have sales; one that must have some and has none would be an error."""
+    sales, months = table(spark, sf_dir, "sales"), ["2023-12", "2024-01", "2024-02", "2024-03", "2024-04", "2024-05"]
+    found = [(m, files.expect_rows(sales.filter(F.date_format("sold_at", "yyyy-MM") == m), m, critical=m == "2024-01")) for m in months]
+    return spark.createDataFrame(found, "month string, there boolean")
+
+
+@query("SELECT name AS title, CASE WHEN vendor_id % 3 = 0 THEN 'skipped' ELSE 'created' END AS action FROM vendors")
+def seeds_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds whose digest is as it was, in another order: pages that exist are skipped (K9)."""
+    vendors = table(spark, sf_dir, "vendors")
+    titles = vendors.select(F.col("name").alias("title"))
+    digest = lambda df: files.seed_digest(df.select(F.col("title").alias("text"))).first()
+    there = vendors.filter("vendor_id % 3 = 0").select(F.col("name").alias("title"), F.lit("by hand").alias("summary"))
+    return state.seed_plan(titles, there, digest(titles) != digest(titles.repartition(5).orderBy(F.desc("title"))))
