@@ -275,30 +275,31 @@ def audit(nodes: DataFrame, parts: DataFrame, threshold: float, asked: int, seed
     strata = {r["stratum"]: r["count"] for r in of.groupBy("stratum").count().collect()}
     while strata:
         drawn = [of.filter(F.col("stratum") == s).orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(asked).select("node") for s in strata]
-        chosen = nodes.select("node", "grp", "v").join(reduce(DataFrame.union, drawn), "node", "left_semi").collect()
-        whole = len(chosen) == sum(strata.values())
+        chosen = nodes.select("node", "grp", "v").join(reduce(DataFrame.union, drawn), "node", "left_semi").toArrow().combine_chunks()
+        whole = chosen.num_rows == sum(strata.values())
         ca, cb = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("stratum").alias(f"s{x}")) for x in "ab")
         true = _links_of(chosen, nodes, threshold).join(ca, "a").join(cb, "b")
         shares = true.groupBy("sa", "a").agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("share"))
         got = shares.groupBy("sa").agg(F.count("*").alias("n"), F.avg("share").alias("mean"), F.min("share").alias("least")).collect()
-        log.info("audit of %d nodes: %s", len(chosen), [(r["sa"], r["n"], r["mean"]) for r in got])
+        log.info("audit of %d nodes: %s", chosen.num_rows, [(r["sa"], r["n"], r["mean"]) for r in got])
         if whole:
             return all(r["least"] == 1 for r in got)
         if got:
             return all(r["mean"] >= recall for r in got)
         if asked >= most:
             return False
-        asked *= 4
+        asked = min(4 * asked, most)
     return True
 
 
-def _links_of(chosen: list, nodes: DataFrame, threshold: float) -> DataFrame:
+def _links_of(chosen: pa.Table, nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): every link of the chosen (node, grp, v), against all nodes."""
-    ids = np.array([r["node"] for r in chosen], np.int64)
+    ids, lists = chosen.column("node").to_numpy(), chosen.column("v").combine_chunks()
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     own: dict[str, list[int]] = {}
-    for i, r in enumerate(chosen):
-        own.setdefault(r["grp"], []).append(i)
-    by = {g: (ids[at], unit(np.array([chosen[i]["v"] for i in at]))) for g, at in own.items()}
+    for i, g in enumerate(chosen.column("grp").to_pylist()):
+        own.setdefault(g, []).append(i)
+    by = {g: (ids[rows], unit(np.stack([flat[at[r] : at[r + 1]] for r in rows]))) for g, rows in own.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -125,3 +125,10 @@ l AS (SELECT *, (""" + " + ".join(f"CASE WHEN {fails} THEN {1 << i} ELSE 0 END"
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {bits(BASE)}) <> 0 AS base_failed,
        (failed & {bits(POLICIES["v1"])}) = 0 AS kept, failed, n_lines, n_shouted
 FROM l"""
+
+#: Ablations of a policy in DuckDB: each of its rules in turn over the ledger's masks.
+ABLATIONS = f"WITH ledger AS ({SQL}), m AS (SELECT failed & {bits(POLICIES['v1'])} AS f FROM ledger)" + " UNION ALL ".join(
+    f" SELECT 'v1' AS policy, '{name}' AS rule, count(*) FILTER (f & {1 << i} <> 0) AS n_failed, count(*) FILTER (f = {1 << i}) AS n_only, count(*) FILTER (f & ~{1 << i} = 0) AS n_kept_without FROM m"
+    for i, (name, _) in enumerate(RULES)
+    if bits(POLICIES["v1"]) >> i & 1
+)

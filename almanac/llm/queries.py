@@ -51,6 +51,11 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_shouted")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy decides, by bitwise aggregation over the ledger's masks."""
+    return quality_rules.ablations(quality_rules.ledger(documents(spark, sf_dir)), "v1")
+
+
 def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity_mil": op6_toxicity_mil,
         "op7_secret_linking": op7_secret_linking,
         "op8_rule_ledger": op8_rule_ledger,
+        "quality_ablations": quality_ablations,
         "op9_nbsvm_quality": op9_nbsvm_quality,
         "op10_arc_to_warc": op10_arc_to_warc,
         "op11_alignment": op11_alignment,
@@ -95,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_nn_descent": nn_descent.SQL,
         "op7_secret_linking": secrets.SQL,
         "op8_rule_ledger": quality_rules.SQL,
+        "quality_ablations": quality_rules.ABLATIONS,
         "op10_arc_to_warc": warc.SQL,
         "op12_rolling_median": rolling_median.SQL,
         "op13_substrings": substrings.SQL,

@@ -277,3 +277,7 @@ def test_members_of_any_size_end_alike():
     for size in (0, 10, (1 << 24) - 1, 1 << 24, (1 << 24) + 5):
         made = warc.member(b"a" * size)
         assert made[-1] == 0 and len(gzip.decompress(made)) == size
+
+
+def test_ablations_of_the_whole_table(spark, small):
+    check(spark, small, queries.quality_ablations, quality_rules.ABLATIONS)
