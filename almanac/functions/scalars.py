@@ -191,8 +191,19 @@ def pivot_year(yy: Column | str, cutoff: int = C.PIVOT) -> Column:
     return F.when(y >= 100, y).when(y >= cutoff, y + 1900).otherwise(y + 2000)
 
 
+#: What a text of each form looks like; a text is parsed by its own form only, since a failed attempt is dear.
+_SHAPES = {
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMMM d, yyyy": r"^[A-Za-z]{4,} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,} \d{4}$",
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$", "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$", "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+}
+
+
 def _parsed(s: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats))
+    found = F.lit(None).cast("date")
+    for f in reversed(formats):
+        found = F.when(s.rlike(_SHAPES[f]), F.to_date(F.try_to_timestamp(s, F.lit(f)))).otherwise(found)
+    return found
 
 
 DATES = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")
