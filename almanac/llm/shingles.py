@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, row_key, small_side, spread_join, tidied
+from .common import Scratch, connected_components, cut, row_key, small_side, spread_join, tidied
 
 #: Bands of minima, and minima in each.
 BANDS, ROWS = 32, 5
@@ -247,6 +247,7 @@ def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size:
             yield from told()
 
     sets = cut(own.mapInArrow(tidied(made), "node long, sketch binary, grams binary"))
+    Scratch(live.sparkSession).release()
     rows = _cells(live, size).join(sets, "node").select("block", "node", "component", "t", "first", "alone", "sketch", "grams")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(work), "a long, b long")
 
@@ -259,14 +260,19 @@ def grouped(classes: DataFrame, hints: DataFrame, texts: DataFrame, width: int,
     found so far is checked, so no link that a band shows is lost.
     """
     keys, worded = classes.select("key", "node"), classes.filter("n > 0")
+    give_back = Scratch(classes.sparkSession).release  # shuffle files of what has been cut
     shared = cut(banded(worded))
+    give_back()
     met = shared.filter("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("x"))
     first = met.select(F.col("x.pivot").alias("a"), F.col("node").alias("b")).unionByName(hints.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     first = cut(first)
     links = cut(checked(first, texts, keys, width, similarity))
+    give_back()
     parts = cut(connected_components(links))
+    give_back()
     live = shared.select("band", "t", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     live = cut(spread_join(live, mixed, "band", "node", "left_semi"))
+    give_back()
     found = cut(across(live, of_nodes(texts, keys, live), width, similarity))
     return parts if found.isEmpty() else cut(connected_components(links.unionByName(found)))
