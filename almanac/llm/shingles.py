@@ -106,8 +106,9 @@ def banded(classes: DataFrame) -> DataFrame:
     """(band, t, node, pivot) of all classes (node, sketch) that share the minima of band number t with another."""
     minima = f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {4 * ROWS} + 1, {4 * ROWS})))"
     placed = classes.select("node", F.posexplode(F.expr(minima)).alias("t", "band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("many"), F.min("node").alias("pivot")).filter("many > 1")
-    return placed.join(shared, "band").select("band", "t", "node", "pivot")
+    shared = cut(placed.groupBy("band").agg(F.count("*").alias("many"), F.min("node").alias("pivot")).filter("many > 1"))
+    counts = shared.select("band", F.col("many").alias("_rows"))
+    return spread_join(placed, shared.drop("many"), "band", "node", counts=counts).select("band", "t", "node", "pivot")
 
 
 def of_nodes(texts: DataFrame, keys: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, width: int, sim
             ok = []
             for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p = shingles(x.as_py())
-                if b != last:  # rows come sorted by their second end
+                if b != last:  # joins leave rows of one end together
                     last, q = b, shingles(y.as_py())
                 ok.append(alike(p, q, similarity))
             mask = pa.array(ok, pa.bool_())
@@ -138,7 +139,8 @@ def checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, width: int, sim
 
     own = of_nodes(texts, keys, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     of = lambda end: own.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(tidied(work), "a long, b long")
+    met = spread_join(spread_join(pairs, of("a"), "a", "b"), of("b"), "b", "a")
+    return met.select("a", "b", "ta", "tb").mapInArrow(tidied(work), "a long, b long")
 
 
 def _cells(live: DataFrame, size: int) -> DataFrame:
@@ -146,65 +148,118 @@ def _cells(live: DataFrame, size: int) -> DataFrame:
 
     Components of over `size` members have cells of their own, and pairs of cells of one
     component are left out, so a family of copies of any size meets only what isn't in it.
+    Blocks are named by all that makes them, so no two share a name.
     """
-    parts = live.groupBy("band", "component").agg(F.count("*").alias("c"))
+    live = live.withColumn("part_of", F.concat_ws(":", "band", "component"))
+    parts = live.groupBy("part_of", "band", "component").agg(F.count("*").alias("c"))
     total = parts.groupBy("band").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") <= size, F.col("c")).otherwise(0)).alias("mixed"))
     parts = cut(parts.join(total, "band"))
-    small = parts.filter(F.col("total") <= size).select("band").distinct()
-    few = live.join(small, "band", "left_semi").select(F.xxhash64("band").alias("block"), F.lit(True).alias("first"), F.lit(True).alias("alone"), "t", "node", "component")
-    big = parts.filter(F.col("total") > size)
-    whose = F.when(F.col("c") > size, F.col("component"))
+    big = cut(parts.filter(F.col("total") > size))
+    columns = [F.col("t"), F.col("node"), F.col("component")]
+    large = cut(big.select("band").distinct())
+    few = live.join(large, "band", "left_anti").select(F.col("band").cast("string").alias("block"), F.lit(True).alias("first"), F.lit(True).alias("alone"), *columns)
+    if large.isEmpty():
+        return few
     room = F.when(F.col("c") > size, F.ceil(F.col("c") / size)).otherwise(F.ceil(F.col("mixed") / size)).cast("int")
-    dealt = live.join(big, ["band", "component"]).withColumn("whose", whose)
-    dealt = dealt.withColumn("cell", F.struct(F.coalesce("whose", F.lit(-1)).alias("whose"), F.pmod(F.xxhash64(F.when(F.col("whose").isNull(), F.col("component")).otherwise(F.col("node"))), room).cast("int").alias("part")))
-    dealt = cut(dealt.select("band", "cell", "t", "node", "component"))
-    cells = dealt.select("band", "cell").distinct()
-    pairs = cells.join(cells.withColumnRenamed("cell", "other"), "band").filter("cell <= other AND NOT (cell.whose >= 0 AND cell.whose = other.whose)")
-    pairs = cut(pairs.withColumn("block", F.xxhash64("band", "cell", "other")))
-    alone = F.col("cell") == F.col("other")
-    one = dealt.join(pairs, ["band", "cell"]).select("block", F.lit(True).alias("first"), alone.alias("alone"), "t", "node", "component")
-    two = dealt.withColumnRenamed("cell", "other").join(pairs.filter(~alone), ["band", "other"]).select("block", F.lit(False).alias("first"), F.lit(False).alias("alone"), "t", "node", "component")
-    return few.unionByName(one).unionByName(two)
-
-
-def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size: int = 4096) -> DataFrame:
+    known = big.select("part_of", F.when(F.col("c") > size, F.col("component")).alias("whose"), room.alias("room"))
+    counts = big.select("part_of", F.col("c").alias("_rows"))
+    dealt = spread_join(live, known, "part_of", "node", counts=counts)
+    by = F.when(F.col("whose").isNull(), F.col("component")).otherwise(F.col("node"))
+    cell = F.concat_ws(".", F.coalesce("whose", F.lit(-1)), F.pmod(F.xxhash64(by), F.col("room")))
+    dealt = dealt.select("band", F.coalesce("whose", F.lit(-1)).alias("whose"), cell.alias("cell"), F.concat_ws(":", "band", cell).alias("place"), *columns)
+    dealt = cut(dealt)
+    cells = cut(dealt.groupBy("band", "whose", "cell", "place").agg(F.count("*").alias("_rows")))
+    others = cells.select("band", F.col("whose").alias("of"), F.col("cell").alias("other"), F.col("place").alias("there"))
+    pairs = cells.join(others, "band").filter("cell <= other AND NOT (whose >= 0 AND whose = of)")
+    pairs = cut(pairs.select("place", "there", F.concat_ws(":", "place", "other").alias("block"), (F.col("cell") == F.col("other")).alias("alone")))
+    sides = pairs.select("place", F.struct("block", F.lit(True).alias("first"), "alone").alias("x"))
+    sides = sides.unionByName(pairs.filter("NOT alone").select(F.col("there").alias("place"), F.struct("block", F.lit(False).alias("first"), "alone").alias("x")))
+    sides = sides.groupBy("place").agg(F.collect_list("x").alias("xs"))  # as many as a band has cells
+    met = spread_join(dealt, sides, "place", "node", counts=cells.select("place", "_rows"))
+    return few.unionByName(met.select(F.explode("xs").alias("x"), *columns).select("x.*", *columns))
+
+
+#: Columns of a block's rows beside its name.
+BESIDE = ["node", "component", "t", "first", "alone"]
+
+
+def _blocks(solve: Callable, columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hands block after block to `solve`: its name, the columns BESIDE, and as many binary columns as told."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if sum(h.num_rows for h in held) > 1:
+                table = pa.Table.from_batches(held)
+                beside = [table.column(i).to_numpy() for i in range(1, 1 + len(BESIDE))]
+                yield from solve(table.column(0)[0].as_py(), *beside, *([v.as_buffer() for v in table.column(1 + len(BESIDE) + i)] for i in range(columns)))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)].tolist()
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if held and block[x] != held[0].column(0)[0].as_py():
+                    yield from told()
+                    held = []
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from told()
+
+    return tidied(work)
+
+
+def _likely(least: float, component: np.ndarray, t: np.ndarray, first: np.ndarray, alone: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(share, i, j) of a block's pairs of different components whose minima agree in a share of `least` or more, some at a time."""
+    rows, others = (np.arange(len(t)),) * 2 if alone[0] else (np.flatnonzero(first), np.flatnonzero(~first))
+    step = max(1, (1 << 13) // max(1, len(others)))
+    for k in range(0, len(rows), step):
+        p, q = (x.ravel() for x in np.meshgrid(rows[k : k + step], others, indexing="ij"))
+        ok = (component[p] != component[q]) & (t[p] == t[q])
+        if alone[0]:
+            ok &= p < q
+        p, q = p[ok], q[ok]
+        same = sketch[p] == sketch[q]
+        share = same.mean(axis=1)
+        near = share >= least
+        p, q, share, same = p[near], q[near], share[near], same[near]
+        here = same.reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == t[p]
+        if here.any():
+            yield share[here], p[here], q[here]
+
+
+def _sketches(rows: list[pa.Buffer]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "<u4").reshape(len(rows), -1)
+
+
+def across(live: DataFrame, sketches: DataFrame, texts: DataFrame, keys: DataFrame, width: int, similarity: float, size: int = 4096) -> DataFrame:
     """(a, b): a forest, block by block, over the links between classes of a band and of different components.
 
     A pair counts in the first band that it shares.  Minima that agree in a share lower by 4.7
-    standard errors and more rule it out; what is left is checked on whole sets, likely pairs
-    first, and not where links found before have joined the two already.  So no pair leaves a
-    worker that isn't needed, however many there are.
+    standard errors and more rule it out.  So blocks are gone through twice: sketches, of 640
+    bytes whatever the text, tell who has a likely partner there, and only those send their whole
+    sets.  What is left is checked on them, likely pairs first, and not where links found before
+    have joined the two already.  No pair leaves a worker that isn't needed, however many there are.
     """
     least = similarity - 4.7 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sketch = shingler(width), sketcher()
+        shingles = shingler(width)
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                sets = [shingles(x.as_py()) for x in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array([sketch(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "sketch", "grams"])
-
-    def likely(component: np.ndarray, t: np.ndarray, sketch: np.ndarray, first: np.ndarray, alone: np.ndarray) -> Iterator[tuple[int, int]]:
-        rows, others = (np.arange(len(t)),) * 2 if alone[0] else (np.flatnonzero(first), np.flatnonzero(~first))
-        found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        step = max(1, (1 << 13) // max(1, len(others)))
-        for k in range(0, len(rows), step):
-            p, q = (x.ravel() for x in np.meshgrid(rows[k : k + step], others, indexing="ij"))
-            ok = (component[p] != component[q]) & (t[p] == t[q])
-            if alone[0]:
-                ok &= p < q
-            p, q = p[ok], q[ok]
-            same = sketch[p] == sketch[q]
-            share = same.mean(axis=1)
-            near = share >= least
-            p, q, share, same = p[near], q[near], share[near], same[near]
-            here = same.reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == t[p]
-            found.append((share[here], p[here], q[here]))
-        share, p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-        for k in np.argsort(-share, kind="stable"):
-            yield int(p[k]), int(q[k])
-
-    def solve(node, component, t, first, alone, sketch, grams) -> list[tuple[int, int]]:
+                yield pa.record_batch([part.column(0), pa.array([shingles(x.as_py()).tobytes() for x in part.column(1)], pa.binary())], names=["node", "grams"])
+
+    def sieve(block, node, component, t, first, alone, sketch) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(len(node), bool)
+        for _, p, q in _likely(least, component, t, first, alone, _sketches(sketch)):
+            wanted[p] = wanted[q] = True
+        if wanted.any():
+            columns = [pa.array(x[wanted]) for x in (node, component, t, first, alone)]
+            yield pa.record_batch([pa.array([block] * int(wanted.sum()), pa.string()), *columns], names=["block", *BESIDE])
+
+    def solve(block, node, component, t, first, alone, sketch, grams) -> Iterator[pa.RecordBatch]:
         root = {c: c for c in component.tolist()}
 
         def top(x: int) -> int:
@@ -213,43 +268,28 @@ def across(live: DataFrame, own: DataFrame, width: int, similarity: float, size:
             return x
 
         links, sets = [], [np.frombuffer(x, np.uint64) for x in grams]
-        for i, j in likely(component, t, sketch, first, alone):
-            a, b = top(int(component[i])), top(int(component[j]))
-            if a != b and alike(sets[i], sets[j], similarity):
-                root[a] = b
-                links.append((int(node[i]), int(node[j])))
-        return links
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
-
-        def told() -> Iterator[pa.RecordBatch]:
-            if sum(len(h[0]) for h in held) > 1:
-                *arrays, grams = zip(*held, strict=True)
-                if links := solve(*map(np.concatenate, arrays), [x for part in grams for x in part]):
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)]
-            edges = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if held and block[x] != last:
-                    yield from told()
-                    held = []
-                last = block[x]
-                sketch = np.frombuffer(b"".join(v.as_py() for v in batch.column(6)[x:y]), "<u4").reshape(y - x, -1)
-                held.append((*(c[x:y] for c in columns), sketch, [v.as_py() for v in batch.column(7)[x:y]]))
-        if held:
-            yield from told()
-
-    sets = cut(own.mapInArrow(tidied(made), "node long, sketch binary, grams binary"))
-    Scratch(live.sparkSession).release()
-    rows = _cells(live, size).join(sets, "node").select("block", "node", "component", "t", "first", "alone", "sketch", "grams")
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(work), "a long, b long")
+        for share, p, q in _likely(least, component, t, first, alone, _sketches(sketch)):
+            order = np.argsort(-share, kind="stable")
+            for i, j in zip(p[order].tolist(), q[order].tolist(), strict=True):
+                a, b = top(int(component[i])), top(int(component[j]))
+                if a != b and alike(sets[i], sets[j], similarity):
+                    root[a] = b
+                    links.append((int(node[i]), int(node[j])))
+        if links:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition("block").sortWithinPartitions("block")
+
+    give_back = Scratch(live.sparkSession).release
+    beside = "node long, component long, t int, first boolean, alone boolean"
+    cells = _cells(live, size)
+    open_ = cut(in_blocks(cells.join(sketches, "node").select("block", *BESIDE, "sketch")).mapInArrow(_blocks(sieve, 1), f"block string, {beside}"))
+    give_back()
+    sets = cut(of_nodes(texts, keys, open_).mapInArrow(tidied(made), "node long, grams binary"))
+    give_back()
+    rows = open_.join(sketches, "node").join(sets, "node").select("block", *BESIDE, "sketch", "grams")
+    return in_blocks(rows).mapInArrow(_blocks(solve, 2), "a long, b long")
 
 
 def grouped(classes: DataFrame, hints: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -274,5 +314,5 @@ def grouped(classes: DataFrame, hints: DataFrame, texts: DataFrame, width: int,
     mixed = live.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     live = cut(spread_join(live, mixed, "band", "node", "left_semi"))
     give_back()
-    found = cut(across(live, of_nodes(texts, keys, live), width, similarity))
+    found = cut(across(live, worded.select("node", "sketch"), texts, keys, width, similarity))
     return parts if found.isEmpty() else cut(connected_components(links.unionByName(found)))

@@ -97,6 +97,26 @@ def test_large_families_in_small_cells(spark, monkeypatch):
     assert sorted((False, r["doc_id"]) for r in got) == brute_kept(rows)
 
 
+def test_unlinked_families_send_no_sets(spark, monkeypatch):
+    """Texts that share bands but are never near: sketches rule them out, and many cells hold their family."""
+    monkeypatch.setattr(shingles.across, "__defaults__", (8,))
+    asked, of_nodes = [], shingles.of_nodes
+
+    def counted(texts, keys, nodes):
+        asked.append(nodes.select("node").distinct().count())
+        return of_nodes(texts, keys, nodes)
+
+    monkeypatch.setattr(shingles, "of_nodes", counted)
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join([*passage, *(f"own{rnd.random()}" for _ in range(90))])) for i in range(90)]
+    rows += [(1000 + i, " ".join(edited(rnd, [f"f{j}" for j in range(150)], 4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.keep_one(df, width=5, budget=3, similarity=0.8).collect()
+    assert sorted((False, r["doc_id"]) for r in got) == brute_kept(rows)
+    assert asked[0] > 40 and asked[1] <= 40  # pivots are checked first; of what is left only likely partners are asked for
+
+
 def test_sketches_estimate_similarity():
     rnd = random.Random(5)
     of, low = shingles.shingler(), shingles.sketcher()
