@@ -100,14 +100,16 @@ def merge_action(existing_content, new_content, summary, merged_content=None):
     return F.when(empty | S.own_edit(summary, merged=False), "clean_rewrite").when(merged == existing_content, "no_change").otherwise("surgical_merge")
 
 
-def seed_plan(seeds: DataFrame, existing: DataFrame, forced: bool) -> DataFrame:
+def seed_plan(seeds: DataFrame, existing: DataFrame, forced: bool, key: str = "title") -> DataFrame:
     """(title, action) of seed pages (K9): existing ones are touched only if the seeds' digest has changed, and not if people edited them since.
 
-    `existing` has title and the summary of its last revision.
+    `existing` has the key and the summary of its last revision.  Where titles aren't unique, another
+    `key` tells pages apart.  Every seed gives one row: of a key that exists repeatedly, one row
+    edited by people counts; a null key exists nowhere.
     """
-    side = existing.select("title", F.lit(True).alias("_there"), S.own_edit("summary", merged=False).alias("_own"))
+    side = existing.groupBy(F.col(key).alias("_key")).agg(F.lit(True).alias("_there"), F.bool_and(S.own_edit("summary", merged=False)).alias("_own"))
     action = F.when(F.col("_there").isNull(), "created").when(~F.lit(forced), "skipped").when(F.col("_own"), "updated").otherwise("preserved")
-    return seeds.select("title").join(side, "title", "left").select("title", action.alias("action"))
+    return seeds.select("title", F.col(key).alias("_key")).join(side, "_key", "left").select("title", action.alias("action"))
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:

@@ -1,5 +1,7 @@
 """Joins, merges and ordered operators on small cases with known answers."""
 
+import os
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -195,6 +197,29 @@ def test_seed_pages(spark):
     assert plan(False) == {"a": "created", "b": "skipped", "c": "skipped"}
 
 
+def test_seeds_of_one_title(spark):
+    """Every seed gives one row, whatever repeats, and pages of one title are told apart by another key."""
+    seeds = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (None, "b")], "id long, title string")
+    there = spark.createDataFrame([(1, "Auto-import: x"), (3, "by hand"), (3, "Auto-import: x"), (None, "by hand")], "id long, summary string")
+    plan = lambda forced: sorted((r["title"] or "", r["action"]) for r in state.seed_plan(seeds, there, forced, key="id").collect())
+    assert plan(True) == [("", "created"), ("", "preserved"), ("a", "created"), ("a", "updated"), ("b", "created")]
+    assert plan(False) == [("", "created"), ("", "skipped"), ("a", "created"), ("a", "skipped"), ("b", "created")]
+    by_title = spark.createDataFrame([("a", "by hand"), ("a", "Auto-import: x")], "title string, summary string")
+    assert sorted(r["action"] for r in state.seed_plan(seeds, by_title, True).collect()) == ["created", "created", "created", "preserved", "preserved"]
+
+
+def test_vendors_of_one_name(spark, tmp_path):
+    from almanac.plans import shop
+    from almanac.plans.registry import oracle_sql
+    from tests.oracle import check
+
+    rows = [(i, name, 1, 0.0) for i, name in [(0, "x"), (1, "x"), (2, "x"), (3, "x"), (4, None), (6, None), (None, "y"), (5, "y")]]
+    spark.createDataFrame(rows, "vendor_id long, name string, nation_id int, balance double").write.parquet(f"{tmp_path}/vendors.parquet")
+    for t in [t for t in os.listdir("/root/testdata/sf0.001") if t != "vendors.parquet"]:
+        os.symlink(f"/root/testdata/sf0.001/{t}", f"{tmp_path}/{t}")
+    check(spark, str(tmp_path), shop.seeds_again, oracle_sql()["seeds_again"])
+
+
 def test_entity_types(spark):
     rows = [(["Q5"], ["Q2736"], ""), (["Q5"], [], "Israeli footballer"), (["Q5"], [], "painter"), ([], [], "football"), (None, None, None), (["Q11410"], [], "")]
     df = spark.createDataFrame(rows, "c array<string>, s array<string>, d string")
