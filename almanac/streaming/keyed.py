@@ -1,7 +1,7 @@
 """Keyed state inside a stream: upserts that tell the row before, tombstones, and times of checks.
 
-The state lives in Spark's own store, key by key, so a batch touches only the keys it has, and a
-stream that is started again on its checkpoint goes on where it stopped.
+The state lives in Spark's own store, in buckets of keys, so a batch touches only the buckets of
+its keys, and a stream that is started again on its checkpoint goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,52 +37,84 @@ def _columns(orders: int, values: int) -> list[str]:
 
 
 class _Upserts(StatefulProcessor):
-    """Of a key's rows in a batch only the last counts; it is told beside what the state held."""
+    """Of a key's rows in a batch only the last counts; it is told beside what the state held.
 
-    def __init__(self, key: str, order: Sequence[str], values: Sequence[str], schema: T.StructType, keep: int | None) -> None:
-        self.key, self.order, self.values, self.schema, self.keep = key, list(order), list(values), schema, keep
+    A bucket's keys are one value of the store, a table in Arrow's format, so that a batch asks
+    the store once a bucket and not several times a key.
+    """
+
+    def __init__(self, order: int, values: int, told: Sequence[str], buckets: int, keep: int | None) -> None:
+        self.n, self.values, self.told, self.buckets, self.keep = order, values, list(told), buckets, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in rows:
-            for r in pdf[_columns(len(self.order), len(self.values))[1:]].itertuples(index=False, name=None):
-                if best is None or r[: len(self.order)] > best[: len(self.order)]:
-                    best = r
-        if best is None:
-            return
-        n = len(self.order)
-        order, gone, at, new = tuple(map(int, best[:n])), bool(best[n]), None if pd.isna(best[n + 1]) else int(best[n + 1]), tuple(None if pd.isna(v) else v for v in best[n + 2 :])
-        held = self.held.get() if self.held.exists() else None
-        if held is not None and order <= tuple(held[:n]):
-            return  # late or repeated
-        alive = held is not None and not held[n]
-        old, changed = (tuple(held[n + 3 :]), held[n + 1]) if alive else ((None,) * len(new), None)
-        action = ("removed" if alive else None) if gone else "created" if not alive else "same" if old == new else "updated"
-        changed = at if action != "same" else changed
-        self.held.update((*order, gone, changed, at, *((None,) * len(new) if gone else new)))
-        if gone and self.keep is not None and at is not None:
-            self.handle.registerTimer(at // 1000 + self.keep)
-        if action:
-            told = dict(zip([*self.order, "action", "last_changed", "last_checked", *self.values, *(f"old_{v}" for v in self.values)], [*order, action, changed, at, *((None,) * len(new) if gone else new), *old], strict=True))
-            yield pd.DataFrame({self.key: [key[0]], **{k: [v] for k, v in told.items()}})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A tombstone that has been kept for long enough goes, unless its key has come back."""
-        held = self.held.get() if self.held.exists() else None
-        n = len(self.order)
-        if held is not None and held[n] and held[n + 2] // 1000 + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+        self.held = handle.getValueState("held", T.StructType([T.StructField("keys", T.BinaryType())]))
+
+    def _read(self) -> dict:
+        """The bucket's rows by key: their order, removal, times of change and check, values."""
+        got = self.held.get()
+        if got is None:
+            return {}
+        told = pa.ipc.open_stream(bytes(got[0])).read_all()
+        if told.schema.metadata[b"buckets"] != b"%d" % self.buckets:
+            raise ValueError(f"the state has {told.schema.metadata[b'buckets'].decode()} buckets, not {self.buckets}")
+        key, *rest = (c.to_pylist() for c in told.columns)
+        return dict(zip(key, zip(*rest, strict=True), strict=True))
+
+    def _write(self, held: dict) -> None:
+        """Keeps the bucket's rows, and has the next tombstone's time told."""
+        if not held:
             self.held.clear()
+            return
+        kinds = [None, *[pa.int64()] * self.n, pa.bool_(), pa.int64(), pa.int64(), *[pa.string()] * self.values]
+        columns = [list(held), *(list(c) for c in zip(*held.values(), strict=True))]
+        told = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[str(i) for i in range(len(columns))], metadata={"buckets": str(self.buckets)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, told.schema) as out:
+            out.write_table(told)
+        self.held.update((sink.getvalue().to_pybytes(),))
+        ends = [self._end(h) for h in held.values() if self._end(h) is not None]
+        if ends:
+            self.handle.registerTimer(min(ends))
+
+    def _end(self, held: tuple) -> int | None:
+        """When a tombstone goes."""
+        return held[self.n + 2] // 1000 + self.keep if self.keep is not None and held[self.n] and held[self.n + 2] is not None else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, best = self.n, {}
+        for row in rows:
+            k, *r = row[1 : n + self.values + 4]
+            if k not in best or r[:n] > best[k][:n]:
+                best[k] = r
+        held, told, moved, made = self._read(), [], False, Row(*self.told)
+        for k, r in best.items():
+            order, gone, at, new, was = tuple(r[:n]), r[n], r[n + 1], tuple(r[n + 2 :]), held.get(k)
+            if was is not None and order <= was[:n]:
+                continue  # late or repeated
+            alive = was is not None and not was[n]
+            old, changed = (was[n + 3 :], was[n + 1]) if alive else ((None,) * len(new), None)
+            action = ("removed" if alive else None) if gone else "created" if not alive else "same" if old == new else "updated"
+            changed, left = at if action != "same" else changed, (None,) * len(new) if gone else new
+            held[k], moved = (*order, gone, changed, at, *left), True
+            if action:
+                told.append(made(k, *order, action, changed, at, *left, *old))
+        if moved:
+            self._write(held)
+        return iter(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Tombstones that have been kept for long enough go, unless their keys have come back."""
+        now, held = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._read()
+        if held:
+            self._write({k: h for k, h in held.items() if self._end(h) is None or self._end(h) > now})
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def upserts(changes: DataFrame, key: str, order: Sequence[str], values: Sequence[str], gone: str, at: str, delay: str | None = None, keep_ms: int | None = None) -> DataFrame:
+def upserts(changes: DataFrame, key: str, order: Sequence[str], values: Sequence[str], gone: str, at: str, delay: str | None = None, keep_ms: int | None = None, buckets: int = 1024) -> DataFrame:
     """(key, order, action, last_changed, last_checked, values, old values) of each key that a batch changes or confirms.
 
     `changes` is a stream of rows with `order`, whole numbers that must be total for a key, text
@@ -95,6 +128,10 @@ def upserts(changes: DataFrame, key: str, order: Sequence[str], values: Sequence
     later than the watermark are dropped by Spark then.  Null keys, orders and times: rows without
     a key or an order are ignored, a null time stays null.  Rows of a hot key are cut down to one
     a batch of Arrow before they are shuffled.
+
+    Keys lie in `buckets` by their hash; a batch reads and writes the buckets of its keys, in
+    memory one at a time.  Their number is fixed by a checkpoint's first run, an error tells of
+    another; for hundreds of millions of keys ask for more of them, so that each holds some thousands.
     """
     names = _columns(len(order), len(values))
     micros = F.unix_micros(F.col(at).cast("timestamp"))
@@ -109,11 +146,11 @@ def upserts(changes: DataFrame, key: str, order: Sequence[str], values: Sequence
 
     # A combiner would lose the watermark, so it is only put before streams without one.
     combined = own.withWatermark("ts", delay) if delay else own.mapInPandas(last, own.schema)
+    dealt = combined.select(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b"), *names, *(["ts"] if delay else []))
     longs = lambda *c: [T.StructField(x, T.LongType()) for x in c]
     texts = lambda *c: [T.StructField(x, T.StringType()) for x in c]
-    held = T.StructType([*longs(*order), T.StructField("gone", T.BooleanType()), *longs("changed", "checked"), *texts(*values)])
     out = T.StructType([T.StructField(key, kind), *longs(*order), *texts("action"), *longs("last_changed", "last_checked"), *texts(*values, *(f"old_{v}" for v in values))])
-    told = combined.groupBy("k").transformWithStateInPandas(_Upserts(key, order, values, held, keep_ms), out, "Update", "EventTime" if delay else "None")
+    told = dealt.groupBy("b").transformWithState(_Upserts(len(order), len(values), out.names, buckets, keep_ms), out, "Update", "EventTime" if delay else "None")
     return told.withColumns({c: F.timestamp_micros(c) for c in ("last_changed", "last_checked")})
 
 

@@ -67,3 +67,26 @@ def test_clashing_names(spark, tmp_path):
     keyed.run(keyed.upserts(stream, "gone", ["k"], ["ts"], "flag", "micros"), f"{tmp_path}/out", f"{tmp_path}/log")
     (row,) = spark.read.parquet(f"{tmp_path}/out").collect()
     assert (row["gone"], row["k"], row["action"], row["ts"], row["old_ts"]) == ("a", 1, "created", "x", None)
+
+
+def test_store_is_asked_by_bucket(spark, tmp_path):
+    """Keys share buckets, whatever their type, so the store holds few values; the number of buckets is fixed by the first run."""
+    import pytest
+
+    schema = "k date, seq long, gone boolean, at timestamp, title string"
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+
+    def run(rows, buckets):
+        spark.createDataFrame([(day(i), s, False, None, t) for i, s, t in rows], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        keyed.run(keyed.upserts(stream, "k", ["seq"], ["title"], "gone", "at", buckets=buckets), f"{tmp_path}/out", f"{tmp_path}/log")
+        return spark.read.parquet(f"{tmp_path}/out")
+
+    run([(i, 1, "a") for i in range(200)], 3)
+    got = run([(i, i % 2 + 1, "b") for i in range(200)], 3).filter("batch = 1").collect()
+    assert sorted((r["k"], r["action"], r["old_title"]) for r in got) == [(day(i), "updated", "a") for i in range(1, 200, 2)]
+    with keyed.store(spark):
+        held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/log")
+        assert held.count() <= 3
+    with pytest.raises(Exception, match="3 buckets, not 5"):
+        run([(i, 9, "c") for i in range(200)], 5)
