@@ -1,15 +1,17 @@
 """Dictionary translation of nested rows: match events, line-ups, names with their provenance.
 
 Words of any number of columns, at any depth, are looked up by one join: the distinct words of a
-row go to the dictionary once, come back as one map, and every path is rewritten from that map
-by expressions.  Rows are never taken apart, so their arrays keep order, length and nulls.
+row go to the dictionary once, come back as a map for each category, and each column is rewritten
+from those maps in one pass by expressions.  Rows are never taken apart, so their arrays keep
+order, length and nulls.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,26 +59,44 @@ def _steps(path: str) -> list[str]:
 
 
 def _words(value: Column, steps: list[str], leaf: tuple[str, ...]) -> Column:
-    """The words at the end of a path, as an array without nulls."""
-    if not steps:
-        found = F.array(*(value[c] for c in leaf)) if leaf else F.array(value)
-        return F.filter(found, lambda w: w.isNotNull() & (w != ""))
-    if steps[0] in ("[]", "{}"):
-        many = value if steps[0] == "[]" else F.map_values(value)
-        parts = F.transform(many, lambda x: _words(x, steps[1:], leaf))
-        return F.coalesce(F.flatten(parts), F.array().cast("array<string>"))
-    return _words(value[steps[0]], steps[1:], leaf)
-
-
-def _rewrite(value: Column, steps: list[str], change) -> Column:
-    if not steps:
-        return change(value)
-    if steps[0] == "[]":
-        return F.transform(value, lambda x: _rewrite(x, steps[1:], change))
-    if steps[0] == "{}":
-        return F.transform_values(value, lambda _, x: _rewrite(x, steps[1:], change))
-    inner = _rewrite(value[steps[0]], steps[1:], change)
-    return F.when(value.isNotNull(), value.withField(steps[0], inner))
+    """The words at the end of a path, as an array; its nulls and blanks find no entry.
+
+    A field of an array's structs is taken as one array, which costs far less than a function for each element.
+    """
+    many = False
+    for step in steps:
+        if step not in ("[]", "{}"):
+            value = value[step]
+            continue
+        if step == "{}":
+            value = F.transform(value, F.map_values) if many else F.map_values(value)
+        value, many = F.flatten(F.array_compact(value)) if many else value, True
+    found = [value[c] for c in leaf] or [value]
+    return F.coalesce(F.concat(*found), F.array().cast("array<string>")) if many else F.array(*found)
+
+
+def _rewrite(value: Column, changes: list[tuple[list[str], Callable[[Column], Column]]]) -> Column:
+    """The value with the changes at the ends of their paths, in order; paths that begin alike are walked once."""
+
+    def kind(change) -> str:
+        steps = change[0]
+        return steps[0] if steps and steps[0] in ("[]", "{}") else "." if steps else ""
+
+    for k, run in groupby(changes, kind):
+        inner = [(steps[1:], change) if k != "." else (steps, change) for steps, change in run]
+        if k == "":
+            for _, change in inner:
+                value = change(value)
+        elif k == "[]":
+            value = F.transform(value, lambda x: _rewrite(x, inner))  # noqa: B023
+        elif k == "{}":
+            value = F.transform_values(value, lambda _, x: _rewrite(x, inner))  # noqa: B023
+        else:
+            new = value
+            for field in dict.fromkeys(steps[0] for steps, _ in inner):
+                new = new.withField(field, _rewrite(value[field], [(steps[1:], change) for steps, change in inner if steps[0] == field]))
+            value = F.when(value.isNotNull(), new)
+    return value
 
 
 def rewrite(df: DataFrame, dictionary: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -89,18 +109,22 @@ def rewrite(df: DataFrame, dictionary: DataFrame, rules: Sequence[Rule]) -> Data
     columns = list(df.columns)
     taken = {c.lower() for c in columns}
     name = lambda base: base if base not in taken else name(f"_{base}")
-    key, asked, map_ = name("_words_key"), name("_words_asked"), name("_words_map")
+    key = name("_words_key")
     parsed = [(r, *_split(r)) for r in rules]
-    labelled = lambda c: lambda w: F.struct(F.lit(c).alias("category"), w.alias("en"))
-    each = [F.transform(_words(F.col(f"`{column}`"), steps, leaf), labelled(r.category)) for r, column, steps, leaf in parsed]
-    marked = df.withColumn(asked, F.array_sort(F.array_distinct(F.concat(*each)))).withColumn(key, F.xxhash64(asked))
-    # Rows of equal words share a map; a clash of keys joins two maps into one, which does no harm.
-    words = marked.select(F.col(key).alias("k"), F.explode(asked).alias("w")).select("k", "w.category", "w.en").distinct()
-    found = words.join(dictionary.filter(F.col("he").isNotNull() | F.col("manual")), ["category", "en"])
-    item = F.struct(F.struct("category", "en").alias("key"), F.struct("he", "manual").alias("value"))
-    maps = found.groupBy(F.col("k").alias(key)).agg(F.map_from_entries(F.collect_list(item)).alias(map_))
+    categories = list(dict.fromkeys(r.category for r in rules))
+    asked, maps_ = ({c: name(f"_words_{what}{i}") for i, c in enumerate(categories)} for what in ("asked", "map"))
+    each = {c: [_words(F.col(f"`{column}`"), steps, leaf) for r, column, steps, leaf in parsed if r.category == c] for c in categories}
+    marked = df.withColumns({asked[c]: F.sort_array(F.array_distinct(F.concat(*each[c]))) for c in categories}).withColumn(key, F.xxhash64(*asked.values()))
+    # Rows of equal words share their maps; a clash of keys joins two rows' maps into one, which does no harm.
+    sets = marked.select(F.col(key).alias("k"), *asked.values()).distinct()
+    # Outer: for the other kind Spark adds a filter that gathers every row's words once more.
+    listed = sets.select("k", F.explode_outer(F.create_map(*(x for c in categories for x in (F.lit(c), F.col(asked[c]))))).alias("category", "words"))
+    words = listed.select("k", "category", F.explode_outer("words").alias("en"))
+    found = words.join(dictionary.filter(F.col("he").isNotNull()), ["category", "en"])
+    item = F.struct("en", F.struct("he", "manual"))
+    maps = found.groupBy(F.col("k").alias(key)).agg(*(F.map_from_entries(F.collect_set(F.when(F.col("category") == c, item))).alias(maps_[c]) for c in categories))
     out = marked.join(maps, key, "left")
-    entry = lambda c, w: F.try_element_at(F.col(map_), F.struct(F.lit(c).alias("category"), w.alias("en")))
+    entry = lambda c, w: F.try_element_at(F.col(maps_[c]), w)
 
     def plain(category: str):
         return lambda w: F.coalesce(entry(category, w)["he"], w)
@@ -120,15 +144,15 @@ def rewrite(df: DataFrame, dictionary: DataFrame, rules: Sequence[Rule]) -> Data
         blank = F.coalesce(there == "", F.lit(True))
         return F.when(e["manual"], F.coalesce(e["he"], there)).otherwise(F.when(blank, F.coalesce(e["he"], there)).otherwise(there))
 
-    made = {c: F.col(f"`{c}`") for c in columns}
+    changes = {c: [] for c in columns}
     for r, column, steps, _ in parsed:
         if r.into and steps:  # the word's struct holds both
-            made[column] = _rewrite(made[column], steps[:-1], lambda s, r=r, f=steps[-1]: F.when(s.isNotNull(), s.withField(r.into, chosen(r.category, s[f], s[r.into]))))
+            changes[column].append((steps[:-1], lambda s, r=r, f=steps[-1]: F.when(s.isNotNull(), s.withField(r.into, chosen(r.category, s[f], s[r.into])))))
         elif r.into:
-            made[r.into] = chosen(r.category, F.col(f"`{column}`"), made[r.into])
+            changes[r.into].append(([], lambda there, r=r, column=column: chosen(r.category, F.col(f"`{column}`"), there)))
         else:
-            made[column] = _rewrite(made[column], steps, first_of(r.category, r.first) if r.first else plain(r.category))
-    return out.select(*(made[c].alias(c) for c in columns))
+            changes[column].append((steps, first_of(r.category, r.first) if r.first else plain(r.category)))
+    return out.select(*(_rewrite(F.col(f"`{c}`"), changes[c]).alias(c) for c in columns))
 
 
 def _split(rule: Rule) -> tuple[str, list[str], tuple[str, ...]]:

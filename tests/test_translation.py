@@ -68,3 +68,39 @@ def test_one_join_for_all_paths(spark, dictionary):
     assert plan.count("Join ") == 2 and out.count() == 0  # to the dictionary, and of the maps to their rows
     with pytest.raises(ValueError):
         translation.rewrite(df, dictionary, [Rule("goals[].", "names")])
+
+
+def test_words_are_gathered_once_and_columns_walked_once(spark, dictionary):
+    df = spark.createDataFrame([], MATCHES)
+    plan = translation.rewrite(df, dictionary, translation.match_rules(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "array_distinct" in line]  # the words of each row, only to see if there are any
+    assert "transform(transform(" not in plan.replace("flatten(", "")  # goals have three rules, cards two
+
+
+def test_deeper_paths(spark, dictionary):
+    kind = "i int, a array<struct<m:map<string,string>,l:array<struct<c:string>>>>, g array<array<string>>, s struct<b:array<struct<c:string,d:string>>>, h array<map<string,array<string>>>"
+    rows = [
+        (1, [({"x": "Ann", "y": None, "z": ""}, [("Reds",), None, (None,)]), None, (None, None)], [["Ann", None], None, [], ["Zed"]], ([("Ann", "Ann"), None, ("Reds", "Eve")],), [{"p": ["Bob", None], "q": None}, None]),
+        (2, None, None, None, None),
+        (3, [], [], (None,), []),
+    ]
+    rules = [Rule("a[].m{}", "names"), Rule("a[].l[].c", "clubs"), Rule("g[][]", "names"), Rule("s.b[].c", "clubs"), Rule("s.b[].c", "names", into="d"), Rule("h[]{}[]", "names")]
+    df = spark.createDataFrame(rows, kind)
+    out = translation.rewrite(df, dictionary, rules)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    got = sorted((r.asDict(recursive=True) for r in out.collect()), key=lambda r: r["i"])
+    assert got[0]["a"] == [{"m": {"x": "אן", "y": None, "z": ""}, "l": [{"c": "אדומים"}, None, {"c": None}]}, None, {"m": None, "l": None}]
+    assert got[0]["g"] == [["אן", None], None, [], ["Zed"]] and got[0]["h"] == [{"p": ["בוב", None], "q": None}, None]
+    assert got[0]["s"] == {"b": [{"c": "מועדון", "d": "Ann"}, None, {"c": "אדומים", "d": "Eve"}]}
+    assert got[1:] == [r.asDict(recursive=True) for r in df.filter("i > 1").orderBy("i").collect()]
+
+
+def test_clashing_keys(spark, dictionary, monkeypatch):
+    """All rows share one key: their maps are joined into one, and each row still finds its own words."""
+    rows = [(1, "Ann", "Ann", None), (2, "Ann", "Reds", "Bob"), (3, "Eve", "Reds", ""), (4, None, None, None), (5, "Zed", "", "Ann")]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    rules = [Rule("a", "names"), Rule("b", "clubs"), Rule("c", "names")]
+    want = translation.rewrite(df, dictionary, rules).orderBy("id").collect()
+    monkeypatch.setattr(translation.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    assert translation.rewrite(df, dictionary, rules).orderBy("id").collect() == want
+    assert [tuple(r)[1:] for r in want[:3]] == [("אן", "מועדון", None), ("אן", "אדומים", "בוב"), ("aa", "אדומים", "")]
